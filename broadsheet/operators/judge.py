@@ -72,7 +72,7 @@ def decode_replies(replies: DataFrame) -> DataFrame:
         .withColumn(
             "entries",
             F.transform(
-                "_raw",
+                F.when(F.col("_len").isNotNull(), F.col("_raw")),
                 lambda e: F.struct(
                     F.when(
                         e["index"].rlike(r"^\s*[+-]?\d+(\.0+)?\s*$"),

@@ -41,33 +41,42 @@ def keyword_frequency(articles: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -
 def score_by_table(articles: DataFrame, lexicon: DataFrame) -> DataFrame:
     """relevance_score for a LEXICON table too large to be constants in the plan.
 
-    Each keyword is looked up by its first word, in the distinct words of the
-    article; keywords of several words are then verified in the whole text.
-    Articles must be unique by url.
+    Each keyword is looked up by its first word among the distinct words of
+    the article. Keywords of several words found this way are then verified
+    against the whole text, which is never repeated per word. Articles must
+    be unique by url; every keyword must contain a word character.
     """
-    first_word = F.regexp_extract(F.lower("keyword"), f"[{WORD}]+", 0)
     terms = (
         lexicon.select(F.lower("keyword").alias("keyword"), "tier", "weight")
         .distinct()
-        .withColumn("word", first_word)
+        .withColumn("word", F.regexp_extract("keyword", f"[{WORD}]+", 0))
         .withColumn("whole", F.col("keyword") == F.col("word"))
     )
-    text = topic_text()
-    words = articles.select("url", text.alias("text")).withColumn(
-        "word", F.explode(F.array_distinct(F.split("text", f"[^{WORD}]+")))
+    words = articles.select(
+        "url", F.explode(F.array_distinct(F.split(topic_text(), f"[^{WORD}]+"))).alias("word")
     )
-    literal = F.regexp_replace("keyword", r"([^\p{L}\p{N}_\s])", r"\\$1")
-    pattern = F.concat(F.lit(f"(^|[^{WORD}])"), literal, F.lit(f"($|[^{WORD}])"))
-    present = F.col("whole") | (F.col("text").contains(F.col("keyword")) & F.rlike("text", pattern))
-    scores = (
+    phrase = F.when(~F.col("whole"), F.struct("keyword", "tier", "weight"))
+    found = (
         words.join(terms, "word")
-        .filter(present)
         .groupBy("url")
-        .agg(F.sum("weight").alias("relevance_score"))
+        .agg(
+            F.sum(F.when(F.col("whole"), F.col("weight"))).alias("_words"),
+            F.collect_set(phrase).alias("_phrases"),
+        )
     )
+
+    def present(p):
+        literal = F.regexp_replace(p["keyword"], r"([^\p{L}\p{N}_\s])", r"\\$1")
+        pattern = F.concat(F.lit(f"(^|[^{WORD}])"), literal, F.lit(f"($|[^{WORD}])"))
+        return F.contains(F.col("_text"), p["keyword"]) & F.rlike(F.col("_text"), pattern)
+
+    phrases = F.aggregate(
+        F.filter("_phrases", present), F.lit(0.0), lambda total, p: total + p["weight"]
+    )
+    score = F.coalesce("_words", F.lit(0.0)) + F.coalesce(phrases, F.lit(0.0))
     return (
-        articles.drop("relevance_score")
-        .join(scores, "url", "left")
-        .withColumn("relevance_score", F.coalesce("relevance_score", F.lit(0.0)))
+        articles.join(found, "url", "left")
+        .withColumn("_text", topic_text())
+        .withColumn("relevance_score", score)
         .select(*articles.columns)
     )

@@ -98,7 +98,9 @@ def _contained(needles: DataFrame, articles: DataFrame, text: Column, inline_lim
         hits = F.filter(listed, lambda v: F.contains(F.col("text"), v["needle"]))
         return texts.select("url", F.explode(hits).alias("v")).select("url", "v.value")
     keyed = _rarest_gram(needles)
-    lengths = keyed.agg(F.collect_set("n").alias("lengths")).scalar()
+    # At most seven lengths exist, so this collects at most seven numbers.
+    found = sorted(r.n for r in keyed.select("n").distinct().collect())
+    lengths = F.array(*[F.lit(n) for n in found])
     grams = (
         texts.select("url", "text", F.explode(_grams(F.col("text"), lengths)).alias("g"))
         .select("url", "text", "g.n", "g.gram")

@@ -180,23 +180,18 @@ def add_pages(
     return allowed, outcomes, ingest_summary(outcomes)
 
 
-def append_batch(store: Store, batch: DataFrame, exclusions: DataFrame, order: list[str], segment: str) -> int:
+def append_batch(store: Store, batch: DataFrame, exclusions: DataFrame, order: list[str]) -> int:
     """Insert a small batch as a segment of its own; returns the rows added.
 
-    A repeated delivery of a batch must see the store without its own
-    segment's rows counted as present, which holds since they are equal.
+    A batch delivered again finds its rows stored and adds nothing.
     """
-    full = batch.withColumns(
-        {
-            "relevance_score": F.lit(None).cast("double"),
-            "sentiment_score": F.lit(None).cast("double"),
-            "manual_review": F.lit(False),
-        }
-    )
+    rows = batch.select("*", F.lit(None).cast("double").alias("relevance_score"),
+                        F.lit(None).cast("double").alias("sentiment_score"),
+                        F.lit(False).alias("manual_review"))
     added = materialise(
-        new_articles(store.read(), full, exclusions, [F.col(c) for c in order]), "batch"
+        new_articles(store.read(), rows, exclusions, [F.col(c) for c in order]), "batch"
     )
     count = added.count()
     if count:
-        store.append(added, segment)
+        store.append(added)
     return count

@@ -3,8 +3,15 @@
 from pyspark.sql import DataFrame, functions as F, types as T
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType(),
+    "int": T.IntegerType(), "bigint": T.LongType(),
+}
+
+
+def _struct(columns: str) -> T.StructType:
+    pairs = [column.split() for column in columns.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 ARTICLE = _struct(

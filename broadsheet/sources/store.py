@@ -1,5 +1,6 @@
 """Article stores and the snapshot archive: plain Parquet folders."""
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
@@ -15,7 +16,7 @@ class Store:
     `write` makes a new version folder v=N; `append` adds a segment folder to
     the newest version, so an insert costs its own rows only. A folder counts
     once Spark has put _SUCCESS into it: a failed job leaves the store as it
-    was, and a repeated one replaces its own segment. One writer at a time.
+    was. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -59,12 +60,12 @@ class Store:
         as_articles(articles).write.mode("overwrite").parquet(f"{self._folder(version)}/base")
         return version
 
-    def append(self, articles: DataFrame, segment: str) -> None:
-        """Add new rows as a named segment; the same name replaces the same rows."""
+    def append(self, articles: DataFrame) -> None:
+        """Add new rows as a segment of their own; the caller has left out stored urls."""
         if not self.version():
             self.write(self.spark.createDataFrame([], ARTICLE))
         folder = self._folder(self.version())
-        as_articles(articles).write.mode("overwrite").parquet(f"{folder}/add-{segment}")
+        as_articles(articles).write.parquet(f"{folder}/add-{uuid.uuid4().hex}")
 
     def clear(self) -> int:
         """Empty the store; returns the number of rows it had."""

@@ -39,7 +39,7 @@ def stream_landing(
         articles = api_articles(
             read_api_landing(batch), allowed, cfg.exclude_urls, cfg.exclude_domains
         )
-        append_batch(store, articles, exclusions, SIGHTING_ORDER, f"api-{batch_id:010d}")
+        append_batch(store, articles, exclusions, SIGHTING_ORDER)
 
     return _run(stream, on_batch, checkpoint)
 
@@ -56,6 +56,6 @@ def stream_feeds(
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         articles = feed_articles(read_feed_landing(batch), run_at, cfg.exclude_urls)
-        append_batch(store, articles, exclusions, ["feed_ord", "pos"], f"feed-{batch_id:010d}")
+        append_batch(store, articles, exclusions, ["feed_ord", "pos"])
 
     return _run(stream, on_batch, checkpoint)
