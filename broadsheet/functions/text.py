@@ -9,6 +9,15 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(value: Column, use) -> Column:
+    """Evaluate `value` once and hand it to a lambda.
+
+    A column used inside a higher-order lambda would otherwise be recomputed
+    for every element after projections are merged.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip_ws(c) -> Column:
     """Remove all white space at both ends, tabs and line ends included."""
     return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")

@@ -6,7 +6,8 @@ from broadsheet.functions.keys import host_of, store_key
 from broadsheet.functions.text import strip_ws
 from broadsheet.operators.dedup import dedup_first
 from broadsheet.operators.merge import absent_from, not_excluded
-from broadsheet.schemas import ARTICLE, as_articles
+from broadsheet.schemas import as_articles
+from broadsheet.session import materialise
 
 STATUSES = ["inserted", "duplicate", "fetch_failed", "missing_fields"]
 REQUIRED = ["title", "description", "published_at"]
@@ -44,27 +45,25 @@ def extract_page_metadata(pages: DataFrame) -> DataFrame:
     """Add title, description and published_at ('YYYY-MM-DD'), null where a page has none."""
     time = F.regexp_extract("html", r"(?is)<time\b[^>]*\bdatetime\s*=\s*[\"']([^\"']*)[\"']", 1)
     day = r"^\s*(\d{4}-\d{2}-\d{2})"
-    return pages.withColumns(
-        {
-            "title": _first(_meta("property", "og:title"), _element("title"), _element("h1")),
-            "description": _first(
-                _meta("property", "og:description"), _meta("name", "description")
-            ),
-            "published_at": F.coalesce(
-                F.nullif(F.regexp_extract(_meta("property", "article:published_time"), day, 1), F.lit("")),
-                F.nullif(F.regexp_extract(time, day, 1), F.lit("")),
-            ),
-        }
+    fields = F.struct(
+        _first(_meta("property", "og:title"), _element("title"), _element("h1")).alias("title"),
+        _first(_meta("property", "og:description"), _meta("name", "description")).alias("description"),
+        F.coalesce(
+            F.nullif(F.regexp_extract(_meta("property", "article:published_time"), day, 1), F.lit("")),
+            F.nullif(F.regexp_extract(time, day, 1), F.lit("")),
+        ).alias("published_at"),
     )
+    # One-element inline: later filters must not repeat the extraction.
+    return pages.select("*", F.inline(F.array(fields)))
 
 
-def resolve_fields(pages: DataFrame, extracted: DataFrame | None = None) -> DataFrame:
+def resolve_fields(pages: DataFrame) -> DataFrame:
     """Override, else extracted, else null; the source defaults to the host.
 
     Overrides are optional columns set_title, set_description,
     set_published_at and set_source of the pages.
     """
-    found = extract_page_metadata(pages) if extracted is None else extracted
+    found = extract_page_metadata(pages)
     for field in REQUIRED:
         if f"set_{field}" in pages.columns:
             found = found.withColumn(field, F.coalesce(f"set_{field}", field))
@@ -77,9 +76,9 @@ def resolve_fields(pages: DataFrame, extracted: DataFrame | None = None) -> Data
 def classify_ingest(
     pages: DataFrame, store: DataFrame, exclusions: DataFrame, order: str = "page_id"
 ) -> DataFrame:
-    """Outcome of ingesting each page: the page's columns, fields, status and detail.
+    """Outcome of ingesting each page: its url, fields, status and detail.
 
-    `order` is a column unique per page; of several pages of one url the first
+    Pages are read once; what follows works on the extracted fields. `order` is a column unique per page; of several pages of one url the first
     complete one is inserted. An excluded url reports duplicate. Winners are
     joined back on `order`, so a url held by very many pages is no hot key.
     """
@@ -87,8 +86,14 @@ def classify_ingest(
     missing = F.array_compact(
         F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in REQUIRED])
     )
-    fields = fields.withColumn("_missing", F.array_join(missing, ", "))
-    complete = fields.filter("html is not null and _missing = ''").select(
+    fields = materialise(
+        fields.select(
+            order, "url", "source", *REQUIRED, F.array_join(missing, ", ").alias("_missing"),
+            F.col("html").isNotNull().alias("_fetched"),
+        ),
+        "fields",
+    )
+    complete = fields.filter("_fetched and _missing = ''").select(
         store_key("url").alias("url"), order
     )
     first = dedup_first(complete, "url", [F.col(order)])
@@ -96,7 +101,7 @@ def classify_ingest(
         order, F.lit(True).alias("_won")
     )
     status = (
-        F.when(F.col("html").isNull(), "fetch_failed")
+        F.when(~F.col("_fetched"), "fetch_failed")
         .when(F.col("_missing") != "", "missing_fields")
         .when(F.col("_won"), "inserted")
         .otherwise("duplicate")
@@ -108,15 +113,14 @@ def classify_ingest(
         fields.join(winners, order, "left")
         .withColumn("status", status)
         .withColumn("detail", detail)
-        .drop("_missing", "_won")
+        .drop("_missing", "_fetched", "_won")
     )
 
 
 def inserted_articles(classified: DataFrame) -> DataFrame:
     """The new rows of a classified batch as articles."""
     new = classified.filter("status = 'inserted'").withColumn("url", store_key("url"))
-    keep = [c for c in ("url", "title", "description", "published_at", "source") if c in ARTICLE.names]
-    return as_articles(new.select(*keep))
+    return as_articles(new.select("url", "source", *REQUIRED))
 
 
 def ingest_summary(classified: DataFrame, statuses: list[str] | None = None) -> DataFrame:

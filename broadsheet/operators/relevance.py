@@ -5,11 +5,17 @@ from pyspark.sql import DataFrame, functions as F
 from broadsheet.functions.lexicon import (
     DEFAULT_LEXICON, WORD, Lexicon, matched_keywords, topic_text, weight_sum,
 )
+from broadsheet.functions.text import once
 
 
 def with_keywords(articles: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
-    """Add the distinct keywords present in each article."""
-    return articles.withColumn("keywords", matched_keywords(topic_text(), [k for k, _ in lexicon]))
+    """Add the distinct keywords present in each article.
+
+    The one-element explode keeps the optimizer from copying the matching
+    into every later filter and projection: a text is cut into words once.
+    """
+    found = matched_keywords(topic_text(), [k for k, _ in lexicon])
+    return articles.select("*", F.explode(F.array(found)).alias("keywords"))
 
 
 def relevance_score(articles: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
@@ -65,18 +71,16 @@ def score_by_table(articles: DataFrame, lexicon: DataFrame) -> DataFrame:
         )
     )
 
-    def present(p):
+    def present(text, p):
         literal = F.regexp_replace(p["keyword"], r"([^\p{L}\p{N}_\s])", r"\\$1")
         pattern = F.concat(F.lit(f"(^|[^{WORD}])"), literal, F.lit(f"($|[^{WORD}])"))
-        return F.contains(F.col("_text"), p["keyword"]) & F.rlike(F.col("_text"), pattern)
+        return F.contains(text, p["keyword"]) & F.rlike(text, pattern)
 
-    phrases = F.aggregate(
-        F.filter("_phrases", present), F.lit(0.0), lambda total, p: total + p["weight"]
-    )
+    kept = once(topic_text(), lambda text: F.filter("_phrases", lambda p: present(text, p)))
+    phrases = F.aggregate(kept, F.lit(0.0), lambda total, p: total + p["weight"])
     score = F.coalesce("_words", F.lit(0.0)) + F.coalesce(phrases, F.lit(0.0))
     return (
         articles.join(found, "url", "left")
-        .withColumn("_text", topic_text())
         .withColumn("relevance_score", score)
         .select(*articles.columns)
     )

@@ -10,7 +10,7 @@ grams of exactly those lengths that occur among the values.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from broadsheet.functions.keys import host_of, removal_key
-from broadsheet.functions.text import slug
+from broadsheet.functions.text import SLUG_LIMIT, once, slug
 from broadsheet.session import materialise
 
 GRAM_LENGTHS = [2**k for k in range(7)]
@@ -50,18 +50,13 @@ def _gram_length(text: Column) -> Column:
     return length
 
 
-def _grams(text: Column, lengths: Column) -> Column:
-    """Distinct grams of the given lengths, as (length, gram)."""
-    per_length = F.transform(
-        lengths,
-        lambda n: F.transform(
-            F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(
-                F.array().cast("array<int>")
-            ),
-            lambda at: F.struct(n.alias("n"), F.substr(text, at, n).alias("gram")),
-        ),
-    )
-    return F.array_distinct(F.flatten(per_length))
+def _grams(text: Column, n: int) -> Column:
+    """Distinct overlapping grams of one length, in one pass over the text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+
+
+def _labelled(grams: Column, n: int) -> Column:
+    return F.transform(grams, lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
 
 
 def _rarest_gram(needles: DataFrame) -> DataFrame:
@@ -70,10 +65,12 @@ def _rarest_gram(needles: DataFrame) -> DataFrame:
     Values often share long endings (tracking parameters); a shared gram as
     key would meet every article that has it once per value.
     """
-    lengths = F.array(_gram_length(F.col("needle")))
-    grams = needles.select(
-        "value", "needle", F.explode(_grams(F.col("needle"), lengths)).alias("g")
-    ).select("value", "needle", "g.n", "g.gram")
+    own = F.lit(None)
+    for n in GRAM_LENGTHS:
+        own = F.when(F.col("n") == n, _grams(F.col("needle"), n)).otherwise(own)
+    grams = needles.select("value", "needle", _gram_length(F.col("needle")).alias("n")).select(
+        "value", "needle", "n", F.explode(own).alias("gram")
+    )
     spread = grams.groupBy("n", "gram").agg(F.count("*").alias("holders"))
     return (
         grams.join(spread, ["n", "gram"])
@@ -95,15 +92,18 @@ def _contained(needles: DataFrame, articles: DataFrame, text: Column, inline_lim
         if not few:
             return texts.select("url", F.col("url").alias("value")).limit(0)
         listed = F.array(*[F.struct(F.lit(r.needle).alias("needle"), F.lit(r.value).alias("value")) for r in few])
-        hits = F.filter(listed, lambda v: F.contains(F.col("text"), v["needle"]))
+        hits = once(
+            F.col("text"), lambda t: F.filter(listed, lambda v: F.contains(t, v["needle"]))
+        )
         return texts.select("url", F.explode(hits).alias("v")).select("url", "v.value")
     keyed = _rarest_gram(needles)
     # At most seven lengths exist, so this collects at most seven numbers.
-    found = sorted(r.n for r in keyed.select("n").distinct().collect())
-    lengths = F.array(*[F.lit(n) for n in found])
-    grams = (
-        texts.select("url", "text", F.explode(_grams(F.col("text"), lengths)).alias("g"))
-        .select("url", "text", "g.n", "g.gram")
+    lengths = sorted(r.n for r in keyed.select("n").distinct().collect())
+    every = once(
+        F.col("text"), lambda t: F.concat(*[_labelled(_grams(t, n), n) for n in lengths])
+    )
+    grams = texts.select("url", "text", F.explode(every).alias("g")).select(
+        "url", "text", "g.n", "g.gram"
     )
     return (
         grams.join(keyed, ["n", "gram"])
@@ -146,9 +146,10 @@ def resolve_values(
     by_part = _hits(_contained(unmatched, articles, F.lower("url"), inline_limit))
 
     slugged = articles.select("url", slug("title", "url").alias("slug"))
-    # Every prefix of the fragment that ends before a '-', and the fragment.
+    # Every prefix of the fragment that ends before a '-', and the fragment itself,
+    # as far as a slug is long.
     cuts = F.filter(
-        F.sequence(F.lit(1), F.length("fragment")),
+        F.sequence(F.lit(1), F.least(F.lit(SLUG_LIMIT), F.length("fragment"))),
         lambda i: (i == F.length("fragment")) | (F.substr("fragment", i + 1, F.lit(1)) == "-"),
     )
     prefixes = anchor.select(
@@ -170,7 +171,7 @@ def resolve_values(
         .select(
             "value", "run", "at",
             F.explode(
-                F.sequence(F.lit(1), F.least(F.lit(60), F.length("run") - F.col("at") + 1))
+                F.sequence(F.lit(1), F.least(F.lit(SLUG_LIMIT), F.length("run") - F.col("at") + 1))
             ).alias("n"),
         )
         .select("value", F.expr("substr(run, at, n)").alias("slug"))

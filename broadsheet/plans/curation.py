@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from broadsheet.functions.lexicon import DEFAULT_LEXICON, Lexicon
 from broadsheet.operators.filters import apply_retention
-from broadsheet.operators.judge import attach_scores, sentiment_gate
+from broadsheet.operators.judge import attach_scores
 from broadsheet.operators.merge import insert_absent, not_excluded, with_pinned
-from broadsheet.operators.relevance import relevance_gate
+from broadsheet.operators.relevance import relevance_score
 
 
 def refreshed_store(
@@ -36,6 +36,22 @@ def curated_articles(
     store: DataFrame, scores: DataFrame, exclusions: DataFrame,
     min_score: float = 1.0, max_score: float = 0.0, lexicon: Lexicon = DEFAULT_LEXICON,
 ) -> DataFrame:
-    """Relevance gate, judge gate, pins and exclusions in one plan."""
-    judged = attach_scores(relevance_gate(store, min_score, lexicon), scores)
-    return rebuilt_filtered(store, sentiment_gate(judged, max_score), exclusions)
+    """Relevance gate, judge gate, pins and exclusions in one pass over the store.
+
+    Same rows as rebuilt_filtered over the gates, without reading or scoring
+    the store twice: a row stays if it passes both gates or is pinned, and a
+    pinned row that fails them keeps the scores it is stored with.
+    """
+    stored = store.withColumns({"_rel": F.col("relevance_score"), "_sent": F.col("sentiment_score")})
+    judged = attach_scores(relevance_score(stored, lexicon), scores)
+    passed = F.coalesce(
+        (F.col("relevance_score") >= min_score) & (F.col("sentiment_score") <= max_score), F.lit(False)
+    )
+    kept = judged.withColumn("_passed", passed).filter("_passed or manual_review")
+    merged = kept.withColumns(
+        {
+            "relevance_score": F.when(F.col("_passed"), F.col("relevance_score")).otherwise(F.col("_rel")),
+            "sentiment_score": F.when(F.col("_passed"), F.col("sentiment_score")).otherwise(F.col("_sent")),
+        }
+    )
+    return not_excluded(merged.select(*store.columns), exclusions)

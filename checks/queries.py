@@ -211,19 +211,19 @@ def _(t):
 
 @query("relevance_score", f"SELECT url, relevance_score FROM ({_scored_sql(v.ARTICLES)}) s")
 def _(t):
-    return relevance.relevance_score(t.sql(v.ARTICLES), v.LEXICON).select("url", "relevance_score")
+    return relevance.relevance_score(t.sql(v.ARTICLES, spread=True), v.LEXICON).select("url", "relevance_score")
 
 
 @query("relevance_score_default", f"SELECT url, relevance_score FROM ({_scored_sql(v.ARTICLES, DEFAULT_LEXICON)}) s")
 def _(t):
-    return relevance.relevance_score(t.sql(v.ARTICLES)).select("url", "relevance_score")
+    return relevance.relevance_score(t.sql(v.ARTICLES, spread=True)).select("url", "relevance_score")
 
 
 @query("relevance_score_by_table", f"SELECT url, relevance_score FROM ({_scored_sql(v.ARTICLES)}) s")
 def _(t):
     rows = [(k, str(w), w) for k, w in v.LEXICON]
     lexicon = t.spark.createDataFrame(rows, "keyword string, tier string, weight double")
-    return relevance.score_by_table(t.sql(v.ARTICLES), lexicon).select("url", "relevance_score")
+    return relevance.score_by_table(t.sql(v.ARTICLES, spread=True), lexicon).select("url", "relevance_score")
 
 
 @query("relevance_gate", f"""
@@ -231,8 +231,8 @@ SELECT url, title, relevance_score,
   row_number() OVER (ORDER BY relevance_score DESC, {NEWEST}) - 1 AS position
 FROM ({_scored_sql(v.ARTICLES)}) s WHERE relevance_score >= 3""")
 def _(t):
-    kept = relevance.relevance_gate(t.sql(v.ARTICLES), 3.0, v.LEXICON)
-    slim = kept.select("url", "title", "source", "published_at", "relevance_score")
+    kept = relevance.relevance_gate(t.sql(v.ARTICLES, spread=True), 3.0, v.LEXICON)
+    slim = materialise(kept, "relevant").select("url", "title", "source", "published_at", "relevance_score")
     return ordering.positions(slim, ordering.most_relevant_first()).select(
         "url", "title", "relevance_score", "position"
     )
@@ -242,7 +242,7 @@ def _(t):
     f"SELECT '{k}' AS keyword, count(*) AS articles FROM (SELECT {TOPIC_TEXT} AS txt FROM ({v.ARTICLES}) a0) a1 "
     f"WHERE regexp_matches(txt, '{keyword_pattern(k)}') HAVING count(*) > 0" for k, _ in v.LEXICON))
 def _(t):
-    return relevance.keyword_frequency(t.sql(v.ARTICLES), v.LEXICON)
+    return relevance.keyword_frequency(t.sql(v.ARTICLES, spread=True), v.LEXICON)
 
 
 # --- dedup and store joins -----------------------------------------------------------------
@@ -388,7 +388,7 @@ SELECT url, relevance_score, row_number() OVER (ORDER BY relevance_score DESC, {
 FROM ({_scored_sql(v.ARTICLES)}) s WHERE relevance_score >= 1 AND published_at >= '{CUTOFF}' QUALIFY rank <= 100""")
 def _(t):
     return listing.list_articles(
-        t.sql(v.ARTICLES), RUN_AT, HOURS, topic_only=True, limit=100, lexicon=v.LEXICON
+        t.sql(v.ARTICLES, spread=True), RUN_AT, HOURS, topic_only=True, limit=100, lexicon=v.LEXICON
     ).select("url", "relevance_score", "rank")
 
 
@@ -409,7 +409,8 @@ _BATCHES_SQL = f"""SELECT url, title, description, pos // 16 AS batch_id, pos %
 
 
 def _batches(t):
-    return judge.judge_batches(relevance.relevance_gate(t.sql(v.ARTICLES), 1.0, v.LEXICON), 16)
+    relevant = relevance.relevance_gate(t.sql(v.ARTICLES, spread=True), 1.0, v.LEXICON)
+    return judge.judge_batches(materialise(relevant, "relevant"), 16)
 
 
 @query("judge_batches", f"SELECT url, batch_id, idx FROM ({_BATCHES_SQL}) b")
@@ -483,7 +484,7 @@ SELECT url, sentiment_score, CASE WHEN sentiment_score <= 0 THEN 'keep' ELSE 'dr
 FROM ({_JUDGED_SQL}) j WHERE relevance_score >= 1 AND published_at >= '{CUTOFF}' AND sentiment_score IS NOT NULL""")
 def _(t):
     return listing.judge_listing(
-        t.sql(v.ARTICLES), _local(t), RUN_AT, HOURS, lexicon=v.LEXICON
+        t.sql(v.ARTICLES, spread=True), _local(t), RUN_AT, HOURS, lexicon=v.LEXICON
     ).select("url", "sentiment_score", "verdict")
 
 
@@ -497,7 +498,7 @@ WHERE relevance_score >= 1 AND published_at >= '{CUTOFF}'"""
 @query("compare_judges", f"""
 SELECT url, title, local_score, remote_score, round(delta, 6) AS delta, agree FROM ({_COMPARE_SQL}) c""")
 def _(t):
-    rows, _s = listing.compare(t.sql(v.ARTICLES), t.sql(v.SCORES), RUN_AT, HOURS, lexicon=v.LEXICON)
+    rows, _s = listing.compare(t.sql(v.ARTICLES, spread=True), t.sql(v.SCORES), RUN_AT, HOURS, lexicon=v.LEXICON)
     return rows.withColumn("delta", F.round("delta", 6))
 
 
@@ -505,7 +506,7 @@ def _(t):
 SELECT count(*) AS articles, round(avg(abs(delta)), 6) AS mean_abs_delta,
   count(*) FILTER (NOT agree) AS disagreements FROM ({_COMPARE_SQL}) c""")
 def _(t):
-    _r, summary = listing.compare(t.sql(v.ARTICLES), t.sql(v.SCORES), RUN_AT, HOURS, lexicon=v.LEXICON)
+    _r, summary = listing.compare(t.sql(v.ARTICLES, spread=True), t.sql(v.SCORES), RUN_AT, HOURS, lexicon=v.LEXICON)
     return summary.withColumn("mean_abs_delta", F.round("mean_abs_delta", 6))
 
 
@@ -527,7 +528,7 @@ def _some_exclusions(t):
 @query("curated_articles", _CURATED_SQL)
 def _(t):
     return curation.curated_articles(
-        t.sql(v.ARTICLES), _local(t), _some_exclusions(t), 3.0, 0.0, v.LEXICON
+        t.sql(v.ARTICLES, spread=True), _local(t), _some_exclusions(t), 3.0, 0.0, v.LEXICON
     ).select("url", "title", "relevance_score", "sentiment_score", "manual_review")
 
 
@@ -550,7 +551,7 @@ SELECT 'stored' AS stage, category, count(*) AS articles FROM s GROUP BY categor
 UNION ALL SELECT 'relevant', category, count(*) FROM s WHERE relevance_score >= 1 GROUP BY category
 UNION ALL SELECT 'expired', category, count(*) FROM s WHERE published_at < '{CUTOFF}' AND NOT manual_review GROUP BY category""")
 def _(t):
-    articles = t.sql(v.ARTICLES)
+    articles = t.sql(v.ARTICLES, spread=True)
     return metrics.run_metrics({
         "stored": articles,
         "relevant": relevance.relevance_gate(articles, 1.0, v.LEXICON),
@@ -915,17 +916,17 @@ UNION ALL SELECT 'warning', value FROM vals WHERE (anchor AND fragment = '')
 
 @query("resolve_values", _RESOLVE_SQL)
 def _(t):
-    return resolve.resolve_values(t.sql(v.VALUES), t.sql(v.ARTICLES), SITE)
+    return resolve.resolve_values(t.sql(v.VALUES), t.sql(v.ARTICLES, spread=True), SITE)
 
 
 @query("resolve_values_by_grams", _RESOLVE_SQL)
 def _(t):
-    return resolve.resolve_values(t.sql(v.VALUES), t.sql(v.ARTICLES), SITE, inline_limit=0)
+    return resolve.resolve_values(t.sql(v.VALUES), t.sql(v.ARTICLES, spread=True), SITE, inline_limit=0)
 
 
 @query("removal_set", f"SELECT DISTINCT key AS url FROM ({_RESOLVE_SQL}) r WHERE outcome <> 'warning'")
 def _(t):
-    return resolve.removal_set(resolve.resolve_values(t.sql(v.VALUES), t.sql(v.ARTICLES), SITE))
+    return resolve.removal_set(resolve.resolve_values(t.sql(v.VALUES), t.sql(v.ARTICLES, spread=True), SITE))
 
 
 # --- jobs over stores ----------------------------------------------------------------------

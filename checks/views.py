@@ -125,8 +125,18 @@ class Tables:
     def __getitem__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def sql(self, text: str) -> DataFrame:
-        used = {t: self[t] for t in TABLES if "{" + t + "}" in text}
+    def spread(self, name: str) -> DataFrame:
+        """The table over all cores, where its file has fewer row groups than that.
+
+        For queries that spend their time on text. A large table has more
+        splits than the cluster has cores, and is read as it is.
+        """
+        df, cores = self[name], self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, df.columns[0])
+
+    def sql(self, text: str, spread: bool = False) -> DataFrame:
+        read = self.spread if spread else self.__getitem__
+        used = {t: read(t) for t in TABLES if "{" + t + "}" in text}
         text = text.replace("{", "{{").replace("}", "}}")  # other braces are JSON
         for t in used:
             text = text.replace("{{" + t + "}}", "{" + t + "}")
