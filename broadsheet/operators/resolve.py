@@ -51,12 +51,8 @@ def _gram_length(text: Column) -> Column:
 
 
 def _grams(text: Column, n: int) -> Column:
-    """Distinct overlapping grams of one length, in one pass over the text."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
-
-
-def _labelled(grams: Column, n: int) -> Column:
-    return F.transform(grams, lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
+    """Overlapping grams of one length, in one pass over the text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
 
 def _rarest_gram(needles: DataFrame) -> DataFrame:
@@ -67,7 +63,7 @@ def _rarest_gram(needles: DataFrame) -> DataFrame:
     """
     own = F.lit(None)
     for n in GRAM_LENGTHS:
-        own = F.when(F.col("n") == n, _grams(F.col("needle"), n)).otherwise(own)
+        own = F.when(F.col("n") == n, F.array_distinct(_grams(F.col("needle"), n))).otherwise(own)
     grams = needles.select("value", "needle", _gram_length(F.col("needle")).alias("n")).select(
         "value", "needle", "n", F.explode(own).alias("gram")
     )
@@ -83,33 +79,40 @@ def _rarest_gram(needles: DataFrame) -> DataFrame:
 def _contained(needles: DataFrame, articles: DataFrame, text: Column, inline_limit: int) -> DataFrame:
     """(url, value) where the needle occurs in the article's text.
 
-    Up to inline_limit needles are constants tested in one pass over the
-    articles; more are joined on grams. Both give the same rows.
+    Up to inline_limit needles, their grams are a constant set that each
+    article's grams are tested against in place, so only real candidates
+    leave the row. More needles are met by a shuffled join on grams, and the
+    text follows to the candidates only. Both give the same rows.
     """
     texts = articles.select("url", text.alias("text"))
-    few = needles.select("needle", "value").limit(inline_limit + 1).collect()
-    if len(few) <= inline_limit:
-        if not few:
-            return texts.select("url", F.col("url").alias("value")).limit(0)
-        listed = F.array(*[F.struct(F.lit(r.needle).alias("needle"), F.lit(r.value).alias("value")) for r in few])
-        hits = once(
-            F.col("text"), lambda t: F.filter(listed, lambda v: F.contains(t, v["needle"]))
-        )
-        return texts.select("url", F.explode(hits).alias("v")).select("url", "v.value")
     keyed = _rarest_gram(needles)
-    # At most seven lengths exist, so this collects at most seven numbers.
-    lengths = sorted(r.n for r in keyed.select("n").distinct().collect())
-    every = once(
-        F.col("text"), lambda t: F.concat(*[_labelled(_grams(t, n), n) for n in lengths])
-    )
-    grams = texts.select("url", "text", F.explode(every).alias("g")).select(
-        "url", "text", "g.n", "g.gram"
-    )
-    return (
-        grams.join(keyed, ["n", "gram"])
-        .filter(F.contains(F.col("text"), F.col("needle")))
-        .select("url", "value")
-    )
+    few = keyed.limit(inline_limit + 1).collect()
+    inline = len(few) <= inline_limit
+    if inline:
+        keyed = needles.sparkSession.createDataFrame(few, keyed.schema)
+        lengths = sorted({r.n for r in few})
+    else:
+        keyed = materialise(keyed, "keyed")
+        # At most seven lengths exist, so this collects at most seven numbers.
+        lengths = sorted(r.n for r in keyed.select("n").distinct().collect())
+
+    def of_length(t: Column, n: int) -> Column:
+        grams = _grams(t, n)
+        if inline:
+            listed = sorted({r.gram for r in few if r.n == n})
+            grams = F.filter(grams, lambda g: g.isin(listed))
+        return F.transform(
+            F.array_distinct(grams), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"))
+        )
+
+    if not lengths:
+        return texts.select("url", F.col("url").alias("value")).limit(0)
+    grams = once(F.col("text"), lambda t: F.concat(*[of_length(t, n) for n in lengths]))
+    if inline:
+        candidates = texts.select("url", "text", F.inline(grams)).join(keyed, ["n", "gram"])
+    else:
+        candidates = texts.select("url", F.inline(grams)).join(keyed, ["n", "gram"]).join(texts, "url")
+    return candidates.filter(F.contains(F.col("text"), F.col("needle"))).select("url", "value")
 
 
 def _hits(pairs: DataFrame) -> DataFrame:
@@ -121,7 +124,7 @@ def _hits(pairs: DataFrame) -> DataFrame:
 
 
 def resolve_values(
-    values: DataFrame, articles: DataFrame, site_host: str, inline_limit: int = 500
+    values: DataFrame, articles: DataFrame, site_host: str, inline_limit: int = 10_000
 ) -> DataFrame:
     """One row per outcome: (outcome, key).
 

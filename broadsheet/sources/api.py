@@ -24,13 +24,14 @@ def read_api_landing(responses: DataFrame) -> DataFrame:
     A response counts if its HTTP status is 200 and its own status 'ok'. The
     source is an object with a name, or plain text.
     """
-    body = F.from_json("body", "status string, articles array<string>")
+    # One-element inlines: a later filter must not parse the text again.
+    body = F.array(F.from_json("body", "status string, articles array<string>"))
     items = (
         responses.filter(F.coalesce("status_code", F.lit(200)) == 200)
-        .select("category", "category_ord", "page", body.alias("b"))
-        .filter("b.status = 'ok'")
-        .select("category", "category_ord", "page", F.posexplode("b.articles").alias("pos", "raw"))
-        .select("*", F.from_json("raw", _ITEM).alias("a"))
+        .select("category", "category_ord", "page", F.inline(body))
+        .filter("status = 'ok'")
+        .select("category", "category_ord", "page", F.posexplode("articles").alias("pos", "raw"))
+        .select("*", F.explode(F.array(F.from_json("raw", _ITEM))).alias("a"))
     )
     named = F.get_json_object("a.source", "$.name")
     is_object = F.col("a.source").startswith("{")

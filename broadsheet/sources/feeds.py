@@ -28,7 +28,8 @@ DOCUMENT = (
 
 def read_feed_landing(feeds: DataFrame) -> DataFrame:
     """Entries of the readable feeds in order. A failed or malformed feed gives no rows."""
-    doc = F.from_xml("body", DOCUMENT, {"ignoreNamespace": "true"})
+    # One-element explode: the document is parsed once, whatever is read from it.
+    doc = F.explode(F.array(F.from_xml("body", DOCUMENT, {"ignoreNamespace": "true"})))
     docs = feeds.filter(F.coalesce("status_code", F.lit(200)) == 200).select(
         "feed_url", "feed_ord", doc.alias("d")
     )

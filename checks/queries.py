@@ -563,7 +563,7 @@ def _(t):
 
 def _responses(t) -> DataFrame:
     """Each document as a page of an API answer with one article, in the ways these come."""
-    doc = t.sql(v.BATCH)
+    doc = t.sql(v.BATCH, spread=True)
     n = F.col("doc_id")
     zone = F.when(n % 3 == 0, "Z").otherwise("+02:00")
     published = F.when(n % 37 == 0, "some day").otherwise(
@@ -645,7 +645,7 @@ _FEED_TITLE = "trim(title, concat(' ', chr(10), chr(9)))"
 
 def _feed_documents(t) -> DataFrame:
     """Each document as a feed of one entry: RSS or, for German, Atom; some failed or broken."""
-    doc = t.sql(v.BATCH)
+    doc = t.sql(v.BATCH, spread=True)
     n = F.col("doc_id")
     when = F.to_timestamp("published_at", "yyyy-MM-dd HH:mm")
     escaped = {c: text.html_escape(c) for c in ("title", "url", "source")}
