@@ -6,6 +6,13 @@ from pyspark.sql import Column, functions as F
 
 MINUTE = "yyyy-MM-dd HH:mm"
 
+# Zone names of mail dates and their offsets, in summer and winter alike.
+MAIL_ZONES = {
+    "UT": "+0000", "UTC": "+0000", "GMT": "+0000", "Z": "+0000",
+    "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500",
+    "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700",
+}
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -49,16 +56,17 @@ def _feed_instant(c) -> Column:
     text = F.regexp_replace(F.trim(_col(c)), r"^[A-Za-z]{3,9},?\s+", "")
     text = F.regexp_replace(text, r"\s+", " ")
     mail = F.when(text.rlike(r"\d:\d{2}$"), F.concat(text, F.lit(" +0000"))).otherwise(text)
-    mail = F.regexp_replace(mail, r" (UT|Z)$", " +0000")
+    mail = F.regexp_replace(mail, r"([+-]\d{2}):(\d{2})$", "$1$2")
+    for zone, offset in MAIL_ZONES.items():
+        mail = F.regexp_replace(mail, f" {zone}$", f" {offset}")
     iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(text, F.lit("T00:00:00Z"))).when(
         text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]") & ~text.rlike(r"(Z|[+-]\d{2}:?\d{2})$"),
         F.concat(text, F.lit("Z")),
     ).otherwise(text)
     formats = [
-        f"d MMM {year} {clock} {zone}"
+        f"d MMM {year} {clock} Z"
         for year in ("yyyy", "yy")
         for clock in ("HH:mm:ss", "HH:mm")
-        for zone in ("Z", "z")
     ]
     is_mail = text.rlike(r"^\d{1,2} [A-Za-z]{3} (\d{4}|\d{2}) ")
     parsed = F.coalesce(*[F.try_to_timestamp(mail, F.lit(f)) for f in formats])

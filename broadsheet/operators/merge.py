@@ -39,6 +39,7 @@ def absent_from(batch: DataFrame, store: DataFrame) -> DataFrame:
 
     The store is first cut down to the urls of the batch: with a small batch
     that is a filter over the store's url column, and no store row is shuffled.
+    The batch is looked at twice, so hand in a materialised one if it is costly.
     """
     urls = batch.select("url").distinct()
     present = store.select("url").join(urls, "url", "left_semi")

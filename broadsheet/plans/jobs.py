@@ -67,7 +67,8 @@ def curate(
     cfg = cfg or Settings()
     before = raw.read()
     facts = {"removed": expired(before, run_at, cfg.hours).count()}
-    batch = land(responses, feeds, allowed, run_at, cfg)
+    # Landed documents are parsed once; the insert looks at the batch twice.
+    batch = materialise(land(responses, feeds, allowed, run_at, cfg), "landed")
     raw.write(refreshed_store(before, batch, exclusions, LANDING_ORDER, run_at, cfg.hours))
     store = raw.read()
     facts["stored"] = store.count()
@@ -185,7 +186,7 @@ def append_batch(store: Store, batch: DataFrame, exclusions: DataFrame, order: l
 
     A batch delivered again finds its rows stored and adds nothing.
     """
-    rows = batch.select("*", F.lit(None).cast("double").alias("relevance_score"),
+    rows = materialise(batch, "landed").select("*", F.lit(None).cast("double").alias("relevance_score"),
                         F.lit(None).cast("double").alias("sentiment_score"),
                         F.lit(False).alias("manual_review"))
     added = materialise(

@@ -5,7 +5,14 @@ Tables stand in braces: Spark gets frames for them, DuckDB their names.
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ["documents", "labels", "pages", "events", "benchmark", "conversations"]
+# Columns of the tables used, so that reading one needs no look into its files.
+SCHEMAS = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "pages": "page_id bigint, url string, html string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+TABLES = list(SCHEMAS)
 
 _PUBLISHED = (
     "concat('2024-01-', lpad(cast(1 + doc_id % 28 AS string), 2, '0'), ' ', "
@@ -123,7 +130,7 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
 
     def __getitem__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
     def spread(self, name: str) -> DataFrame:
         """The table over all cores, where its file has fewer row groups than that.
