@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, functions as F
 from broadsheet.functions.keys import store_key
 from broadsheet.functions.lexicon import DEFAULT_LEXICON, Lexicon
 from broadsheet.operators.filters import expired
-from broadsheet.operators.judge import attach_scores, sentiment_gate
+from broadsheet.operators.judge import (
+    attach_scores, compare_judges, compare_summary, sentiment_gate,
+)
 from broadsheet.operators.merge import (
     absent_from, add_exclusions, drop_exclusions, insert_absent, mark_reviewed,
     merge_reviewed, new_articles, remove_keys,
@@ -22,6 +24,7 @@ from broadsheet.operators.publish import (
 from broadsheet.operators.relevance import relevance_gate
 from broadsheet.operators.resolve import removal_set, resolve_values
 from broadsheet.plans.curation import rebuilt_filtered, refreshed_store
+from broadsheet.plans.listing import list_articles
 from broadsheet.session import materialise
 from broadsheet.sources.api import api_articles, read_api_landing
 from broadsheet.sources.feeds import LANDING_ORDER, feed_articles, land_all, read_feed_landing
@@ -97,6 +100,21 @@ def curate(
     return facts
 
 
+def compare_targets(
+    store: DataFrame, scores: DataFrame, run_at: datetime, hours: float,
+    limit: int | None = None, cfg: Settings | None = None, targets: tuple[str, str] = ("local", "remote"),
+) -> tuple[DataFrame, DataFrame] | None:
+    """Rows and summary of a comparison; None if a target left an article unscored."""
+    cfg = cfg or Settings()
+    asked = materialise(
+        list_articles(store, run_at, hours, True, limit, cfg.min_score, cfg.lexicon), "asked"
+    )
+    compared = materialise(compare_judges(asked, scores, cfg.max_score, *targets), "compared")
+    if compared.count() < asked.count():
+        return None
+    return compared, compare_summary(compared)
+
+
 def publish_archive(archive: Archive, path: str, store: str = FILTERED) -> None:
     """Write the digest of every archive date, in one job."""
     rows = archive_articles(archive.read(store))

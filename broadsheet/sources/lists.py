@@ -15,15 +15,26 @@ def exclusions_from(rows: DataFrame, order: list) -> DataFrame:
     return upsert_exclusions(empty, filled, order)
 
 
+ONE_TASK_BYTES = 64 * 1024 * 1024
+
+
+def _read_csv(spark: SparkSession, path: str, **options) -> DataFrame:
+    """A CSV file with header. Fields may hold line breaks as long as one task
+    can read the file; a larger file is split, and its fields are one line each."""
+    small = path_size(spark, path) <= ONE_TASK_BYTES
+    return spark.read.csv(path, header=True, multiLine=small, escape='"', **options)
+
+
 def read_exclusions(spark: SparkSession, path: str, missing_ok: bool = True) -> DataFrame:
     """Exclusion list from a CSV file with header url,reason,excluded_at."""
     if missing_ok and not path_exists(spark, path):
         return spark.createDataFrame([], EXCLUSION)
-    rows = spark.read.csv(path, header=True, multiLine=True, escape='"', schema=EXCLUSION)
-    # multiLine reads one file in one task, so the id follows the file's order.
-    return exclusions_from(
-        rows.withColumn("_line", F.monotonically_increasing_id()), [F.col("_line").desc()]
+    rows = _read_csv(spark, path, schema=EXCLUSION).select(
+        "*", "_metadata.file_path", "_metadata.file_block_start",
+        F.monotonically_increasing_id().alias("_line"),
     )
+    last_first = [F.col(c).desc() for c in ("file_path", "file_block_start", "_line")]
+    return exclusions_from(rows, last_first)
 
 
 def write_exclusions(exclusions: DataFrame, path: str) -> None:
@@ -35,12 +46,31 @@ def write_exclusions(exclusions: DataFrame, path: str) -> None:
 
 def read_values(spark: SparkSession, path: str) -> DataFrame:
     """Values from the url column of a CSV file, blank rows left out."""
-    rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    rows = _read_csv(spark, path)
     return rows.select(F.col("url").alias("value")).filter(
         "value is not null and trim(value) <> ''"
     )
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
+def _locate(spark: SparkSession, path: str):
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, hadoop = _locate(spark, path)
+    return fs.exists(hadoop)
+
+
+def path_size(spark: SparkSession, path: str) -> int:
+    fs, hadoop = _locate(spark, path)
+    return fs.getContentSummary(hadoop).getLength()
+
+
+def subfolders(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """Names of the folders in a folder that start with a prefix, in order."""
+    fs, hadoop = _locate(spark, path)
+    if not fs.exists(hadoop):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(hadoop) if s.isDirectory()]
+    return sorted(n for n in names if n.startswith(prefix))

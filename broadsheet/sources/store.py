@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from broadsheet.functions.times import timestamp_of
 from broadsheet.schemas import ARTICLE, ARTICLE_COLUMNS, as_articles
-from broadsheet.sources.lists import path_exists
+from broadsheet.sources.lists import path_exists, subfolders
 
 
 class Store:
@@ -23,20 +23,12 @@ class Store:
         self.spark = spark
         self.path = path.rstrip("/")
 
-    def _folders(self, folder: str, prefix: str) -> list[str]:
-        if not path_exists(self.spark, folder):
-            return []
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = sorted(s.getPath().getName() for s in fs.listStatus(hadoop) if s.isDirectory())
-        return [n for n in names if n.startswith(prefix)]
-
     def _done(self, folder: str) -> bool:
         return path_exists(self.spark, f"{folder}/_SUCCESS")
 
     def version(self) -> int:
         """Number of the newest version, 0 for an empty store."""
-        for name in reversed(self._folders(self.path, "v=")):
+        for name in reversed(subfolders(self.spark, self.path, "v=")):
             if self._done(f"{self.path}/{name}/base"):
                 return int(name[2:])
         return 0
@@ -49,7 +41,7 @@ class Store:
         if not version:
             return self.spark.createDataFrame([], ARTICLE)
         folder = self._folder(version)
-        segments = [f"{folder}/{s}" for s in self._folders(folder, "add-")]
+        segments = [f"{folder}/{s}" for s in subfolders(self.spark, folder, "add-")]
         paths = [f"{folder}/base", *[s for s in segments if self._done(s)]]
         return as_articles(self.spark.read.schema(ARTICLE).parquet(*paths))
 

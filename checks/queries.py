@@ -853,6 +853,21 @@ def _(t):
     )
 
 
+@query("archive_written", f"""
+SELECT 'filtered_articles' AS store, '2024-01-19' AS snapshot_date, url, title FROM ({v.ARTICLES}) a WHERE category = 'en'
+UNION ALL SELECT 'articles', '2024-01-19', url, title FROM ({v.ARTICLES}) a
+UNION ALL SELECT 'articles', '2024-01-20', url, title FROM ({v.ARTICLES}) a""")
+def _(t):
+    archive, articles = stores.Archive(t.spark, _fresh(t, "archive")), t.sql(v.ARTICLES)
+    day = datetime(2024, 1, 19, 4, 0)
+    archive.snapshot(filters.by_category(articles, "en"), "filtered_articles", day)
+    archive.snapshot(articles, "articles", day)
+    archive.snapshot(articles, "articles", RUN_AT)
+    return archive.read().select(
+        "store", F.col("snapshot_date").cast("string").alias("snapshot_date"), "url", "title"
+    )
+
+
 @query("archive_dates", f"SELECT DISTINCT cast(snapshot_date AS string) AS snapshot_date FROM ({_SNAPSHOTS}) x")
 def _(t):
     return stores.archive_dates(_snapshots(t)).select(F.col("snapshot_date").cast("string").alias("snapshot_date"))
@@ -884,7 +899,13 @@ def _(t):
     return publish.published_articles(t.sql(v.ARTICLES)).select("url", "title", "rank", "slug")
 
 
-@query("publish_payload")
+@query("publish_payload", f"""
+SELECT count(*) AS articles, replace(cast(to_json(list({{'url': url, 'title': title, 'description': description,
+  'source': source, 'published_at': published_at, 'slug': slug}} ORDER BY rank)) AS varchar), '</', '<\\/') AS payload
+FROM (SELECT *, CASE WHEN nth = 1 THEN base ELSE concat(base, '-', cast(nth AS string)) END AS slug
+FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY rank) AS nth FROM (
+  SELECT *, {_slug_sql()} AS base, row_number() OVER (ORDER BY {NEWEST}) AS rank
+  FROM ({v.ARTICLES}) a QUALIFY rank <= 30) b) c) d""")
 def _(t):
     return publish.publish_payload(publish.published_articles(t.sql(v.ARTICLES)))
 

@@ -67,13 +67,13 @@ SELECT upper(concat('https://', source, '.example.com/', cast(doc_id AS string),
 FROM {documents} d JOIN {labels} l USING (doc_id) WHERE toxic = 1"""
 
 # Two judges over the labelled documents.
-SCORES = """
-SELECT target, concat('https://', source, '.example.com/', cast(doc_id AS string)) AS url,
-  CASE WHEN target = 'local' THEN base
-       ELSE cast(round(base + (n_chars % 7 - 3) / 10.0, 1) AS double) END AS score
-FROM (SELECT d.*, cast(CASE WHEN toxic = 1 THEN -0.8 WHEN quality = 1 THEN 0.4 ELSE -0.2 END AS double) AS base
-      FROM {documents} d JOIN {labels} l USING (doc_id)) s
-CROSS JOIN (SELECT 'local' AS target UNION ALL SELECT 'remote') t"""
+_LABELLED = """SELECT concat('https://', source, '.example.com/', cast(doc_id AS string)) AS url, n_chars,
+  cast(CASE WHEN toxic = 1 THEN -0.8 WHEN quality = 1 THEN 0.4 ELSE -0.2 END AS double) AS base
+FROM {documents} d JOIN {labels} l USING (doc_id)"""
+SCORES = f"""
+SELECT 'local' AS target, url, base AS score FROM ({_LABELLED}) s
+UNION ALL
+SELECT 'remote', url, cast(round(base + (n_chars % 7 - 3) / 10.0, 1) AS double) FROM ({_LABELLED}) s"""
 
 # Pages as web clips in a note collection.
 NOTES = """

@@ -206,6 +206,16 @@ def test_listings(spark, articles):
     assert [r.url for r in listing.list_articles(store, RUN_AT, 8, topic_only=True, lexicon=LEX).collect()] == ["b", "a"]
 
 
+def test_compare_needs_every_score(spark, articles):
+    store = articles(*[{"url": u, "title": "flood", "published_at": "2026-07-01 11:00"} for u in "ab"])
+    data = [("local", "a", -1.0), ("remote", "a", 1.0), ("local", "b", -1.0)]
+    cfg = jobs.Settings(lexicon=LEX)
+    assert jobs.compare_targets(store, spark.createDataFrame(data, SCORE), RUN_AT, 8, cfg=cfg) is None
+    full = spark.createDataFrame([*data, ("remote", "b", -1.0)], SCORE)
+    _rows, summary = jobs.compare_targets(store, full, RUN_AT, 8, cfg=cfg)
+    assert summary.first().asDict() == {"articles": 2, "mean_abs_delta": 1.0, "disagreements": 1}
+
+
 def test_stream_is_incremental_and_idempotent(world, exclusions, rows, tmp_path):
     folder = f"{tmp_path}/landing"
 
