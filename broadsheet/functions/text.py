@@ -27,12 +27,13 @@ def slug(title, url) -> Column:
     """Anchor-safe slug of a title; a short url hash where the title has no letters."""
     words = F.regexp_replace(F.lower(F.coalesce(_col(title), F.lit(""))), "[^a-z0-9]+", "-")
     base = F.btrim(words, F.lit("-"))
-    cut = F.regexp_replace(F.left(base, F.lit(SLUG_LIMIT)), "-[^-]*$", "")
-    return (
-        F.when(base == "", F.left(F.sha1(F.coalesce(_col(url), F.lit(""))), F.lit(8)))
-        .when(F.length(base) > SLUG_LIMIT, cut)
-        .otherwise(base)
-    )
+
+    def finish(base: Column) -> Column:
+        cut = F.regexp_replace(F.left(base, F.lit(SLUG_LIMIT)), "-[^-]*$", "")
+        hashed = F.left(F.sha1(F.coalesce(_col(url), F.lit(""))), F.lit(8))
+        return F.when(base == "", hashed).when(F.length(base) > SLUG_LIMIT, cut).otherwise(base)
+
+    return once(base, finish)
 
 
 def html_escape(c) -> Column:

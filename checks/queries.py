@@ -397,7 +397,7 @@ SELECT url, CASE WHEN nth = 1 THEN base ELSE concat(base, '-', cast(nth AS strin
 FROM (SELECT url, base, row_number() OVER (PARTITION BY base ORDER BY {NEWEST}) AS nth
       FROM (SELECT *, {_slug_sql()} AS base FROM ({v.ARTICLES}) a) b) c""")
 def _(t):
-    slim = t.sql(v.ARTICLES).select("url", "title", "published_at", "source")
+    slim = t.sql(v.ARTICLES, spread=True).select("url", "title", "published_at", "source")
     return publish.unique_slugs(slim).select("url", "slug")
 
 
