@@ -4,6 +4,8 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, functions as F
 
+from broadsheet.functions.text import once
+
 MINUTE = "yyyy-MM-dd HH:mm"
 
 # Zone names of mail dates and their offsets, in summer and winter alike.
@@ -52,26 +54,40 @@ def iso_minute(c) -> Column:
     return F.when(F.try_to_timestamp(minute, F.lit(MINUTE)).isNotNull(), minute)
 
 
+MAIL_SHAPE = r"^(?:[A-Za-z]{3,9},? +)?(\d{1,2}) ([A-Za-z]{3}) (\d{4}|\d{2}) (\d{1,2}:\d{2})(:\d{2})? ?(.*)$"
+
+
+def _mail_instant(text: Column) -> Column:
+    """Mail date: one canonical spelling, parsed once; null if it is none."""
+    day, month, year, clock, seconds, zone = (
+        F.regexp_extract(text, MAIL_SHAPE, i) for i in range(1, 7)
+    )
+    named = F.create_map(*[F.lit(x) for pair in MAIL_ZONES.items() for x in pair])
+    offset = (
+        F.when(zone == "", "+0000")
+        .when(zone.rlike(r"^[+-]\d{2}:?\d{2}$"), F.replace(zone, F.lit(":")))
+        .otherwise(F.try_element_at(named, F.upper(zone)))
+    )
+    full = F.concat(
+        day, F.lit(" "), F.initcap(month), F.lit(" "),
+        F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year),
+        F.lit(" "), clock, F.when(seconds == "", ":00").otherwise(seconds), F.lit(" "), offset,
+    )
+    return F.try_to_timestamp(full, F.lit("d MMM yyyy H:mm:ss Z"))
+
+
+def _iso_instant(text: Column) -> Column:
+    full = (
+        F.when(F.length(text) == 10, F.concat(text, F.lit("T00:00:00Z")))
+        .when(text.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), text)
+        .otherwise(F.concat(text, F.lit("Z")))
+    )
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}([T ]|$)"), F.try_to_timestamp(full))
+
+
 def _feed_instant(c) -> Column:
-    text = F.regexp_replace(F.trim(_col(c)), r"^[A-Za-z]{3,9},?\s+", "")
-    text = F.regexp_replace(text, r"\s+", " ")
-    mail = F.when(text.rlike(r"\d:\d{2}$"), F.concat(text, F.lit(" +0000"))).otherwise(text)
-    mail = F.regexp_replace(mail, r"([+-]\d{2}):(\d{2})$", "$1$2")
-    for zone, offset in MAIL_ZONES.items():
-        mail = F.regexp_replace(mail, f" {zone}$", f" {offset}")
-    iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(text, F.lit("T00:00:00Z"))).when(
-        text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]") & ~text.rlike(r"(Z|[+-]\d{2}:?\d{2})$"),
-        F.concat(text, F.lit("Z")),
-    ).otherwise(text)
-    formats = [
-        f"d MMM {year} {clock} Z"
-        for year in ("yyyy", "yy")
-        for clock in ("HH:mm:ss", "HH:mm")
-    ]
-    is_mail = text.rlike(r"^\d{1,2} [A-Za-z]{3} (\d{4}|\d{2}) ")
-    parsed = F.coalesce(*[F.try_to_timestamp(mail, F.lit(f)) for f in formats])
-    is_iso = text.rlike(r"^\d{4}-\d{2}-\d{2}")
-    return F.when(is_mail, parsed).when(is_iso, F.try_to_timestamp(iso))
+    text = F.regexp_replace(F.trim(_col(c)), r"\s+", " ")
+    return once(text, lambda t: F.coalesce(_mail_instant(t), _iso_instant(t)))
 
 
 def feed_minute(published, updated, run_at: datetime) -> Column:

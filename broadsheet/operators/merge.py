@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from broadsheet.functions.keys import exclusion_key, store_key
 from broadsheet.functions.times import exclusion_stamp
 from broadsheet.operators.dedup import dedup_first
+from broadsheet.session import materialise
 
 
 def _keys(df: DataFrame, key) -> DataFrame:
@@ -47,10 +48,14 @@ def absent_from(batch: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def new_articles(store: DataFrame, batch: DataFrame, exclusions: DataFrame, order: list) -> DataFrame:
-    """The rows an insert would add: first of each url, not excluded, not stored yet."""
+    """The rows an insert would add: first of each url, not excluded, not stored yet.
+
+    The reduced batch is written once: it is parsed and deduplicated a single
+    time, and its known size decides whether its urls are broadcast.
+    """
     keyed = batch.withColumn("url", store_key("url")).filter("url is not null and url <> ''")
     first = dedup_first(keyed, "url", order)
-    return absent_from(not_excluded(first, exclusions), store)
+    return absent_from(materialise(not_excluded(first, exclusions), "batch"), store)
 
 
 def insert_absent(store: DataFrame, batch: DataFrame, exclusions: DataFrame, order: list) -> DataFrame:

@@ -27,7 +27,7 @@ def note_source_url(text: str = "text") -> Column:
     lines = F.slice(F.split(F.col(text), r"\R", LINES_SCANNED + 1), 1, LINES_SCANNED)
     bare = F.transform(lines, lambda line: F.rtrim(strip_ws(line), F.lit(".,)")))
     links = F.filter(
-        bare, lambda line: line.rlike(r"^https?://\S+$") & ~line.contains("localhost")
+        bare, lambda line: line.rlike(r"(?U)^https?://\S+$") & ~line.contains("localhost")
     )
     return F.get(links, F.lit(0))
 

@@ -43,7 +43,11 @@ def curated_articles(
     pinned row that fails them keeps the scores it is stored with.
     """
     stored = store.withColumns({"_rel": F.col("relevance_score"), "_sent": F.col("sentiment_score")})
-    judged = attach_scores(relevance_score(stored, lexicon), scores)
+    # Only rows that can still stay carry their texts into the join.
+    chance = relevance_score(stored, lexicon).filter(
+        (F.col("relevance_score") >= min_score) | F.col("manual_review")
+    )
+    judged = attach_scores(chance, scores)
     passed = F.coalesce(
         (F.col("relevance_score") >= min_score) & (F.col("sentiment_score") <= max_score), F.lit(False)
     )

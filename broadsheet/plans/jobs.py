@@ -55,6 +55,19 @@ def land(responses: DataFrame, feeds: DataFrame, allowed: DataFrame, run_at: dat
     return land_all(api, rss)
 
 
+def refresh(
+    raw: Store, responses: DataFrame, feeds: DataFrame, allowed: DataFrame, exclusions: DataFrame,
+    run_at: datetime, cfg: Settings | None = None,
+) -> dict:
+    """Prune the raw store and insert what landed, with no gate; returns the counts."""
+    cfg = cfg or Settings()
+    before = raw.read()
+    removed = expired(before, run_at, cfg.hours).count()
+    batch = land(responses, feeds, allowed, run_at, cfg)
+    raw.write(refreshed_store(before, batch, exclusions, LANDING_ORDER, run_at, cfg.hours))
+    return {"removed": removed, "stored": raw.read().count()}
+
+
 def curate(
     raw: Store, filtered: Store, archive: Archive,
     responses: DataFrame, feeds: DataFrame, allowed: DataFrame, exclusions: DataFrame,
@@ -68,13 +81,8 @@ def curate(
     they are; the raw store is written and archived all the same.
     """
     cfg = cfg or Settings()
-    before = raw.read()
-    facts = {"removed": expired(before, run_at, cfg.hours).count()}
-    # Landed documents are parsed once; the insert looks at the batch twice.
-    batch = materialise(land(responses, feeds, allowed, run_at, cfg), "landed")
-    raw.write(refreshed_store(before, batch, exclusions, LANDING_ORDER, run_at, cfg.hours))
+    facts = refresh(raw, responses, feeds, allowed, exclusions, run_at, cfg)
     store = raw.read()
-    facts["stored"] = store.count()
 
     if cfg.filter_enabled:
         relevant = materialise(relevance_gate(store, cfg.min_score, cfg.lexicon), "relevant")
@@ -204,7 +212,7 @@ def append_batch(store: Store, batch: DataFrame, exclusions: DataFrame, order: l
 
     A batch delivered again finds its rows stored and adds nothing.
     """
-    rows = materialise(batch, "landed").select("*", F.lit(None).cast("double").alias("relevance_score"),
+    rows = batch.select("*", F.lit(None).cast("double").alias("relevance_score"),
                         F.lit(None).cast("double").alias("sentiment_score"),
                         F.lit(False).alias("manual_review"))
     added = materialise(

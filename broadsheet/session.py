@@ -1,5 +1,6 @@
 """Session for local runs, and the shared folder that cuts long lineages."""
 
+import functools
 import tempfile
 import uuid
 
@@ -33,9 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    folder = tempfile.mkdtemp(prefix="broadsheet-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_dir(spark.sparkContext.applicationId)
+
+
+@functools.cache
+def _local_dir(application: str) -> str:
+    # The setting is fixed once a session runs, so the folder is remembered here.
+    return tempfile.mkdtemp(prefix="broadsheet-")
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

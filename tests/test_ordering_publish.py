@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.operators import publish
 from broadsheet.operators.ordering import newest_first, positions, store_order, top_articles
+from broadsheet.session import shared_dir
 from broadsheet.sources.store import Archive, Store, archive_articles, archive_dates
 
 RUN_AT = datetime(2026, 7, 1, 4, 0)
@@ -57,6 +58,35 @@ def test_slugs_of_a_hot_title(spark, many_tasks):
     assert got == want
 
 
+def test_nothing_to_number(spark):
+    assert publish.unique_slugs(hot(spark, 0)).count() == 0
+    assert positions(hot(spark, 0), newest_first()).count() == 0
+
+
+class Unset:
+    """A session without the setting."""
+
+    class conf:
+        get = staticmethod(lambda key, default: default)
+
+    def __init__(self, master):
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": master})
+
+
+def test_tables_go_to_the_named_folder(spark):
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        assert shared_dir(spark) == named.rstrip("/")
+    files = positions(hot(spark, 30), newest_first()).inputFiles()
+    assert files and all(shared_dir(spark) in f for f in files)
+
+
+def test_only_a_local_session_may_lack_the_setting():
+    assert shared_dir(Unset("local[2]")) == shared_dir(Unset("local[2]"))
+    with pytest.raises(RuntimeError):
+        shared_dir(Unset("yarn"))
+
+
 def test_bounded_slugs_agree(spark):
     df = hot(spark, 300)
     a = publish.unique_slugs(df, at_most=300).select("url", "slug")
