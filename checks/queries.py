@@ -1,5 +1,6 @@
 """Every operator as a query over the given tables, with its SQL where it has one."""
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -14,7 +15,7 @@ from broadsheet.plans import curation, jobs, listing
 from broadsheet.schemas import ARTICLE, ARTICLE_COLUMNS
 from broadsheet.session import materialise, shared_dir
 from broadsheet.sources import api, feeds, lists, store as stores
-from broadsheet.streaming.landing import stream_landing
+from broadsheet.streaming.landing import stream_feeds, stream_landing
 from checks import views as v
 from checks.views import Tables, duck
 
@@ -344,6 +345,20 @@ def _(t):
     return lists.exclusions_from(rows, [F.col("page_id").desc()])
 
 
+@query("exclusion_file", f"SELECT * FROM ({_EXCL_LIST}) l")
+def _(t):
+    path = _fresh(t, "exclusions")
+    lists.write_exclusions(t.sql(v.EXCLUSIONS), path)
+    return lists.read_exclusions(t.spark, path)
+
+
+@query("value_file", "SELECT url AS value FROM {pages}")
+def _(t):
+    path = _fresh(t, "values")
+    t["pages"].select("page_id", "url").write.csv(path, header=True, escape='"')
+    return lists.read_values(t.spark, path)
+
+
 @query("add_exclusions", f"""
 SELECT * FROM ({_EXCL_LIST}) l UNION ALL
 SELECT DISTINCT lower(url), 'manual', '2024-01-20T12:00' FROM ({v.STORE}) s
@@ -587,6 +602,7 @@ def _responses(t) -> DataFrame:
     )
 
 
+# What _responses sends in good answers: pages whose status or HTTP status is an error hold nothing.
 _SIGHTED = f"""SELECT doc_id, category, CASE WHEN category = 'en' THEN 0 WHEN category = 'de' THEN 1 ELSE 2 END AS category_ord,
   lower(url) AS url, CASE WHEN doc_id % 17 = 0 THEN '[Removed]' ELSE title END AS title,
   nullif(description, '') AS description, source,
@@ -953,8 +969,6 @@ def _(t):
 # --- jobs over stores ----------------------------------------------------------------------
 
 def _fresh(t, name: str) -> str:
-    import uuid
-
     return f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
@@ -1032,9 +1046,21 @@ def _(t):
 @query("stream_landing", _API_SQL)
 def _(t):
     landing = _fresh(t, "landing")
-    _responses(t).coalesce(1).write.json(landing)
+    _responses(t).write.json(landing)
     raw = stores.Store(t.spark, _fresh(t, "raw"))
     nothing = t.spark.createDataFrame([], "url string")
     cfg = jobs.Settings(exclude_urls="nowhere.com", exclude_domains="src11")
     stream_landing(t.spark, landing, raw, _allowed(t), nothing, _fresh(t, "checkpoint"), cfg).awaitTermination()
     return raw.read().select("url", "published_at", "title", "description", "source", "category", "author")
+
+
+@query("stream_feeds", _FEED_SQL.replace("SELECT url, CASE", "SELECT lower(url) AS url, CASE", 1))
+def _(t):
+    landing = _fresh(t, "landing")
+    _feed_documents(t).write.json(landing)
+    raw = stores.Store(t.spark, _fresh(t, "raw"))
+    nothing = t.spark.createDataFrame([], "url string")
+    stream_feeds(
+        t.spark, landing, raw, nothing, _fresh(t, "checkpoint"), RUN_AT, jobs.Settings(exclude_urls="/AB,")
+    ).awaitTermination()
+    return raw.read().select("url", "published_at", "title", "description", "source", "category", "author")
