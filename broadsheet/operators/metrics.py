@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame, functions as F
 
 
-
 def run_metrics(stages: dict[str, DataFrame]) -> DataFrame:
     """Rows per named stage and category, as (stage, category, articles)."""
     counted = None

@@ -13,8 +13,8 @@ from broadsheet.operators.judge import (
     attach_scores, compare_judges, compare_summary, sentiment_gate,
 )
 from broadsheet.operators.merge import (
-    absent_from, add_exclusions, drop_exclusions, insert_absent, mark_reviewed,
-    merge_reviewed, new_articles, remove_keys,
+    add_exclusions, drop_exclusions, insert_absent, mark_reviewed, merge_reviewed,
+    new_articles, remove_keys,
 )
 from broadsheet.operators.notes import matching_notes, note_candidates, note_funnel, resolve_notes
 from broadsheet.operators.pages import classify_ingest, ingest_summary, inserted_articles
