@@ -29,6 +29,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from broadsheet.llm.common import map_batches
+
 END = "\x00"  # stands for the mark of a word's end; byte-level texts never hold it
 BASE = -1
 
@@ -244,7 +246,7 @@ def _added(df: DataFrame, column: str, name: str, kind: str, make, arrow) -> Dat
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(make(values), arrow)], [*part.schema.names, name])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{fields}, `{name}` {kind}")
+    return map_batches(df, run, f"{fields}, `{name}` {kind}")
 
 
 def encode(df: DataFrame, path: str, text: str = "text", name: str = "ids") -> DataFrame:
@@ -287,4 +289,5 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    key = docs.schema["doc_id"].dataType.simpleString()
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {key}, n_tokens long, ids_sha256 string, decoded_sha256 string")

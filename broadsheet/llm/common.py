@@ -1,10 +1,14 @@
 """Small helpers shared by the operators of this subpackage."""
 
+import os
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+#: Where the package lies.
+HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -27,6 +31,14 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow, with this library on the path of the Python workers where they see the driver's files."""
+    paths = df.sparkSession.sparkContext.environment
+    if HOME not in paths.get("PYTHONPATH", "").split(os.pathsep):
+        paths["PYTHONPATH"] = os.pathsep.join(filter(None, [HOME, paths.get("PYTHONPATH")]))
+    return df.mapInArrow(work, schema)
+
+
 def map_rows(df: DataFrame, work: Callable[[list[dict]], Iterable[dict]], schema: str, rows: int = 512) -> DataFrame:
     """mapInArrow over slices of at most `rows` rows, so long texts do not pile up as Python objects."""
     from pyspark.sql.types import StructType
@@ -40,4 +52,4 @@ def map_rows(df: DataFrame, work: Callable[[list[dict]], Iterable[dict]], schema
                 out = list(work(batch.slice(at, rows).to_pylist()))
                 yield pa.RecordBatch.from_pylist(out, schema=target)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)

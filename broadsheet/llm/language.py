@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from broadsheet.llm.common import map_rows
+from broadsheet.llm.common import map_batches, map_rows
 
 BUCKETS = 1 << 15
 ROUNDS = 12
@@ -89,7 +89,7 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             )
 
     known = docs.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = known.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    counts = map_batches(known, count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(counts.column("lang").to_pylist()))
     table = np.zeros((len(names), BUCKETS))
     place = {name: k for k, name in enumerate(names)}
