@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from broadsheet.llm import bpe, chat, language, quality, toxicity
+from broadsheet.llm import bpe, chat, language, quality, recompression, toxicity
 from broadsheet.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = toxicity.score(docs, labels.where(~language.held_out(F.col("doc_id"))))
     return scored.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
+
+
+@query
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.removed_words(table(spark, sf_dir, "documents"))
