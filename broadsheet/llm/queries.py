@@ -4,7 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from broadsheet.llm import bpe, chat, chosenpath, language, quality, recompression, toxicity
+from broadsheet.llm import (
+    bpe, chat, chosenpath, decontamination, language, license, linededup, quality, recompression, toxicity,
+)
 from broadsheet.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +72,18 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosenpath.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+@query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -2,17 +2,53 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from broadsheet.llm import bpe
+from broadsheet.llm import bpe, chosenpath, decontamination, language, linededup, toxicity
+from broadsheet.llm.common import table
 from broadsheet.llm.queries import vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go; labels held out elsewhere are not learned from here either."""
+    labels = table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs, labels.where(~language.held_out(F.col("doc_id"))))
+    toxic = scored.where("predicted = 1").select("doc_id")
+    return docs.join(toxic, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Aligned common blocks of lines go from the later document; a document that loses all its lines goes with them."""
+    kept = linededup.deduplicate(docs, "__lost")
+    kept = kept.where("NOT (__lost > 0 AND text RLIKE '^\\\\s*$')")
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        kept = kept.withColumn("n_chars", F.when(F.col("__lost") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return kept.select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document of smallest id stays."""
+    gone = chosenpath.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__gone"))
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a copy of a test item go."""
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """BPE encoding and decoding: token ids and the decoded text of every document."""
+    """Token ids of every document, and the digests of ids and decoded text."""
     return bpe.token_digests(docs, vocabulary())
 
 
-STAGES: list[tuple[str, Stage]] = [("tokens", tokens)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("tokens", tokens),
+]
