@@ -252,16 +252,6 @@ def _kept(text: str | None, spans: list[tuple[int, int]]) -> tuple[list[str], in
     return out + words[at:], len(words)
 
 
-def _marked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of documents without a repeat, and rows (text, spans of words to remove) of those with one.
-
-    `docs` may have more columns than doc_id and text; they stay.
-    """
-    found = shared_anchors(docs).groupBy("doc_id").agg(F.collect_list(F.struct("core", "at", "lo", "hi", "whole")).alias("anchors"))
-    joined = docs.join(found, "doc_id", "left")
-    return joined.where("anchors IS NULL").drop("anchors"), joined.where("anchors IS NOT NULL")
-
-
 def _spans(texts: DataFrame) -> DataFrame:
     """`spans` of words to remove beside every row with anchors."""
     windows = _removed_windows(texts).groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
@@ -306,20 +296,19 @@ def removed_words(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs with repeated words removed; the text of a changed document is its kept words, joined by spaces."""
-    clean, texts = _marked(docs)
-    changed = _spans(materialise(texts, "repeats"))
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*docs.columns).alias("row"))
+    found = shared_anchors(rows).groupBy("doc_id").agg(F.collect_list(F.struct("core", "at", "lo", "hi", "whole")).alias("anchors"))
+    joined = rows.join(found, "doc_id", "left")
+    changed = _spans(materialise(joined.where("anchors IS NOT NULL"), "repeats"))
+    schema = f"text string, row {rows.schema['row'].dataType.simpleString()}"
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            spans = batch.column(batch.schema.get_field_index("spans")).to_pylist()
             new = []
-            for text, covered in zip(texts, spans):
+            for text, covered in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 kept, n = _kept(text, [(s["lo"], s["hi"]) for s in covered])
                 new.append(text if len(kept) == n else " ".join(kept))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(new, pa.string()) if c == "text" else batch.column(batch.schema.get_field_index(c)) for c in docs.columns], docs.columns
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()), batch.column(2)], ["text", "row"])
 
-    return clean.select(*docs.columns).unionByName(map_batches(changed.select(*docs.columns, "spans"), rewrite, columns))
+    out = joined.where("anchors IS NULL").select("text", "row").unionByName(map_batches(changed.select("text", "spans", "row"), rewrite, schema))
+    return out.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

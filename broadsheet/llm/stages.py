@@ -21,11 +21,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Aligned common blocks of lines go from the later document; a document that loses all its lines goes with them."""
-    kept = linededup.deduplicate(docs, "__lost")
-    kept = kept.where("NOT (__lost > 0 AND text RLIKE '^\\\\s*$')")
+    kept = linededup.deduplicate(docs, "lines lost")
+    lost = F.col("lines lost") > 0
+    kept = kept.where(~lost | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        kept = kept.withColumn("n_chars", F.when(F.col("__lost") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        kept = kept.withColumn("n_chars", F.when(lost, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return kept.select(*docs.columns)
 
 
