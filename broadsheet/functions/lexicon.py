@@ -1,13 +1,15 @@
 """Tiered keyword lexicons and the expressions that match them.
 
-A lexicon is a list of (keyword, weight). It is configuration: driver-side
-constants that fold into the plan.
+A lexicon is a list of (keyword, weight) or (keyword, weight, tier); without a
+tier, a weight is a tier of its own. It is configuration: driver-side constants
+that fold into the plan. A lexicon held as a table is scored by
+operators.relevance.score_by_table, with the same result.
 """
 
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
 # Keywords and tier weights of the default topic.
 PRIMARY_WEIGHT = 3.0
@@ -32,7 +34,7 @@ POLICY = (
     "new york", "florida",
 )
 
-Lexicon = list[tuple[str, float]]
+Lexicon = list[tuple]
 
 DEFAULT_LEXICON: Lexicon = [
     *((k, PRIMARY_WEIGHT) for k in PRIMARY),
@@ -49,6 +51,11 @@ def keyword_pattern(keyword: str) -> str:
     return f"(^|[^{WORD}]){literal}($|[^{WORD}])"
 
 
+def has_word(keyword: str) -> bool:
+    """Whether a keyword has a word character; one without is in no text as a whole word."""
+    return re.search(r"\w", keyword) is not None
+
+
 def is_single_word(keyword: str) -> bool:
     return re.fullmatch(r"\w+", keyword) is not None
 
@@ -66,7 +73,7 @@ def matched_keywords(text: Column, keywords: Iterable[str]) -> Column:
     the list, so the cost does not grow with the lexicon. Phrases and
     hyphenated keywords: a plain substring test guards the regular expression.
     """
-    keywords = list(dict.fromkeys(k.lower() for k in keywords))
+    keywords = list(dict.fromkeys(k.lower() for k in keywords if has_word(k)))
     single = [k for k in keywords if is_single_word(k)]
     other = [k for k in keywords if not is_single_word(k)]
     found = F.array().cast("array<string>")
@@ -82,24 +89,16 @@ def matched_keywords(text: Column, keywords: Iterable[str]) -> Column:
 
 
 def weight_sum(matched: Column, lexicon: Lexicon) -> Column:
-    """Sum of weights of the matched keywords, one intersection per weight."""
-    by_weight: dict[float, dict[str, None]] = {}
-    for keyword, weight in lexicon:
-        by_weight.setdefault(float(weight), {})[keyword.lower()] = None
+    """Sum of weights of the matched keywords; one that stands in two tiers counts in both."""
+    entries = {(k.lower(), float(w), *(tier or [str(float(w))])) for k, w, *tier in lexicon}
+    weights: dict[str, float] = {}
+    for keyword, weight, _ in sorted(entries):
+        weights[keyword] = weights.get(keyword, 0.0) + weight
+    by_weight: dict[float, list[str]] = {}
+    for keyword, weight in weights.items():
+        by_weight.setdefault(weight, []).append(keyword)
     total = F.lit(0.0)
     for weight, keywords in by_weight.items():
         tier = F.array(*[F.lit(k) for k in keywords])
         total = total + F.size(F.array_intersect(matched, tier)) * F.lit(weight)
     return total
-
-
-def read_lexicon(table: DataFrame, max_keywords: int = 10_000) -> Lexicon | None:
-    """A LEXICON(keyword, tier, weight) table as constants, its size checked.
-
-    None where the table is larger: score by join then
-    (operators.relevance.score_by_table).
-    """
-    rows = table.select("keyword", "weight").limit(max_keywords + 1).collect()
-    if len(rows) > max_keywords:
-        return None
-    return [(r.keyword, float(r.weight)) for r in rows]

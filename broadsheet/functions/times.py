@@ -37,20 +37,26 @@ def exclusion_stamp(run_at: datetime) -> str:
     return run_at.strftime("%Y-%m-%dT%H:%M")
 
 
+_CLOCK = r"(?:.(\d{2})(?::?(\d{2})(?::?\d{2}(?:[.,]\d{1,9})?)?)?(?:[Zz]|[+-]\d{2}(?::?\d{2})?)?)?"
+ISO_SHAPES = (
+    r"^(\d{4})-(\d{2})-(\d{2})" + _CLOCK + "$", r"^(\d{4})(\d{2})(\d{2})" + _CLOCK + "$", r"^(\d{4})(?:-(\d{2}))?()()()$",
+)
+
+
 def iso_minute(c) -> Column:
     """ISO 8601 text to minute text. The offset is dropped, not applied.
 
-    Dashed and compact dates, and clock times down to the hour, are read;
-    anything that is no calendar date gives null.
+    Dashed and compact dates, with a clock time down to the hour or none, years
+    and dashed months are read whole; what is left over, or is no calendar
+    date, makes the text null.
     """
     text = _col(c)
-    shape = r"^(\d{4})-?(\d{2})-?(\d{2})(?:.(\d{2})(?::?(\d{2}))?.*)?$"
-    part = [F.regexp_extract(text, shape, i) for i in range(1, 6)]
-    minute = F.concat(
-        part[0], F.lit("-"), part[1], F.lit("-"), part[2], F.lit(" "),
-        F.coalesce(F.nullif(part[3], F.lit("")), F.lit("00")), F.lit(":"),
-        F.coalesce(F.nullif(part[4], F.lit("")), F.lit("00")),
-    )
+    minute = F.lit(None).cast("string")
+    for shape in reversed(ISO_SHAPES):
+        part = [F.regexp_extract(text, shape, i) for i in range(1, 6)]
+        filled = [part[0], *[F.coalesce(F.nullif(p, F.lit("")), F.lit(empty)) for p, empty in zip(part[1:], ("01", "01", "00", "00"))]]
+        spelled = F.concat(filled[0], F.lit("-"), filled[1], F.lit("-"), filled[2], F.lit(" "), filled[3], F.lit(":"), filled[4])
+        minute = F.when(text.rlike(shape), spelled).otherwise(minute)
     return F.when(F.try_to_timestamp(minute, F.lit(MINUTE)).isNotNull(), minute)
 
 

@@ -3,7 +3,7 @@
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from broadsheet.functions.text import strip_ws
 from broadsheet.operators.dedup import dedup_first
@@ -60,14 +60,20 @@ def decode_replies(replies: DataFrame) -> DataFrame:
     content = F.when(
         blank, F.coalesce(F.nullif(F.col("reasoning_content"), F.lit("")), F.col("content"))
     ).otherwise(F.col("content"))
-    is_json = F.try_parse_json("_clean").isNotNull()
+    strict = {"allowSingleQuotes": "false"}
+
+    def items(c: str) -> Column:
+        """Elements of an array: this reader takes a bare NaN and, of a repeated key, the last."""
+        return F.when(F.col(c).startswith("["), F.from_json(c, "array<string>", strict))
+
+    is_json = items("_clean").isNotNull() | F.try_parse_json("_clean").isNotNull()
     found = F.nullif(F.regexp_extract("_clean", OUTER_ARRAY, 0), F.lit(""))
     shape = "array<struct<index:string,sentiment_score:string>>"
-    strict = {"allowSingleQuotes": "false"}
     parsed = (
         replies.withColumn("_clean", strip_ws(F.regexp_replace(content, CODE_FENCE, "")))
         .withColumn("_json", F.when(is_json, F.col("_clean")).otherwise(found))
-        .withColumn("_len", F.json_array_length("_json"))
+        .withColumn("_len", F.size(items("_json")))
+        .withColumn("_len", F.when(F.col("_len") >= 0, F.col("_len")))
         .withColumn("_raw", F.from_json("_json", shape, strict))
         .withColumn(
             "entries",
@@ -78,7 +84,7 @@ def decode_replies(replies: DataFrame) -> DataFrame:
                         e["index"].rlike(r"^\s*[+-]?\d+(\.0+)?\s*$"),
                         F.regexp_replace(F.trim(e["index"]), r"\.0+$", "").try_cast("bigint"),
                     ).alias("idx"),
-                    F.trim(e["sentiment_score"]).try_cast("double").alias("score"),
+                    F.btrim(e["sentiment_score"], F.lit(' "')).try_cast("double").alias("score"),
                 ),
             ),
         )
@@ -92,7 +98,7 @@ def decode_replies(replies: DataFrame) -> DataFrame:
         | F.exists("entries", lambda e: e.isNull() | e["idx"].isNull() | e["score"].isNull())
     )
     status = (
-        F.when(F.col("_json").isNull() | F.try_parse_json("_json").isNull(), "unparsable")
+        F.when(F.col("_json").isNull() | (F.col("_len").isNull() & F.try_parse_json("_json").isNull()), "unparsable")
         .when(F.col("_len").isNull(), "not_an_array")
         .when(malformed, "malformed_entry")
         .when(F.size("missing") > 0, "missing_scores")

@@ -9,27 +9,25 @@ from broadsheet.schemas import PUBLISHED_COLUMNS
 EMPTY_DIGEST = "<p>No archived articles for this date.</p>"  # fixed value
 
 
-def unique_slugs(df: DataFrame, order: list[Column] | None = None, at_most: int | None = None) -> DataFrame:
+def _with_suffix(numbered: DataFrame) -> DataFrame:
+    suffix = F.when(F.col("_nth") > 0, F.concat(F.lit("-"), F.col("_nth") + 1)).otherwise("")
+    return numbered.withColumn("slug", F.concat("_base", suffix)).drop("_base", "_nth")
+
+
+def unique_slugs(df: DataFrame, order: list[Column] | None = None) -> DataFrame:
     """Add a slug; its n-th use in publish order gets the ending -n from 2 on.
 
-    at_most tells that the frame has at most so many rows (a published list):
-    a plain window then numbers them. Otherwise a title may be shared by any
-    number of rows, and they are numbered across tasks.
+    A title may be shared by any number of rows: they are numbered across tasks.
     """
-    order = order or newest_first()
     based = df.withColumn("_base", slug("title", "url"))
-    if at_most is not None and at_most <= 10_000:
-        nth = F.row_number().over(Window.partitionBy("_base").orderBy(*order)) - 1
-        numbered = based.withColumn("_nth", nth.cast("bigint"))
-    else:
-        numbered = positions(based, order, within=["_base"], name="_nth")
-    suffix = F.when(F.col("_nth") > 0, F.concat(F.lit("-"), F.col("_nth") + 1)).otherwise("")
-    return numbered.withColumn("slug", F.concat("_base", suffix)).drop("_base", "_nth")
+    return _with_suffix(positions(based, order or newest_first(), within=["_base"], name="_nth"))
 
 
 def published_articles(store: DataFrame, limit: int = 30) -> DataFrame:
-    """The newest articles with rank and slug."""
-    return unique_slugs(top_articles(store.select(*PUBLISHED_COLUMNS), limit), at_most=limit)
+    """The newest articles with rank and slug; the limit bounds what shares a slug."""
+    top = top_articles(store.select(*PUBLISHED_COLUMNS), limit).withColumn("_base", slug("title", "url"))
+    nth = F.row_number().over(Window.partitionBy("_base").orderBy("rank")) - 1
+    return _with_suffix(top.withColumn("_nth", nth.cast("bigint")))
 
 
 def publish_payload(published: DataFrame) -> DataFrame:
@@ -91,9 +89,13 @@ def digest_order() -> list[Column]:
 
 
 def write_digests(lines: DataFrame, path: str) -> None:
-    """Text files per date; file names sort in line order, a long date spans several."""
+    """Text files per date; file names sort in line order, a long date spans several.
+
+    Only the dates among the lines are replaced; folders of other dates stay as they are.
+    """
     (
         lines.orderBy(*digest_order())
         .select("snapshot_date", F.col("line").alias("value"))
-        .write.mode("overwrite").partitionBy("snapshot_date").text(path)
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("snapshot_date").text(path)
     )

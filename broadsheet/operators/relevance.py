@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from broadsheet.functions.lexicon import (
     DEFAULT_LEXICON, WORD, Lexicon, matched_keywords, topic_text, weight_sum,
 )
+from broadsheet.functions.sieve import sieve
 from broadsheet.functions.text import once
 
 
@@ -14,7 +15,7 @@ def with_keywords(articles: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> Da
     The one-element explode keeps the optimizer from copying the matching
     into every later filter and projection: a text is cut into words once.
     """
-    found = matched_keywords(topic_text(), [k for k, _ in lexicon])
+    found = matched_keywords(topic_text(), [entry[0] for entry in lexicon])
     return articles.select("*", F.explode(F.array(found)).alias("keywords"))
 
 
@@ -45,26 +46,42 @@ def keyword_frequency(articles: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -
 
 
 def score_by_table(articles: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """relevance_score for a LEXICON table too large to be constants in the plan.
-
-    Each keyword is looked up by its first word among the distinct words of
-    the article. Keywords of several words found this way are then verified
-    against the whole text, which is never repeated per word. Articles must
-    be unique by url; every keyword must contain a word character.
+    """relevance_score from a LEXICON(keyword, tier, weight) table of any size.
+
+    The same function of article and lexicon as relevance_score: each tier a
+    keyword stands in counts once, keywords without a word character match
+    nothing. Texts are keyed by their digest, so equal texts are scored once
+    and urls may repeat or be null. A keyword is looked up by that of its words
+    which the fewest keywords have, so phrases that share a common word do not
+    meet every article with it; words no keyword is looked up by go before any
+    shuffle. A phrase found this way is verified against the whole text.
     """
     terms = (
         lexicon.select(F.lower("keyword").alias("keyword"), "tier", "weight")
         .distinct()
-        .withColumn("word", F.regexp_extract("keyword", f"[{WORD}]+", 0))
-        .withColumn("whole", F.col("keyword") == F.col("word"))
+        .groupBy("keyword")
+        .agg(F.sum("weight").alias("weight"))
+        .filter(F.col("keyword").rlike(f"[{WORD}]"))
+    )
+    parts = terms.select(
+        "keyword", "weight", F.explode(F.array_distinct(F.regexp_extract_all("keyword", F.lit(f"[{WORD}]+"), F.lit(0)))).alias("word")
+    )
+    holders = parts.groupBy("word").agg(F.count("*").alias("n"))
+    keyed = (
+        parts.join(holders, "word")
+        .groupBy("keyword", "weight")
+        .agg(F.min(F.struct("n", "word")).alias("rarest"))
+        .select("keyword", "weight", F.col("rarest.word").alias("word"), (F.col("keyword") == F.col("rarest.word")).alias("whole"))
     )
-    words = articles.select(
-        "url", F.explode(F.array_distinct(F.split(topic_text(), f"[^{WORD}]+"))).alias("word")
+    texts = articles.select(topic_text().alias("_text"))
+    words = sieve(
+        texts.select(F.md5("_text").alias("_key"), F.explode(F.array_distinct(F.split("_text", f"[^{WORD}]+"))).alias("word")),
+        "word", keyed.select("word"),
     )
-    phrase = F.when(~F.col("whole"), F.struct("keyword", "tier", "weight"))
+    phrase = F.when(~F.col("whole"), F.struct("keyword", "weight"))
     found = (
-        words.join(terms, "word")
-        .groupBy("url")
+        words.distinct().join(keyed, "word")
+        .groupBy("_key")
         .agg(
             F.sum(F.when(F.col("whole"), F.col("weight"))).alias("_words"),
             F.collect_set(phrase).alias("_phrases"),
@@ -80,7 +97,8 @@ def score_by_table(articles: DataFrame, lexicon: DataFrame) -> DataFrame:
     phrases = F.aggregate(kept, F.lit(0.0), lambda total, p: total + p["weight"])
     score = F.coalesce("_words", F.lit(0.0)) + F.coalesce(phrases, F.lit(0.0))
     return (
-        articles.join(found, "url", "left")
+        articles.withColumn("_key", F.md5(topic_text()))
+        .join(found, "_key", "left")
         .withColumn("relevance_score", score)
         .select(*articles.columns)
     )

@@ -10,6 +10,7 @@ grams of exactly those lengths that occur among the values.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from broadsheet.functions.keys import host_of, removal_key
+from broadsheet.functions.sieve import sieve
 from broadsheet.functions.text import SLUG_LIMIT, once, slug
 from broadsheet.session import materialise
 
@@ -76,42 +77,23 @@ def _rarest_gram(needles: DataFrame) -> DataFrame:
     )
 
 
-def _contained(needles: DataFrame, articles: DataFrame, text: Column, inline_limit: int) -> DataFrame:
+def _contained(needles: DataFrame, articles: DataFrame, text: Column) -> DataFrame:
     """(url, value) where the needle occurs in the article's text.
 
-    Up to inline_limit needles, their grams are a constant set that each
-    article's grams are tested against in place, so only real candidates
-    leave the row. More needles are met by a shuffled join on grams, and the
-    text follows to the candidates only. Both give the same rows.
+    An article's grams go on only if the sieve of the needles' grams lets them
+    pass, before anything is shuffled; they then meet the needles by a join,
+    and the text follows to the candidates only.
     """
     texts = articles.select("url", text.alias("text"))
-    keyed = _rarest_gram(needles)
-    few = keyed.limit(inline_limit + 1).collect()
-    inline = len(few) <= inline_limit
-    if inline:
-        keyed = needles.sparkSession.createDataFrame(few, keyed.schema)
-        lengths = sorted({r.n for r in few})
-    else:
-        keyed = materialise(keyed, "keyed")
-        # At most seven lengths exist, so this collects at most seven numbers.
-        lengths = sorted(r.n for r in keyed.select("n").distinct().collect())
-
-    def of_length(t: Column, n: int) -> Column:
-        grams = _grams(t, n)
-        if inline:
-            listed = sorted({r.gram for r in few if r.n == n})
-            grams = F.filter(grams, lambda g: g.isin(listed))
-        return F.transform(
-            F.array_distinct(grams), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"))
-        )
-
+    keyed = materialise(_rarest_gram(needles), "keyed")
+    # At most seven lengths exist, so this collects at most seven numbers.
+    lengths = sorted(r.n for r in keyed.select("n").distinct().collect())
     if not lengths:
         return texts.select("url", F.col("url").alias("value")).limit(0)
-    grams = once(F.col("text"), lambda t: F.concat(*[of_length(t, n) for n in lengths]))
-    if inline:
-        candidates = texts.select("url", "text", F.inline(grams)).join(keyed, ["n", "gram"])
-    else:
-        candidates = texts.select("url", F.inline(grams)).join(keyed, ["n", "gram"]).join(texts, "url")
+    grams = F.concat(*[F.array_distinct(_grams(F.col("text"), n)) for n in lengths])
+    met = sieve(texts.select("url", F.explode(grams).alias("gram")), "gram", keyed.select("gram"))
+    # A gram's length is that of its needle's class, so the gram alone is the key.
+    candidates = met.join(keyed.select("value", "needle", "gram"), "gram").join(texts, "url")
     return candidates.filter(F.contains(F.col("text"), F.col("needle"))).select("url", "value")
 
 
@@ -123,9 +105,7 @@ def _hits(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.expr("stack(2, 'url', url, 'value', value) as (side, key)")).distinct()
 
 
-def resolve_values(
-    values: DataFrame, articles: DataFrame, site_host: str, inline_limit: int = 10_000
-) -> DataFrame:
+def resolve_values(values: DataFrame, articles: DataFrame, site_host: str) -> DataFrame:
     """One row per outcome: (outcome, key).
 
     matched     url of an article named by some value
@@ -146,7 +126,7 @@ def resolve_values(
     exact = urls.join(source.select("needle").distinct(), "needle", "left_semi")
     exact = materialise(exact, "exact")
     unmatched = source.join(exact.select("needle").distinct(), "needle", "left_anti")
-    by_part = _hits(_contained(unmatched, articles, F.lower("url"), inline_limit))
+    by_part = _hits(_contained(unmatched, articles, F.lower("url")))
 
     slugged = articles.select("url", slug("title", "url").alias("slug"))
     # Every prefix of the fragment that ends before a '-', and the fragment itself,
@@ -166,7 +146,7 @@ def resolve_values(
         F.lower("url"), gap, F.lower(F.coalesce("title", F.lit(""))), gap,
         F.lower(F.coalesce("source", F.lit(""))), gap, slug("title", "url"),
     )
-    by_text = _contained(bare, articles, haystack, inline_limit)
+    by_text = _contained(bare, articles, haystack)
     # Slugs inside the value: the value's own substrings, within runs of slug characters.
     runs = bare.select("value", F.explode(F.regexp_extract_all("needle", F.lit("[a-z0-9-]+"), F.lit(0))).alias("run"))
     pieces = (

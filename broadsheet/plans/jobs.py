@@ -4,7 +4,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from broadsheet.functions.keys import store_key
 from broadsheet.functions.lexicon import DEFAULT_LEXICON, Lexicon
@@ -26,8 +26,9 @@ from broadsheet.operators.resolve import removal_set, resolve_values
 from broadsheet.plans.curation import rebuilt_filtered, refreshed_store
 from broadsheet.plans.listing import list_articles
 from broadsheet.session import materialise
-from broadsheet.sources.api import api_articles, read_api_landing
+from broadsheet.sources.api import api_articles, api_rejects, read_api_landing
 from broadsheet.sources.feeds import LANDING_ORDER, feed_articles, land_all, read_feed_landing
+from broadsheet.sources.lists import subfolders, write_exclusions
 from broadsheet.sources.store import Archive, Store, archive_articles
 
 RAW, FILTERED = "articles", "filtered_articles"
@@ -72,10 +73,13 @@ def curate(
     raw: Store, filtered: Store, archive: Archive,
     responses: DataFrame, feeds: DataFrame, allowed: DataFrame, exclusions: DataFrame,
     judge: Callable[[DataFrame], DataFrame] | None, run_at: datetime,
-    cfg: Settings | None = None, run_id: str = "",
+    cfg: Settings | None = None, run_id: str = "", site: str | None = None, rejects: str | None = None,
 ) -> dict:
     """The scheduled run; returns its counts and the published frame.
 
+    `site` is the folder the payload and the digests are published to,
+    `rejects` that of the rows that could not become articles, by run.
+
     `judge` takes the relevant articles and gives (url, score). If it raises
     or leaves an article unscored, the filtered store and its archive stay as
     they are; the raw store is written and archived all the same.
@@ -105,6 +109,14 @@ def curate(
             archive.snapshot(filtered.read(), FILTERED, run_at, run_id)
     archive.snapshot(store, RAW, run_at, run_id)
     facts["published"] = publish_payload(published_articles(filtered.read(), cfg.limit))
+    if rejects:
+        counted = Observation()
+        bad = api_rejects(read_api_landing(responses)).observe(counted, F.count("*").alias("n"))
+        run = run_at.strftime("%Y-%m-%dT%H%M") + (f"-{run_id}" if run_id else "")
+        bad.write.mode("overwrite").parquet(f"{rejects.rstrip('/')}/run={run}")
+        facts["rejected"] = counted.get["n"]
+    if site:
+        facts["site_written"] = publish(filtered, archive, site, cfg.limit)
     return facts
 
 
@@ -124,19 +136,36 @@ def compare_targets(
 
 
 def publish_archive(archive: Archive, path: str, store: str = FILTERED) -> None:
-    """Write the digest of every archive date, in one job."""
-    rows = archive_articles(archive.read(store))
-    dates = archive.runs().filter(F.col("store") == store).select("snapshot_date")
-    write_digests(digest_lines(rows, dates), path)
+    """Write the digests of the archive dates that have none yet, and of the newest date anew, in one job."""
+    dates = archive.runs().filter(F.col("store") == store).select("snapshot_date").distinct()
+    newest = dates.agg(F.max("snapshot_date").alias("d")).first()["d"]
+    done = [name.split("=")[1] for name in subfolders(archive.spark, path, "snapshot_date=")]
+    due = dates.filter(~F.col("snapshot_date").cast("string").isin(done) | (F.col("snapshot_date") == F.lit(newest)))
+    rows = archive_articles(archive.read(store).join(due, "snapshot_date", "left_semi"))
+    write_digests(digest_lines(rows, due), path)
+
+
+def publish(filtered: Store, archive: Archive, path: str, limit: int = 30) -> bool:
+    """Write the payload and the digests below path; an empty store leaves all as it was."""
+    stored = filtered.read()
+    if stored.isEmpty():
+        return False
+    payload = publish_payload(published_articles(stored, limit)).select(F.col("payload").alias("value"))
+    payload.write.mode("overwrite").text(f"{path.rstrip('/')}/payload")
+    if not archive.runs().filter(F.col("store") == FILTERED).isEmpty():
+        publish_archive(archive, f"{path.rstrip('/')}/digests")
+    return True
 
 
 def remove_articles(
     values: DataFrame, raw: Store, filtered: Store, archive: Archive, exclusions: DataFrame,
     site_host: str, run_at: datetime, reason: str | None = None, run_id: str = "",
+    site: str | None = None, exclusion_file: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Remove and block what the values name; returns (new exclusion list, outcomes).
 
-    Without any match nothing is written.
+    Without any match nothing is written. `exclusion_file` is a new folder for
+    the new exclusion list, `site` the publication to refresh.
     """
     resolved = materialise(resolve_values(values, raw.read(), site_host), "resolved")
     urls = removal_set(resolved)
@@ -145,7 +174,12 @@ def remove_articles(
     for store, name in ((raw, RAW), (filtered, FILTERED)):
         store.write(remove_keys(store.read(), urls))
         archive.snapshot(store.read(), name, run_at, run_id)
-    return add_exclusions(exclusions, urls, run_at, reason), resolved
+    blocked = add_exclusions(exclusions, urls, run_at, reason)
+    if exclusion_file:
+        write_exclusions(blocked, exclusion_file)
+    if site:
+        publish(filtered, archive, site)
+    return blocked, resolved
 
 
 def import_notes(
@@ -162,7 +196,10 @@ def import_notes(
     candidates = note_candidates(resolved, limit)
     if dry_run:
         return funnel, candidates.select("url", "title")
-    fetched = candidates.select("id", "url").join(pages.select("url", "html"), "url", "left")
+    # A page fetched twice is one page: a candidate must stay one row.
+    fetched = candidates.select("id", "url").join(
+        pages.groupBy("url").agg(F.max("html").alias("html")), "url", "left"
+    )
     return funnel, _ingest(fetched, staging, exclusions, "id")
 
 
@@ -174,7 +211,7 @@ def _ingest(pages: DataFrame, store: Store, exclusions: DataFrame, order: str) -
 
 def merge_reviewed_staging(
     staging: Store, raw: Store, filtered: Store, archive: Archive, exclusions: DataFrame,
-    run_at: datetime, run_id: str = "",
+    run_at: datetime, run_id: str = "", site: str | None = None,
 ) -> dict[str, int]:
     """Merge staged articles into both stores and pin them; returns new rows per store."""
     reviewed = staging.read()
@@ -186,11 +223,14 @@ def merge_reviewed_staging(
         added[name] = new_articles(before, reviewed, exclusions, [F.col("url")]).count()
         store.write(merge_reviewed(before, reviewed, exclusions))
         archive.snapshot(store.read(), name, run_at, run_id)
+    if site:
+        publish(filtered, archive, site)
     return added
 
 
 def add_pages(
-    pages: DataFrame, raw: Store, filtered: Store, exclusions: DataFrame, order: str = "page_id"
+    pages: DataFrame, raw: Store, filtered: Store, exclusions: DataFrame, order: str = "page_id",
+    exclusion_file: str | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Ingest pages by hand; returns (new exclusion list, outcomes, counts per status).
 
@@ -204,6 +244,8 @@ def add_pages(
     if not added.isEmpty():
         before = filtered.read()
         filtered.write(mark_reviewed(insert_absent(before, added, allowed, [F.col("url")]), added))
+    if exclusion_file:
+        write_exclusions(allowed, exclusion_file)
     return allowed, outcomes, ingest_summary(outcomes)
 
 

@@ -15,14 +15,11 @@ def exclusions_from(rows: DataFrame, order: list) -> DataFrame:
     return upsert_exclusions(empty, filled, order)
 
 
-ONE_TASK_BYTES = 64 * 1024 * 1024
-
-
 def _read_csv(spark: SparkSession, path: str, **options) -> DataFrame:
-    """A CSV file with header. Fields may hold line breaks as long as one task
-    can read the file; a larger file is split, and its fields are one line each."""
-    small = path_size(spark, path) <= ONE_TASK_BYTES
-    return spark.read.csv(path, header=True, multiLine=small, escape='"', **options)
+    """CSV with header, in a file or a folder of files. Fields may hold line breaks
+    at every size; so a file is one task, and a long list comes as a folder of
+    several, as `write_exclusions` leaves it."""
+    return spark.read.csv(path, header=True, multiLine=True, escape='"', **options)
 
 
 def read_exclusions(spark: SparkSession, path: str, missing_ok: bool = True) -> DataFrame:
@@ -62,11 +59,6 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop)
 
 
-def path_size(spark: SparkSession, path: str) -> int:
-    fs, hadoop = _locate(spark, path)
-    return fs.getContentSummary(hadoop).getLength()
-
-
 def subfolders(spark: SparkSession, path: str, prefix: str) -> list[str]:
     """Names of the folders in a folder that start with a prefix, in order."""
     fs, hadoop = _locate(spark, path)

@@ -104,12 +104,15 @@ class Archive:
         entry.write.mode("append").parquet(self.ledger)
 
     def read(self, store: str | None = None) -> DataFrame:
-        """Every archived row; a store or date filter prunes folders."""
+        """Every archived row of the runs in the ledger; a store or date filter prunes folders."""
         schema = f"{_ddl()}, run_at timestamp, store string, snapshot_date date, run string"
         if not path_exists(self.spark, self.rows):
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).parquet(self.rows)
-        return rows if store is None else rows.filter(F.col("store") == store)
+        rows, done = self.spark.read.schema(schema).parquet(self.rows), self.runs()
+        if store is not None:
+            rows, done = rows.filter(F.col("store") == store), done.filter(F.col("store") == store)
+        # Rows of a run that failed before its ledger entry are not archived.
+        return rows.join(done.select("store", "snapshot_date", "run").distinct(), ["store", "snapshot_date", "run"], "left_semi").select(*rows.columns)
 
 
 def _ddl() -> str:

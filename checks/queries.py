@@ -114,13 +114,19 @@ _STAMPS = """SELECT event_id, concat(strftime(ts, '%Y-%m-%dT%H:%M:%S'),
 
 
 @query("iso_minute", f"""
-SELECT event_id, replace(left(iso, 16), 'T', ' ') AS minute FROM ({_STAMPS}) s""")
-def _(t):
-    zone = F.when(F.col("event_id") % 3 == 0, "Z").when(F.col("event_id") % 3 == 1, "+02:00").otherwise("")
-    stamps = t["events"].select(
-        "event_id", F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), zone).alias("iso")
+SELECT event_id, CASE WHEN event_id % 11 = 0 THEN concat(left(iso, 7), '-01 00:00') WHEN event_id % 11 = 1 THEN concat(left(iso, 4), '-01-01 00:00')
+  WHEN event_id % 11 = 2 THEN NULL WHEN event_id % 11 = 3 THEN concat(left(iso, 10), ' 00:00')
+  ELSE replace(left(iso, 16), 'T', ' ') END AS minute FROM ({_STAMPS}) s""")
+def _(t):
+    n = F.col("event_id")
+    zone = F.when(n % 3 == 0, "Z").when(n % 3 == 1, "+02:00").otherwise("")
+    stamps = t["events"].select("event_id", F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), zone).alias("iso"))
+    written = (
+        F.when(n % 11 == 0, F.left("iso", F.lit(7))).when(n % 11 == 1, F.left("iso", F.lit(4)))
+        .when(n % 11 == 2, F.concat(F.left("iso", F.lit(16)), F.lit("garbage")))
+        .when(n % 11 == 3, F.replace(F.left("iso", F.lit(10)), F.lit("-"), F.lit(""))).otherwise(F.col("iso"))
     )
-    return stamps.select("event_id", times.iso_minute("iso").alias("minute"))
+    return stamps.select("event_id", times.iso_minute(written).alias("minute"))
 
 
 @query("feed_minute", """
@@ -220,11 +226,32 @@ def _(t):
     return relevance.relevance_score(t.sql(v.ARTICLES, spread=True)).select("url", "relevance_score")
 
 
-@query("relevance_score_by_table", f"SELECT url, relevance_score FROM ({_scored_sql(v.ARTICLES)}) s")
+# A keyword in two tiers of one weight, one in two of different weight, a hundred phrases on one common word, one without a word character.
+_TIERED = [
+    *((k, w, f"t{w}") for k, w in v.LEXICON), ("the", 3.0, "again"), ("der", 0.5, "low"),
+    *((f"the the{i}", 1.0, "phrases") for i in range(100)), ("the of", 1.0, "phrases"), ("of the", 1.0, "phrases"),
+]
+_TIERED_SQL = f"SELECT url, relevance_score FROM ({_scored_sql(v.ARTICLES, [(k, w) for k, w, _ in _TIERED])}) s"
+
+
+def _twice(t) -> DataFrame:
+    """Every article, and again without its url."""
+    articles = t.sql(v.ARTICLES, spread=True)
+    return articles.unionByName(articles.withColumn("url", F.lit(None).cast("string")))
+
+
+@query("relevance_score_by_table", f"{_TIERED_SQL} UNION ALL SELECT NULL, relevance_score FROM ({_TIERED_SQL}) n")
 def _(t):
-    rows = [(k, str(w), w) for k, w in v.LEXICON]
+    rows = [(k, tier, w) for k, w, tier in [*_TIERED, ("!!", 5.0, "none"), ("The", 3.0, "again")]]
     lexicon = t.spark.createDataFrame(rows, "keyword string, tier string, weight double")
-    return relevance.score_by_table(t.sql(v.ARTICLES, spread=True), lexicon).select("url", "relevance_score")
+    return relevance.score_by_table(_twice(t), lexicon).select("url", "relevance_score")
+
+
+@query("relevance_score_tiers", f"{_TIERED_SQL} UNION ALL SELECT NULL, relevance_score FROM ({_TIERED_SQL}) n")
+def _(t):
+    lexicon = [*_TIERED, ("!!", 5.0, "none"), ("The", 3.0, "again")]
+    return relevance.relevance_score(_twice(t), lexicon).select("url", "relevance_score")
+
 
 
 @query("relevance_gate", f"""
@@ -352,6 +379,16 @@ def _(t):
     return lists.read_exclusions(t.spark, path)
 
 
+@query("exclusion_file_multiline", f"""
+SELECT url, concat('said "', coalesce(reason, ''), '",', chr(10), 'twice') AS reason, excluded_at FROM ({_EXCL_LIST}) l""")
+def _(t):
+    path = _fresh(t, "exclusions")
+    told = F.concat(F.lit('said "'), F.coalesce("reason", F.lit("")), F.lit('",\ntwice'))
+    listed = lists.exclusions_from(t.sql(v.EXCLUSIONS), [F.col("excluded_at")])
+    lists.write_exclusions(listed.withColumn("reason", told).repartition(5), path)
+    return lists.read_exclusions(t.spark, path)
+
+
 @query("value_file", "SELECT url AS value FROM {pages}")
 def _(t):
     path = _fresh(t, "values")
@@ -574,6 +611,16 @@ def _(t):
     })
 
 
+@query("stage_metrics", ORACLES["run_metrics"])
+def _(t):
+    scored = relevance.relevance_score(t.sql(v.ARTICLES, spread=True), v.LEXICON)
+    return metrics.stage_metrics(scored, {
+        "stored": F.lit(True),
+        "relevant": F.col("relevance_score") >= 1.0,
+        "expired": (F.col("published_at") < CUTOFF) & ~F.col("manual_review"),
+    })
+
+
 # --- landing -------------------------------------------------------------------------------
 
 def _responses(t) -> DataFrame:
@@ -958,7 +1005,7 @@ def _(t):
 
 @query("resolve_values_by_grams", _RESOLVE_SQL)
 def _(t):
-    return resolve.resolve_values(t.sql(v.VALUES), t.sql(v.ARTICLES, spread=True), SITE, inline_limit=0)
+    return resolve.resolve_values(t.sql(v.VALUES), t.sql(v.ARTICLES, spread=True), SITE)
 
 
 @query("removal_set", f"SELECT DISTINCT key AS url FROM ({_RESOLVE_SQL}) r WHERE outcome <> 'warning'")
@@ -998,6 +1045,25 @@ def _(t):
     return archive.read("filtered_articles").select("url", "title", "relevance_score", "sentiment_score")
 
 
+@query("job_rejects", f"SELECT url, title, 'published_at' AS reason FROM ({_SIGHTED}) s WHERE published_at IS NULL")
+def _(t):
+    raw, filtered = _store(t, "raw", t.spark.createDataFrame([], ARTICLE)), stores.Store(t.spark, _fresh(t, "filtered"))
+    rejects = _fresh(t, "rejects")
+    nothing = t.spark.createDataFrame([], "url string, reason string, excluded_at string")
+    jobs.curate(
+        raw, filtered, stores.Archive(t.spark, _fresh(t, "archive")), _responses(t), _feed_documents(t).filter("status_code = 0"),
+        _allowed(t), nothing, None, RUN_AT, jobs.Settings(hours=HOURS, filter_enabled=False), rejects=rejects,
+    )
+    return t.spark.read.parquet(rejects).select("url", "title", "reason")
+
+
+@query("clear_store", f"SELECT count(*) AS removed, 0 AS kept FROM ({v.ARTICLES}) a")
+def _(t):
+    made = _store(t, "cleared", t.sql(v.ARTICLES))
+    removed = made.clear()
+    return made.read().agg(F.lit(removed).cast("bigint").alias("removed"), F.count("*").cast("int").alias("kept"))
+
+
 @query("job_remove_articles", f"""
 SELECT {ART_COLS} FROM ({v.ARTICLES}) a WHERE url NOT IN (SELECT key FROM ({_RESOLVE_SQL}) r WHERE outcome <> 'warning')""")
 def _(t):

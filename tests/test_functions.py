@@ -77,6 +77,14 @@ def test_iso_minute_keeps_wall_clock(spark):
         "2026-07-01T10:00:00Z": "2026-07-01 10:00",
         "2026-07-01": "2026-07-01 00:00",
         "20260701T1005": "2026-07-01 10:05",
+        "2026-07": "2026-07-01 00:00",
+        "2026": "2026-01-01 00:00",
+        "2026-07-01 10": "2026-07-01 10:00",
+        "2026-07-01T10:05:06.123+0200": "2026-07-01 10:05",
+        "2026-07-01T10:30garbage": None,
+        "2026-07-01 10 o'clock": None,
+        "2026-0701": None,
+        "202607": None,
         "2026-13-01T00:00:00Z": None,
         "soon": None,
         None: None,

@@ -236,3 +236,30 @@ def test_feed_stream(world, exclusions, rows, tmp_path):
     world.spark.createDataFrame([("u", 0, 200, RSS)], FEED_RESPONSE).write.json(f"{tmp_path}/feeds")
     stream_feeds(world.spark, f"{tmp_path}/feeds", world.raw, exclusions(), f"{tmp_path}/c", RUN_AT, jobs.Settings(exclude_urls="bad.org")).awaitTermination()
     assert rows(world.raw.read(), "url", "title") == [("https://f.org/1", "One"), ("https://f.org/2", "No title")]
+
+
+def test_publication_and_rejects(world, exclusions, rows, tmp_path):
+    site, rejects = f"{tmp_path}/site", f"{tmp_path}/rejects"
+    bad = dict(item("https://a.org/9", "river flood"), publishedAt="some day")
+
+    def run(run_at, *items):
+        return jobs.curate(
+            world.raw, world.filtered, world.archive, world.landing(*items), world.spark.createDataFrame([], FEED_RESPONSE),
+            world.allowed, exclusions(), by_title, run_at, jobs.Settings(lexicon=LEX), site=site, rejects=rejects,
+        )
+
+    assert run(RUN_AT, bad)["site_written"] is False  # an empty store leaves the publication alone
+    assert run(RUN_AT.replace(day=2), bad, *ITEMS)["rejected"] == 1
+    assert rows(world.spark.read.parquet(rejects), "url", "reason") == [("https://a.org/9", "published_at")] * 2
+    first = world.spark.read.text(f"{site}/payload").first().value
+    assert "https://a.org/1" in first
+    old = sorted((tmp_path / "site/digests/snapshot_date=2026-07-01").iterdir())
+    run(RUN_AT.replace(day=3), item("https://a.org/7", "new flood by the river"))
+    assert sorted((tmp_path / "site/digests/snapshot_date=2026-07-01").iterdir()) == old
+    assert (tmp_path / "site/digests/snapshot_date=2026-07-03").exists()
+
+
+def test_unfinished_run_is_not_archived(world, articles, tmp_path):
+    world.archive.snapshot(articles({"url": "a"}), "articles", RUN_AT)
+    articles({"url": "b"}).write.parquet(f"{tmp_path}/archive/rows/store=articles/snapshot_date=2026-07-02/run=2026-07-02T1200")
+    assert [r.url for r in world.archive.read("articles").collect()] == ["a"]

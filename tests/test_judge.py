@@ -19,6 +19,7 @@ REPLIES = [
     ("  ", GOOD, "ok"),
     (None, GOOD, "ok"),
     ('[{"index": "0", "sentiment_score": "-0.5"}, {"index": 1, "sentiment_score": 0.25}]', None, "ok"),
+    ('[{"index": 3, "index": 0, "sentiment_score": -0.5}, {"index": 1, "sentiment_score": 0.25}]', None, "ok"),
     (reply((0, 9), (0, -0.5), (1, 0.25), (7, 1)), None, "ok"),
     ('{"index": 0, "sentiment_score": 1}', None, "not_an_array"),
     ("no json", None, "unparsable"),
@@ -43,6 +44,15 @@ def test_replies(spark, rows):
     assert scores == [(i, k, s) for i in good for k, s in ((0, -0.5), (1, 0.25))]
 
 
+def test_bare_nan_is_a_score_the_gate_drops(spark, articles):
+    df = spark.createDataFrame([(0, 2, '[{"index": 0, "sentiment_score": NaN}, {"index": 1, "sentiment_score": -1}]', None)], JUDGE_REPLY)
+    assert judge.judge_batch_status(df).first().status == "ok"
+    scores = {r.idx: r.score for r in judge.parse_judge_replies(df).collect()}
+    assert scores[0] != scores[0] and scores[1] == -1.0
+    found = articles({"url": "a", "sentiment_score": scores[0]}, {"url": "b", "sentiment_score": scores[1]})
+    assert [r.url for r in judge.sentiment_gate(found).collect()] == ["b"]
+
+
 def test_empty_batch_is_covered(spark):
     df = spark.createDataFrame([(1, 0, "[]", None)], JUDGE_REPLY)
     assert judge.judge_batch_status(df).first().status == "ok"

@@ -1,4 +1,4 @@
-from broadsheet.functions.lexicon import DEFAULT_LEXICON, read_lexicon
+from broadsheet.functions.lexicon import DEFAULT_LEXICON
 from broadsheet.operators.relevance import (
     keyword_frequency, relevance_gate, relevance_score, score_by_table,
 )
@@ -29,8 +29,14 @@ def test_table_lexicon_gives_the_same(spark, articles, rows):
     assert rows(score_by_table(df, table), "url", "relevance_score") == rows(
         relevance_score(df, LEX), "url", "relevance_score"
     )
-    assert read_lexicon(table) == LEX
-    assert read_lexicon(table, max_keywords=3) is None
+
+
+def test_both_ways_agree_on_tiers_repeats_and_nulls(spark, articles):
+    df = articles({"url": "a", "title": "river !! the end"}, {"url": "a", "title": "end"}, {"url": None, "title": "the river"}, {"url": None})
+    lexicon = [("river", 2.0, "one"), ("River", 2.0, "two"), ("!!", 9.0, "one"), ("the end", 1.0, "one"), ("the river", 4.0, "one")]
+    table = spark.createDataFrame([(k, t, w) for k, w, t in lexicon], "keyword string, tier string, weight double")
+    for scored in (relevance_score(df, lexicon), score_by_table(df, table)):
+        assert sorted((str(r.url), r.relevance_score) for r in scored.collect()) == [("None", 0.0), ("None", 8.0), ("a", 0.0), ("a", 5.0)]
 
 
 def test_keyword_of_two_tiers_counts_for_both(articles):

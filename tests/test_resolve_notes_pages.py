@@ -57,31 +57,29 @@ VALUES = [
 ]
 
 
-@pytest.mark.parametrize("inline_limit", [0, 10_000])
-def test_rules(spark, inline_limit):
+def test_rules(spark):
     articles = spark.createDataFrame(STORED, "url string, title string, source string")
     values = spark.createDataFrame([(v,) for v in VALUES + VALUES], VALUE)
-    got = resolve_values(values, articles, SITE, inline_limit)
+    got = resolve_values(values, articles, SITE)
     rows = [tuple(r) for r in got.collect()]
     assert sorted(rows) == sorted(by_hand(VALUES, STORED))
     assert removal_set(got).count() == len({k for o, k in rows if o != "warning"})
 
 
-@pytest.mark.parametrize("inline_limit", [0, 10_000])
-def test_many_values_share_an_ending(spark, inline_limit):
+def test_many_values_share_an_ending(spark):
     tail = "?utm_source=newsletter&utm_medium=email"
     stored = [(f"https://p.org/{i}/story{tail}", "same title", "s") for i in range(60)]
     values = [f"https://p.org/{i}{j}/story{tail}" for i in range(20) for j in ("", "x")] + [f"{i}/story{tail}" for i in range(30)]
     random.Random(1).shuffle(values)
     articles = spark.createDataFrame(stored, "url string, title string, source string")
-    got = resolve_values(spark.createDataFrame([(v,) for v in values], VALUE), articles, SITE, inline_limit)
+    got = resolve_values(spark.createDataFrame([(v,) for v in values], VALUE), articles, SITE)
     assert sorted(tuple(r) for r in got.collect()) == sorted(by_hand(values, stored))
 
 
 def test_no_pairwise_join(spark, plan):
     articles = spark.createDataFrame(STORED, "url string, title string, source string")
     values = spark.createDataFrame([(v,) for v in VALUES], VALUE)
-    text = plan(resolve_values(values, articles, SITE, 0))
+    text = plan(resolve_values(values, articles, SITE))
     assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
