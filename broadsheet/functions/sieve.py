@@ -1,24 +1,39 @@
-"""A bounded filter ahead of a join."""
+"""A bounded filter ahead of a join: what cannot match is not shuffled."""
 
 from pyspark.sql import DataFrame, functions as F
 
 #: Bits of a sieve: 1 MB, whatever the number of keys.
 SIEVE = 1 << 23
+_WIDTH = 8 * 4096  # bits of one bitmap
+
+
+def _marked(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """df with `__may`: whether the value's bit is set among those of the keys; never false for a key."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE))
+    bits = keys.select(place(F.col(keys.columns[0])).alias("bit"))
+    maps = bits.groupBy(F.floor(F.col("bit") / _WIDTH).alias("__map")).agg(
+        F.bitmap_construct_agg(F.pmod("bit", F.lit(_WIDTH))).alias("__bits")
+    )
+    at = F.pmod(F.col("__bit"), F.lit(_WIDTH))
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    set_ = byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0
+    rows = df.withColumn("__bit", place(F.col(column))).withColumn("__map", F.floor(F.col("__bit") / _WIDTH))
+    # At most SIEVE / _WIDTH bitmaps: the broadcast is bounded.
+    return rows.join(F.broadcast(maps), "__map", "left").withColumn("__may", F.coalesce(set_, F.lit(False)))
 
 
 def sieve(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     """df without most of the rows whose value is not among keys (a frame of one column of the same type).
 
-    Keys set bits in a bitmap of fixed size, which is broadcast; rows on an
-    unset bit go before anything is shuffled. A join still has to follow: rows
-    may pass by chance, all of them where keys by far outnumber the bits.
+    A join still has to follow: rows may pass by chance, all of them where
+    keys by far outnumber the bits.
     """
-    width = 8 * 4096  # bits of one bitmap
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE))
-    bits = keys.select(place(F.col(keys.columns[0])).alias("bit"))
-    maps = bits.groupBy(F.floor(F.col("bit") / width).alias("__map")).agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(width))).alias("__bits"))
-    rows = df.withColumn("__bit", place(F.col(column))).withColumn("__map", F.floor(F.col("__bit") / width))
-    at = F.pmod(F.col("__bit"), F.lit(width))
-    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    set_ = F.shiftright(byte, 0).bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0
-    return rows.join(F.broadcast(maps), "__map").where(set_).select(*df.columns)
+    return _marked(df, column, keys).where("__may").select(*df.columns)
+
+
+def without_keys(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """df without the rows whose value is among keys: an anti join that shuffles only rows the sieve cannot clear."""
+    marked = _marked(df, column, keys)
+    key = keys.select(F.col(keys.columns[0]).alias("__key"))
+    unsure = marked.where("__may").join(key, F.col(column) == F.col("__key"), "left_anti")
+    return marked.where("NOT __may").unionByName(unsure).select(*df.columns)
