@@ -562,6 +562,26 @@ def _(t):
     return summary.withColumn("mean_abs_delta", F.round("mean_abs_delta", 6))
 
 
+_ASKED_SQL = f"SELECT url FROM ({_scored_sql(v.ARTICLES)}) a WHERE relevance_score >= 1 AND published_at >= '{CUTOFF}'"
+
+
+@query("compare_targets", f"SELECT url, 0.5::double AS local_score, -0.5::double AS remote_score, FALSE AS agree FROM ({_ASKED_SQL}) a")
+def _(t):
+    both = t.sql(v.ARTICLES).select("url", F.explode(F.array(*[
+        F.struct(F.lit(target).alias("target"), F.lit(score).alias("score")) for target, score in (("local", 0.5), ("remote", -0.5))
+    ])).alias("s")).select("s.target", "url", "s.score")
+    cfg = jobs.Settings(lexicon=v.LEXICON)
+    compared, _summary = jobs.compare_targets(t.sql(v.ARTICLES, spread=True), both, RUN_AT, HOURS, cfg=cfg)
+    return compared.select("url", "local_score", "remote_score", "agree")
+
+
+@query("compare_targets_incomplete", f"""
+SELECT count(*) = (SELECT count(*) FROM ({v.SCORES}) s JOIN ({_ASKED_SQL}) a2 ON a2.url = s.url WHERE target = 'remote') AS complete FROM ({_ASKED_SQL}) a""")
+def _(t):
+    found = jobs.compare_targets(t.sql(v.ARTICLES, spread=True), t.sql(v.SCORES), RUN_AT, HOURS, cfg=jobs.Settings(lexicon=v.LEXICON))
+    return t.spark.range(1).select(F.lit(found is not None).alias("complete"))
+
+
 # --- the whole plan ------------------------------------------------------------------------
 
 _CURATED_SQL = f"""
@@ -570,17 +590,13 @@ WITH j AS ({_JUDGED_SQL}), a AS ({v.ARTICLES}),
   both_sides AS (SELECT {ART_COLS} FROM kept UNION ALL
     SELECT {ART_COLS} FROM a WHERE manual_review AND url NOT IN (SELECT url FROM kept))
 SELECT url, title, relevance_score, sentiment_score, manual_review FROM both_sides
-WHERE url NOT IN (SELECT rtrim(lower(url), '/') FROM ({v.ARTICLE_EXCLUSIONS}) e WHERE url LIKE '%SRC1%')"""
-
-
-def _some_exclusions(t):
-    return t.sql(v.ARTICLE_EXCLUSIONS).filter(F.col("url").contains("SRC1"))
+WHERE url NOT IN (SELECT rtrim(lower(url), '/') FROM ({v.ARTICLE_EXCLUSIONS}) e)"""
 
 
 @query("curated_articles", _CURATED_SQL)
 def _(t):
     return curation.curated_articles(
-        t.sql(v.ARTICLES, spread=True), _local(t), _some_exclusions(t), 3.0, 0.0, v.LEXICON
+        t.sql(v.ARTICLES, spread=True), _local(t), t.sql(v.ARTICLE_EXCLUSIONS), 3.0, 0.0, v.LEXICON
     ).select("url", "title", "relevance_score", "sentiment_score", "manual_review")
 
 
@@ -818,6 +834,15 @@ def _classified(t):
     return pages.classify_ingest(t.sql(_FETCHED), stored, t.sql(_BARRED_PAGES))
 
 
+@query("extract_tagged_pages", f"""
+SELECT page_id, CASE WHEN page_id % 4 <> 0 THEN concat('On page ', cast(page_id AS string)) END AS description,
+  CASE WHEN page_id % 4 <> 0 THEN '2024-01-05' END AS day
+FROM ({_FETCHED}) f WHERE html IS NOT NULL""")
+def _(t):
+    found = pages.extract_page_metadata(t.sql(_FETCHED).filter("html IS NOT NULL"))
+    return found.select("page_id", "description", F.left("published_at", F.lit(10)).alias("day"))
+
+
 @query("classify_ingest", f"""
 SELECT page_id, url, status, CASE WHEN status = 'missing_fields' THEN 'description, published_at'
   WHEN status = 'inserted' THEN (SELECT {_TITLE_SQL} FROM {{pages}} q WHERE q.page_id = i.page_id) END AS detail
