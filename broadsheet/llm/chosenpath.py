@@ -36,13 +36,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from broadsheet.functions.sieve import sieve
 from broadsheet.llm.common import map_batches, words_of
 from broadsheet.llm.recompression import mix
 from broadsheet.session import materialise
 
-SIZE, TREES, DEPTH, LEAF, SHARE = 128, 12, 4, 128, 256
-#: Share of equal sketch places below the threshold that still makes a candidate: four standard deviations.
-SLACK = 4 * (0.25 / SIZE) ** 0.5
+SIZE, TREES, DEPTH, LEAF, SHARE = 64, 10, 3, 200, 256
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -79,7 +78,7 @@ def tokens_of(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(offsets) - 1
     own = np.repeat(np.arange(n), np.diff(offsets))
     x = mix(sets + np.uint64(0x51ED270B))
-    bins = (x >> np.uint64(57)).astype(np.int64)
+    bins = (x >> np.uint64(58)).astype(np.int64)
     empty = np.iinfo(np.uint32).max
     out = np.full(n * SIZE, empty, np.uint32)
     np.minimum.at(out, own * SIZE + bins, ((x >> np.uint64(20)) & np.uint64(0xFFFFFFFE)).astype(np.uint32))
@@ -121,14 +120,14 @@ def _describe(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
                 sums = np.concatenate(([np.uint64(0)], np.cumsum(mix(sets ^ np.uint64(0xA5A5A5A5 * seed)), dtype=np.uint64)))
                 prints.append((sums[at[1:]] - sums[at[:-1]]).view(np.int64))
             tokens = tokens_of(padded[:-1], at)
-            blob = tokens.astype("<u4").tobytes()
-            step = 4 * SIZE
+            blob, low = tokens.astype("<u4").tobytes(), tokens.astype(np.uint8).tobytes()
+            cut = lambda x, step: pa.array([x[k * step : (k + 1) * step] for k in range(end - row)], pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(row, end - row), pa.array(n, pa.int64()), pa.array(prints[0], pa.int64()), pa.array(prints[1], pa.int64()),
-                    pa.array([blob[k * step : (k + 1) * step] for k in range(end - row)], pa.binary()),
+                    cut(blob, 4 * SIZE), cut(low, SIZE),
                 ],
-                ["doc_id", "n", "f1", "f2", "tokens"],
+                ["doc_id", "n", "f1", "f2", "tokens", "sketch"],
             )
 
 
@@ -162,29 +161,27 @@ def _branch(batches: Iterator[pa.RecordBatch], threshold: float, trees: int | No
 def _nodes(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(rep, node) of the leaves, equal leaves once, and of the nodes too large at the last level."""
     rows = map_batches(sets.select("rep", "tokens"), partial(_branch, threshold=threshold, trees=TREES), "rep long, node long")
-    leaves = None
+    levels = None
     for depth in range(DEPTH):
-        rows = materialise(rows.distinct() if depth else rows, "level")
-        counts = rows.groupBy("node").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("rep")).alias("who")).where("m > 1")
-        met = rows.join(counts, "node")
+        rows = materialise(rows, "level")
+        met = materialise(rows.groupBy("node").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("rep")).alias("who")).where("m > 1"), "nodes")
         # One of the leaves that hold the same classes is enough.
-        small = counts.where(F.col("m") <= LEAF).groupBy("m", "who").agg(F.min("node").alias("node")).select("node")
-        leaf = rows.join(small, "node").select("rep", "node")
-        leaves = leaf if leaves is None else leaves.unionByName(leaf)
-        large = met.where(F.col("m") > LEAF).select("rep", "node")
-        if depth == DEPTH - 1:
+        small = met.where(F.col("m") <= LEAF).groupBy("m", "who").agg(F.min("node").alias("node")).select("node", F.lit(False).alias("large"))
+        marks = small.unionByName(met.where(F.col("m") > LEAF).select("node", F.lit(True).alias("large")))
+        marked = materialise(rows.join(marks, "node").select("rep", "node", "large"), "marked")
+        leaf, large = marked.where("NOT large").select("rep", "node"), marked.where("large").select("rep", "node")
+        levels = leaf if levels is None else levels.unionByName(leaf)
+        if depth == DEPTH - 1 or large.isEmpty():
             break
-        rows = materialise(large, "large")
-        if rows.isEmpty():
-            break
-        large = rows
-        rows = map_batches(rows.join(sets.select("rep", "tokens"), "rep").select("rep", "node", "tokens"), partial(_branch, threshold=threshold, trees=None), "rep long, node long")
-    return materialise(leaves, "leaves"), materialise(large, "crowds")
+        below = large.join(sets.select("rep", "tokens"), "rep").select("rep", "node", "tokens")
+        rows = map_batches(below, partial(_branch, threshold=threshold, trees=None), "rep long, node long").distinct()
+    return levels, large
 
 
 def _compare(batches: Iterator[pa.RecordBatch], percent: int, connect: bool) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of each leaf: all that pass size and sketch, or the strongest that connect them."""
-    need = percent / 100 - SLACK
+    share = percent / 100
+    need = share - 4 * (share * (1 - share) / SIZE) ** 0.5  # four standard deviations below
     for batch in batches:
         left, right = [], []
         for at in range(0, batch.num_rows, 256):
@@ -226,10 +223,8 @@ def _compare(batches: Iterator[pa.RecordBatch], percent: int, connect: bool) ->
 
 def _leaf_pairs(leaves: DataFrame, sketches: DataFrame, percent: int, connect: bool) -> DataFrame:
     """sketches: rep, n, sketch, comp. A leaf holds at most LEAF rows, so gathering it is bounded."""
-    rows = leaves.join(sketches, "rep")
-    groups = rows.groupBy("node").agg(F.collect_list(F.struct("rep", "n", "sketch", "comp")).alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    groups = groups.where("size(members) > 1 AND low < high").select("members")
-    return map_batches(groups, partial(_compare, percent=percent, connect=connect), "a long, b long").distinct()
+    groups = leaves.join(sketches, "rep").groupBy("node").agg(F.collect_list(F.struct("rep", "n", "sketch", "comp")).alias("members"))
+    return map_batches(groups.select("members"), partial(_compare, percent=percent, connect=connect), "a long, b long").distinct()
 
 
 def _crowd_pairs(crowds: DataFrame, sketches: DataFrame, percent: int, seed: int) -> DataFrame:
@@ -298,35 +293,38 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """doc_id, n_shingles, component_id, kept, class_id, n_links (links of the class that were confirmed)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     hashed = docs.select("doc_id", word_hashes(F.col("text")).alias("words"))
-    described = materialise(map_batches(hashed, partial(_describe, width=width), "doc_id long, n long, f1 long, f2 long, tokens binary"), "sets")
+    described = materialise(map_batches(hashed, partial(_describe, width=width), "doc_id long, n long, f1 long, f2 long, tokens binary, sketch binary"), "sets")
     known = described.where("n > 0 AND doc_id IS NOT NULL")
-    classes = materialise(known.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
-    sets = known.select(F.col("doc_id").alias("rep"), "n", "tokens").join(classes.select("rep"), "rep").dropDuplicates(["rep"])
+    least = F.min(F.struct(F.col("doc_id").alias("rep"), "n", "tokens", "sketch")).alias("least")
+    sets = materialise(known.groupBy("f1", "f2").agg(least).select("f1", "f2", "least.*"), "classes")
     leaves, crowds = _nodes(sets, percent / 100)
 
-    active = leaves.select("rep").union(crowds.select("rep")).distinct()
-    sketch = F.expr(f"unhex(array_join(transform(sequence(0, {SIZE - 1}), i -> substr(hex(tokens), 8 * i + 1, 2)), ''))")
-    sketches = materialise(sets.join(active, "rep").select("rep", "n", sketch.alias("sketch"), F.col("rep").alias("comp")), "sketches")
+    sketches = sets.select("rep", "n", "sketch", F.col("rep").alias("comp"))
     first = _leaf_pairs(leaves, sketches, percent, True).unionByName(_crowd_pairs(crowds, sketches, percent, 0)).distinct()
     first = materialise(first, "first")
-    # Texts are read once more, of documents in candidate nodes only.
-    texts = materialise(docs.join(active, docs["doc_id"] == active["rep"], "left_semi").select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"]), "texts")
+    # Texts are read once more, only of documents with a candidate.
+    active = materialise(first.select(F.explode(F.array("a", "b")).alias("rep")).union(crowds.select("rep")).distinct(), "active")
+    some = sieve(docs, "doc_id", active)
+    texts = materialise(some.join(active, some["doc_id"] == active["rep"], "left_semi").select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"]), "texts")
     links = materialise(_confirmed(first, texts, width, percent), "confirmed")
     found = components(links)
 
-    labelled = sketches.drop("comp").join(found.withColumnRenamed("node", "rep").withColumnRenamed("component", "c"), "rep", "left")
-    labelled = materialise(labelled.select("rep", "n", "sketch", F.coalesce("c", "rep").alias("comp")), "labelled")
-    second = _leaf_pairs(leaves, labelled, percent, False)
+    # What still lies in two components is compared in whole: leaves of one component are done.
+    comps = materialise(active.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("comp")), "comps")
+    labelled = leaves.join(comps, "rep")
+    mixed = labelled.groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("node")
+    known = sketches.drop("comp").join(comps, "rep")
+    second = _leaf_pairs(leaves.join(mixed, "node").select("rep", "node"), known, percent, False)
     for seed in range(1, 4):
-        second = second.unionByName(_crowd_pairs(crowds, labelled, percent, seed))
+        second = second.unionByName(_crowd_pairs(crowds, known, percent, seed))
     second = second.distinct().join(first, ["a", "b"], "left_anti")
     more = materialise(_confirmed(second, texts, width, percent), "confirmed")
     links = links.unionByName(more)
     found = materialise(components(links), "components")
 
     ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    resolved = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").join(ends, "rep", "left")
-    out = described.drop("tokens").join(resolved, ["f1", "f2"], "left")
+    resolved = sets.select("f1", "f2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").join(ends, "rep", "left")
+    out = described.drop("tokens", "sketch").join(resolved, ["f1", "f2"], "left")
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"),

@@ -107,3 +107,15 @@ def test_stages_on_odd_rows(spark, tmp_path):
         assert docs.columns == ["doc_id", "text", "lang", *CLASH], name
     assert sorted(r["doc_id"] for r in docs.collect()) == [1, 3, 4]
     assert stages.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 3
+
+
+def test_sieve_loses_no_key(spark):
+    from broadsheet.functions.sieve import sieve, without_keys
+
+    keys = spark.range(0, 3_000_000, 1009).toDF("k")
+    rows = spark.range(0, 3_000_000, 7).toDF("doc_id").selectExpr("doc_id", "1 AS note")
+    kept = sieve(rows, "doc_id", keys)
+    assert kept.columns == ["doc_id", "note"]
+    assert rows.join(keys, rows["doc_id"] == keys["k"]).count() == kept.join(keys, kept["doc_id"] == keys["k"]).count() > 0
+    assert kept.count() < 0.01 * rows.count()
+    assert without_keys(rows, "doc_id", keys).count() == rows.join(keys, rows["doc_id"] == keys["k"], "left_anti").count()
