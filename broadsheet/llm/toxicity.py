@@ -23,15 +23,20 @@ document labelled twice is learned from twice. Extra columns are ignored.
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from broadsheet.llm.common import map_rows
+from broadsheet.functions.sieve import sieve
+from broadsheet.llm.common import map_batches, map_rows
 from broadsheet.session import materialise
 
 MAX_TERMS, MAX_EXAMPLES = 4096, 20_000
 K, BLOCK, SHARPNESS = 25, 64, 4
+#: Terms a task counts before it hands them on.
+FLUSH = 500_000
 STEMS = (4, 5)
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -47,6 +52,29 @@ def term_counts(text: str | None) -> Counter:
     return out
 
 
+def lookups(terms: list[str]) -> list[tuple[int | None, dict[str, int]]]:
+    """The kept terms by kind: whole words, then the stems of each length."""
+    out = [(None, {t: k for k, t in enumerate(terms) if not t.endswith("*")})]
+    return out + [(size, {t[:-1]: k for k, t in enumerate(terms) if t.endswith("*") and len(t) == size + 1}) for size in STEMS]
+
+
+def vector(text: str | None, tables: list[tuple[int | None, dict[str, int]]]) -> list[tuple[int, int]]:
+    """(term, count) of the kept terms of a whole text, as term_counts counts them."""
+    if not any(kept for _, kept in tables):
+        return []
+    counts = Counter(LETTERS.findall((text or "").lower()))
+    out: Counter = Counter()
+    for size, kept in tables:
+        if size is None:
+            for word in counts.keys() & kept.keys():
+                out[kept[word]] += counts[word]
+        elif kept:
+            for word, n in counts.items():
+                if word[:size] in kept and len(word) > size:
+                    out[kept[word[:size]]] += n
+    return sorted(out.items())
+
+
 def choose_terms(labelled: DataFrame) -> list[str]:
     """The terms that tell toxic (0 or 1) apart, over all rows of (text, toxic)."""
     totals = labelled.agg(F.count("*").alias("n"), F.sum("toxic").alias("p")).first()
@@ -54,18 +82,31 @@ def choose_terms(labelled: DataFrame) -> list[str]:
     if not p or p == n:
         return []
 
-    def work(rows):
-        # Pre-aggregated per slice: what leaves a task is its terms, not its words.
-        seen: dict[str, list[int]] = {}
-        for row in rows:
-            for term in term_counts(row["text"]):
-                entry = seen.setdefault(term, [0, 0])
-                entry[0] += 1
-                entry[1] += row["toxic"]
-        for term, (df, pos) in seen.items():
-            yield {"term": term, "df": df, "pos": pos}
-
-    counts = map_rows(labelled, work, "term string, df long, pos long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("pos").alias("pos"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Pre-aggregated: what leaves a task is its terms, not its words. FLUSH bounds the memory.
+        df: Counter = Counter()
+        pos: Counter = Counter()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    terms = term_counts(text)
+                    df.update(terms.keys())
+                    if toxic:
+                        pos.update(terms.keys())
+                if len(df) > FLUSH:
+                    yield flushed(df, pos)
+                    df, pos = Counter(), Counter()
+        yield flushed(df, pos)
+
+    def flushed(df: Counter, pos: Counter) -> pa.RecordBatch:
+        hits = map(pos.__getitem__, df)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(df.keys(), pa.string()), pa.array(df.values(), pa.int64()), pa.array(hits, pa.int64())], ["term", "df", "pos"]
+        )
+
+    rows = map_batches(labelled.select("text", "toxic"), count, "term string, df long, pos long")
+    counts = rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("pos").alias("pos"))
     # A term that fails even with all its rows toxic is not worth carrying on.
     tested = materialise(counts.where("df >= 3"), "terms")
     bound = 2 * float(np.log(max(tested.count(), 2)))
@@ -194,18 +235,26 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic IN (0, 1)")
-    terms = choose_terms(docs.join(known, "doc_id").select("text", "toxic"))
-    shared = spark.sparkContext.broadcast({t: k for k, t in enumerate(terms)})
+    # Of the texts only those with a label are shuffled; labels grow with the texts and are never broadcast.
+    labelled = sieve(docs, "doc_id", known.select("doc_id")).join(known.hint("merge"), "doc_id")
+    terms = choose_terms(labelled.select("text", "toxic"))
+    shared = spark.sparkContext.broadcast(lookups(terms))
 
-    def vectors(rows):
-        place = shared.value
-        for row in rows:
-            found = sorted((place[t], n) for t, n in term_counts(row["text"]).items() if t in place) if place else []
-            yield {"doc_id": row["doc_id"], "hash": row["hash"], "terms": [t for t, _ in found], "counts": [n for _, n in found]}
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [vector(text, tables) for text in part.column(2).to_pylist()]
+                ints = pa.list_(pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array([[t for t, _ in v] for v in found], ints), pa.array([[n for _, n in v] for v in found], ints)],
+                    ["doc_id", "hash", "terms", "counts"],
+                )
 
     key = docs.schema["doc_id"].dataType.simpleString()
     hashed = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
-    made = materialise(map_rows(hashed, vectors, f"doc_id {key}, hash long, terms array<int>, counts array<int>"), "vectors")
+    made = materialise(map_batches(hashed, vectors, f"doc_id {key}, hash long, terms array<int>, counts array<int>"), "vectors")
     total = made.count()
     df = dict(made.select(F.explode("terms").alias("t")).groupBy("t").count().toPandas().itertuples(index=False))
     idf = np.array([np.log(1 + total / df.get(k, 1)) for k in range(len(terms))])

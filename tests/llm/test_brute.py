@@ -417,3 +417,11 @@ def test_pipeline(spark, given):
     _, gone = _line_brute({d: t for d, t in given.items() if d not in toxic})
     lines = {d: [x for line in t.split("\n") if (x := line.strip())] for d, t in given.items()}
     assert all(len(gone.get(d, ())) < len(lines[d]) or not lines[d] for d in ids)
+
+
+def test_vectors_hold_the_counts_of_kept_terms():
+    text = "Loweiä loweischaft LOWEI lowe idiot, idiots idiot'; 12 loweiä"
+    counts = toxicity.term_counts(text)
+    terms = sorted(counts)[::2] + ["absent", "abse*"]
+    assert dict(toxicity.vector(text, toxicity.lookups(terms))) == {k: counts[t] for k, t in enumerate(terms) if t in counts}
+    assert toxicity.vector(None, toxicity.lookups(terms)) == [] == toxicity.vector(text, toxicity.lookups([]))
