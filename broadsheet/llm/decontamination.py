@@ -31,8 +31,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from broadsheet.functions.sieve import without_keys
 from broadsheet.llm.common import map_batches, map_rows
 from broadsheet.llm.recompression import mix
+from broadsheet.session import materialise
 
 LEAST, MOST, RARE = 3, 8, 1e-7
 PENALTY, THRESHOLD = 0.5, 0.5
@@ -220,4 +222,5 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs without a copy of a test item."""
-    return docs.join(contaminated(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    found = materialise(contaminated(docs, items).select("doc_id").distinct(), "contaminated")
+    return without_keys(docs, "doc_id", found)

@@ -4,9 +4,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from broadsheet.functions.sieve import without_keys
 from broadsheet.llm import bpe, chosenpath, decontamination, language, linededup, toxicity
 from broadsheet.llm.common import table
 from broadsheet.llm.queries import vocabulary
+from broadsheet.session import materialise
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -15,8 +17,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go; labels held out elsewhere are not learned from here either."""
     labels = table(spark, sf_dir, "labels")
     scored = toxicity.score(docs, labels.where(~language.held_out(F.col("doc_id"))))
-    toxic = scored.where("predicted = 1").select("doc_id")
-    return docs.join(toxic, "doc_id", "left_anti").select(*docs.columns)
+    toxic = materialise(scored.where("predicted = 1").select("doc_id"), "toxic")
+    return without_keys(docs, "doc_id", toxic)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +34,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of smallest id stays."""
-    gone = chosenpath.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti").select(*docs.columns)
+    gone = materialise(chosenpath.near_duplicates(docs).where("NOT kept").select("doc_id"), "near")
+    return without_keys(docs, "doc_id", gone)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
