@@ -15,9 +15,10 @@ pair. First each node's strongest candidates that connect it are confirmed;
 then, with components known, every candidate pair that still lies in two
 components. Pairs inside one component add nothing and are not made, so a
 group of copies costs in proportion to its size. A node that stays large at
-the last level (a group of near copies of any size) is compared with a leader
-drawn per tree, and its members that remain apart with drawn members of the other
-components, again node by node.
+the last level (a group of near copies of any size) is compared with leaders
+drawn per tree, which links almost all of it at linear cost; the members that
+remain outside its largest component are compared with all members of other
+components, block by block.
 
 Homes are salted: at most SHARE partners to a task group. Components are
 found by rounds of large-star and small-star over links, written to the
@@ -235,6 +236,54 @@ def _crowd_pairs(crowds: DataFrame, sketches: DataFrame, percent: int, seed: int
     return pairs.select(F.col("leader.rep").alias("a"), F.col("rep").alias("b")).distinct()
 
 
+def _crowd_blocks(crowds: DataFrame, comps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links of the members outside their node's largest component with all members of other components.
+
+    Both sides are dealt into blocks of about SHARE, and every pair of blocks
+    is a task group of its own, whatever the size of the node.
+    """
+    rows = materialise(crowds.join(comps, "rep"), "crowd")
+    sizes = rows.groupBy("node", "comp").agg(F.count("*").alias("m"))
+    nodes = sizes.groupBy("node").agg(F.max(F.struct("m", F.col("comp"))).alias("top"), F.sum("m").alias("m"), F.count("*").alias("k")).where("k > 1")
+    blocks = lambda m: F.ceil(m / SHARE)
+    nodes = nodes.select("node", F.col("top.comp").alias("main"), blocks(F.col("m")).alias("ms"), blocks(F.col("m") - F.col("top.m")).alias("us"))
+    rows = rows.join(nodes, "node")
+    own = lambda parts: F.pmod(F.xxhash64("rep"), F.col(parts))
+    each = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
+    apart = rows.where("comp <> main").select("node", own("us").alias("u"), each("ms").alias("v"), F.lit(False).alias("member"), "rep", "comp")
+    members = rows.select("node", each("us").alias("u"), own("ms").alias("v"), F.lit(True).alias("member"), "rep", "comp")
+    spread = apart.unionByName(members).join(texts, "rep").repartition("node", "u", "v").sortWithinPartitions("node", "u", "v", "member")
+    hashed = spread.select("node", "u", "v", "member", "rep", "comp", word_hashes(F.col("text")).alias("words"))
+    return map_batches(hashed, partial(_meet, width=width, percent=percent), "a long, b long").distinct()
+
+
+def _meet(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Within a pair of blocks, one link per row apart and component it is linked with."""
+    group, apart, met = None, [], set()
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in range(3))))
+        member, rep, comp = (batch.column(c).to_pylist() for c in range(3, 6))
+        left, right = [], []
+        for row, end, values, offsets in _slices(batch, "words"):
+            sets, at = shingle_sets(values, offsets, width)
+            for k in range(row, end):
+                mine = sets[at[k - row] : at[k - row + 1]]
+                if keys[k] != group:
+                    group, apart, met = keys[k], [], set()
+                if not member[k]:
+                    apart.append((rep[k], comp[k], mine.copy()))
+                    continue
+                for other, its, own in apart:
+                    if its == comp[k] or (other, comp[k]) in met or 100 * min(len(own), len(mine)) < percent * max(len(own), len(mine)):
+                        continue
+                    both = len(np.intersect1d(own, mine, assume_unique=True))
+                    if 100 * both >= percent * (len(own) + len(mine) - both):
+                        met.add((other, comp[k]))
+                        left.append(other)
+                        right.append(rep[k])
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+
 def _confirm(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Links of each home with its partners. Rows come home first, then partners, group by group."""
     home, salt, own = None, None, None
@@ -268,11 +317,15 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     return map_batches(spread.select("a", "salt", "rep", word_hashes(F.col("text")).alias("words")), partial(_confirm, width=width, percent=percent), "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable, for every node of a link (a, b), by alternating stars."""
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(node, component): the smallest node reachable, for every node of a link (a, b), by alternating stars.
+
+    With `rounds`, what so many rounds have found: a component may still be in several parts.
+    """
     edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "links")
-    state = None
-    while True:
+    state, turn = None, 0
+    while rounds is None or turn < rounds:
+        turn += 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # Large star: neighbours above u point to the least of u and its neighbours.
@@ -282,6 +335,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = materialise(small.where("u > v").distinct(), "small-star")
+        if turn == rounds:
+            break
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
         if now == state:
             break
@@ -307,19 +362,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     some = sieve(docs, "doc_id", active)
     texts = materialise(some.join(active, some["doc_id"] == active["rep"], "left_semi").select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"]), "texts")
     links = materialise(_confirmed(first, texts, width, percent), "confirmed")
-    found = components(links)
+
+    def labels(links: DataFrame) -> DataFrame:
+        found = components(links, 2).withColumnRenamed("node", "rep")
+        return materialise(active.join(found, "rep", "left").select("rep", F.coalesce("component", "rep").alias("comp")), "comps")
 
     # What still lies in two components is compared in whole: leaves of one component are done.
-    comps = materialise(active.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("comp")), "comps")
-    labelled = leaves.join(comps, "rep")
-    mixed = labelled.groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("node")
+    comps = labels(links)
+    mixed = leaves.join(comps, "rep").groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("node")
     known = sketches.drop("comp").join(comps, "rep")
     second = _leaf_pairs(leaves.join(mixed, "node").select("rep", "node"), known, percent, False)
     for seed in range(1, 4):
         second = second.unionByName(_crowd_pairs(crowds, known, percent, seed))
     second = second.distinct().join(first, ["a", "b"], "left_anti")
-    more = materialise(_confirmed(second, texts, width, percent), "confirmed")
-    links = links.unionByName(more)
+    links = links.unionByName(materialise(_confirmed(second, texts, width, percent), "confirmed"))
+    if not crowds.isEmpty():
+        links = links.unionByName(materialise(_crowd_blocks(crowds, labels(links), texts, width, percent), "met"))
     found = materialise(components(links), "components")
 
     ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))

@@ -391,8 +391,7 @@ def test_near_duplicates_in_large_groups(spark, monkeypatch, leaf):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in chosenpath.near_duplicates(docs, 3, 85).collect()}
     want = _near_brute(texts, 3, 85)
     assert {d: v[0] for d, v in got.items()} == {d: v[0] for d, v in want.items()}
-    wrong = sum(got[d] != want[d] for d in want)
-    assert wrong == 0 if leaf == chosenpath.LEAF and leaf > 8 else wrong <= 0.02 * len(want)
+    assert got == want
 
 
 def test_components_of_a_path(spark):
