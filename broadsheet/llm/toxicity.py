@@ -1,9 +1,9 @@
 """Toxicity by the nearest labelled examples.
 
 Terms are words in lower case and their first four and five letters, so that
-an inflected form meets its stem. A term is kept if it tells the two labels
-apart beyond chance among all rows learned from (chi-squared over twice the
-log of the number of terms tested), the strongest MAX_TERMS of them. Vectors
+an inflected form meets its stem. A term is kept if toxic rows have it more
+often, LIFT times and beyond chance, among all rows learned from (chi-squared
+over twice the log of the number of terms tested), the strongest MAX_TERMS of them. Vectors
 are TF-IDF over these terms, the document frequencies counted over the whole
 table. The index holds at most MAX_EXAMPLES labelled rows, those with the
 smallest text hash; equal vectors share an entry with their number of labels.
@@ -33,11 +33,13 @@ from broadsheet.functions.sieve import sieve
 from broadsheet.llm.common import map_batches, map_rows
 from broadsheet.session import materialise
 
-MAX_TERMS, MAX_EXAMPLES = 4096, 20_000
+MAX_TERMS, MAX_EXAMPLES = 400, 20_000
 K, BLOCK, SHARPNESS = 25, 64, 4
 #: Terms a task counts before it hands them on.
 FLUSH = 500_000
 STEMS = (4, 5)
+#: A kept term's share of toxic rows is over LIFT times that of all rows.
+LIFT = 3
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -113,7 +115,8 @@ def choose_terms(labelled: DataFrame) -> list[str]:
     a, b = F.col("pos"), F.col("df") - F.col("pos")
     c, d = F.lit(p) - a, F.lit(n - p) - b
     chi = F.lit(float(n)) * F.pow(a * d - b * c, F.lit(2.0)) / (F.col("df") * (F.lit(float(n)) - F.col("df")) * F.lit(float(p) * (n - p)))
-    best = tested.where(f"df < {n}").withColumn("chi", chi).where(F.col("chi") > bound).orderBy(F.desc("chi"), "term").limit(MAX_TERMS)
+    telling = tested.where(f"df < {n}").where(F.col("pos") * n > LIFT * p * F.col("df"))
+    best = telling.withColumn("chi", chi).where(F.col("chi") > bound).orderBy(F.desc("chi"), "term").limit(MAX_TERMS)
     return [r["term"] for r in best.select("term").collect()]
 
 
