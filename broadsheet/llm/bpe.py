@@ -148,7 +148,7 @@ class Tokenizer:
         # White space never stands inside a chunk, so the classes below need not name it.
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
         self.odd = regex.compile("[\x1c-\x1f]")
-        self.gap = regex.compile("[\t-\r \x85\xa0  -     　]+")
+        self.gap = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 

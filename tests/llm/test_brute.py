@@ -43,7 +43,6 @@ def test_query_against_sql(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0])) == list(QUERIES) or len(QUERIES) == 10
     assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
 
 
