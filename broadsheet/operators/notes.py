@@ -34,6 +34,7 @@ def note_source_url(text: str = "text") -> Column:
 
 def note_hint_link(html: str = "html") -> Column:
     """The first link in the note's HTML: a lead for the curator, never inserted."""
+    # Fixed value: the pattern of a link.
     links = F.regexp_extract_all(F.col(html), F.lit('href="(https?://[^"]+)"'), F.lit(1))
     return F.get(F.filter(links, lambda link: ~link.contains("localhost")), F.lit(0))
 

@@ -28,10 +28,27 @@ def _element(name: str) -> Column:
     return F.regexp_replace(inner, r"(?s)<[^>]*>", "")
 
 
+def _numeric_entities(c: Column) -> Column:
+    """&#8217; and &#x2019; as their characters; numbers of no character stay."""
+
+    def one(piece: Column) -> Column:
+        base16 = F.regexp_extract(piece, "^&#[xX]([0-9A-Fa-f]{1,6});$", 1)
+        base10 = F.regexp_extract(piece, "^&#([0-9]{1,7});$", 1)
+        code = F.when(base16 != "", F.conv(base16, 16, 10).cast("int")).when(base10 != "", base10.try_cast("int"))
+        known = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        return F.when(known, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(piece)
+
+    pieces = F.regexp_extract_all(c, F.lit("(?s)&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};|[^&]+|&"), F.lit(0))
+    return F.when(F.contains(c, F.lit("&#")), F.array_join(F.transform(pieces, one), "")).otherwise(c)
+
+
 def _unescape(c: Column) -> Column:
+    c = _numeric_entities(c)
     # Entity and character, the ampersand last.
     for entity, char in (
-        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&amp;", "&"),
+        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&ndash;", "\u2013"),
+        ("&mdash;", "\u2014"), ("&hellip;", "\u2026"), ("&lsquo;", "\u2018"), ("&rsquo;", "\u2019"),
+        ("&ldquo;", "\u201c"), ("&rdquo;", "\u201d"), ("&amp;", "&"),
     ):
         c = F.replace(c, F.lit(entity), F.lit(char))
     return c

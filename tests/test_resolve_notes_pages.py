@@ -171,3 +171,14 @@ def test_one_url_on_a_third_of_all_pages(spark, articles, exclusions):
     out = pages.classify_ingest(df, articles(), exclusions())
     assert out.filter("status = 'inserted'").count() == 2001
     assert out.filter("status = 'inserted' and url like '%hot%'").first().page_id == 0
+
+
+def test_entities_in_titles(spark):
+    from broadsheet.operators.pages import extract_page_metadata
+
+    def title(text):
+        html = f"<html><head><title>{text}</title></head></html>"
+        return extract_page_metadata(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")).first().title
+
+    assert title("It&#8217;s &#x1F600; &mdash; &amp;#39; A&B &#0; &#xD800; &#39;x&#39;") == "It’s \U0001f600 — &#39; A&B &#0; &#xD800; 'x'"
+    assert title("plain & simple") == "plain & simple"
