@@ -1,17 +1,19 @@
 """Toxicity by the nearest labelled examples.
 
 Terms are words in lower case and their first four and five letters, so that
-an inflected form meets its stem. A term is kept if toxic rows have it more
-often, LIFT times and beyond chance, among all rows learned from (chi-squared
-over twice the log of the number of terms tested), the strongest MAX_TERMS of them. Vectors
+an inflected form meets its stem. A term is kept if it tells the two labels
+apart beyond chance among all rows learned from, whichever of them has it more
+often and at every base rate (chi-squared over twice the log of the number of
+terms tested), the strongest MAX_TERMS of them. Vectors
 are TF-IDF over these terms, the document frequencies counted over the whole
 table. The index holds at most MAX_EXAMPLES labelled rows, those with the
 smallest text hash; equal vectors share an entry with their number of labels.
 
 The index is inverted by blocks of BLOCK entries: per term the largest weight
-in each block. A query's products with these maxima bound every block's best
-cosine; blocks are opened best bound first until no bound can reach the K-th
-best cosine found, so the K nearest are exact. They vote with the cosine to
+in each block that has the term. A query's products with these maxima bound
+every block's best cosine; the FIRST blocks of best bound are opened, then all
+whose bound reaches the K-th best cosine found, so the K nearest are exact.
+They vote with the cosine to
 the power SHARPNESS; a logistic fit of leave-one-out votes on the examples
 calibrates the score. The nearest entries are the evidence.
 
@@ -34,12 +36,10 @@ from broadsheet.llm.common import map_batches, map_rows
 from broadsheet.session import materialise
 
 MAX_TERMS, MAX_EXAMPLES = 400, 20_000
-K, BLOCK, SHARPNESS = 25, 64, 4
+K, BLOCK, FIRST, SHARPNESS = 25, 64, 4, 4
 #: Terms a task counts before it hands them on.
 FLUSH = 500_000
 STEMS = (4, 5)
-#: A kept term's share of toxic rows is over LIFT times that of all rows.
-LIFT = 3
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -115,11 +115,15 @@ def choose_terms(labelled: DataFrame) -> list[str]:
     a, b = F.col("pos"), F.col("df") - F.col("pos")
     c, d = F.lit(p) - a, F.lit(n - p) - b
     chi = F.lit(float(n)) * F.pow(a * d - b * c, F.lit(2.0)) / (F.col("df") * (F.lit(float(n)) - F.col("df")) * F.lit(float(p) * (n - p)))
-    telling = tested.where(f"df < {n}").where(F.col("pos") * n > LIFT * p * F.col("df"))
-    best = telling.withColumn("chi", chi).where(F.col("chi") > bound).orderBy(F.desc("chi"), "term").limit(MAX_TERMS)
+    best = tested.where(f"df < {n}").withColumn("chi", chi).where(F.col("chi") > bound).orderBy(F.desc("chi"), "term").limit(MAX_TERMS)
     return [r["term"] for r in best.select("term").collect()]
 
 
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of every range, one range after the other."""
+    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+
+
 class Index:
     """Labelled vectors, inverted by blocks."""
 
@@ -138,16 +142,20 @@ class Index:
         self.n = np.array([merged[v][0] for v in self.vectors], float)
         self.pos = np.array([merged[v][1] for v in self.vectors], float)
         self.key = [merged[v][2] for v in self.vectors]
-        blocks = -(-len(self.vectors) // BLOCK)
-        self.maxima = np.zeros((len(idf), blocks))
-        self.postings: list[dict[int, tuple[list[int], list[float]]]] = [{} for _ in range(blocks)]
-        for k, (terms, counts) in enumerate(self.vectors):
-            block = k // BLOCK
-            for t, w in zip(terms, self.weights(terms, counts)):
-                self.maxima[t, block] = max(self.maxima[t, block], w)
-                at, ws = self.postings[block].setdefault(t, ([], []))
-                at.append(k - block * BLOCK)
-                ws.append(w)
+        self.blocks = -(-len(self.vectors) // BLOCK)
+        # Postings by term, then entry; a run is what a block has of a term.
+        sizes = np.array([len(terms) for terms, _ in self.vectors], int)
+        term = np.array([t for terms, _ in self.vectors for t in terms], int)
+        entry = np.repeat(np.arange(len(sizes)), sizes)
+        weight = np.concatenate([np.empty(0), *[self.weights(*v) for v in self.vectors]])
+        order = np.lexsort((entry, term))
+        term, self.entry, self.weight = term[order], entry[order], weight[order]
+        block = self.entry // BLOCK
+        self.start = np.flatnonzero(np.diff(term * self.blocks + block, prepend=-1))
+        self.length = np.diff(self.start, append=len(term))
+        self.block = block[self.start]
+        self.maximum = np.maximum.reduceat(self.weight, self.start) if len(term) else np.empty(0)
+        self.runs = np.searchsorted(term[self.start], np.arange(len(idf) + 1))
         self.scale = (0.0, 1.0)
         self.rate = 0.0
         self._calibrate()
@@ -159,22 +167,31 @@ class Index:
 
     def nearest(self, terms, counts) -> tuple[np.ndarray, np.ndarray]:
         """The K nearest entries and their cosines, exact; ties go to the first entry."""
-        w = self.weights(terms, counts)
-        bounds = w @ self.maxima[np.asarray(terms, int)] + 1e-9
-        ids, cos = np.empty(0, int), np.empty(0)
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 1e-9 or (len(ids) == K and bounds[block] < cos[-1]):
-                break
-            scores = np.zeros(BLOCK)
-            for t, x in zip(terms, w):
-                if t in self.postings[block]:
-                    at, ws = self.postings[block][t]
-                    scores[at] += x * np.asarray(ws)
-            found = np.flatnonzero(scores)
-            ids, cos = np.concatenate([ids, found + block * BLOCK]), np.concatenate([cos, scores[found]])
-            order = np.lexsort((ids, -cos))[:K]
-            ids, cos = ids[order], cos[order]
-        return ids, cos
+        terms = np.asarray(terms, int)
+        lengths = self.runs[terms + 1] - self.runs[terms]
+        runs, w = ranges(self.runs[terms], lengths), np.repeat(self.weights(terms, counts), lengths)
+        block = self.block[runs]
+        bounds = np.bincount(block, w * self.maximum[runs], self.blocks) + 1e-9
+        open_ = bounds >= (np.partition(bounds, -FIRST)[-FIRST] if self.blocks > FIRST else 0)
+        found = self._best(*self._scores(runs[open_[block]], w[open_[block]]))
+        left = ~open_ & (bounds >= (found[1][-1] if len(found[0]) == K else 0))
+        rest = self._scores(runs[left[block]], w[left[block]])
+        return self._best(*map(np.concatenate, zip(found, rest)))
+
+    def _scores(self, runs, w) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of the runs and their cosines."""
+        places = ranges(self.start[runs], self.length[runs])
+        scores = np.bincount(self.entry[places], np.repeat(w, self.length[runs]) * self.weight[places])
+        found = np.flatnonzero(scores)
+        return found, scores[found]
+
+    @staticmethod
+    def _best(ids, cos) -> tuple[np.ndarray, np.ndarray]:
+        if len(ids) > K:
+            reach = cos >= np.partition(cos, -K)[-K]
+            ids, cos = ids[reach], cos[reach]
+        order = np.lexsort((ids, -cos))[:K]
+        return ids[order], cos[order]
 
     def vote(self, ids, cos, n, pos) -> float:
         w = cos**SHARPNESS

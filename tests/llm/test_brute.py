@@ -236,6 +236,26 @@ def test_nearest_by_blocks_is_exact():
         assert np.allclose(got, want) and np.allclose(cos[ids], got)
 
 
+def _labelled(spark, texts, labels):
+    """Scores of (text, toxic) rows learned from the first `labels` of them."""
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id long, text string")
+    known = spark.createDataFrame([(k, y) for k, (_, y) in enumerate(texts[:labels])], "doc_id long, toxic int")
+    return {r["doc_id"]: r["score"] for r in toxicity.score(docs, known).collect()}
+
+
+def _comments(draw, n, toxic_of_ten):
+    """Filler words, and one of a few words of either label."""
+    filler, words = [f"f{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}" for k in range(100)], {1: ["vile", "scum"], 0: ["kind", "dear"]}
+    return [(" ".join([*draw.choices(filler, k=12), draw.choice(words[y])]), y) for y in (int(k % 10 < toxic_of_ten) for k in range(n))]
+
+
+@pytest.mark.parametrize("toxic_of_ten", [1, 5, 8])
+def test_toxicity_at_every_base_rate(spark, toxic_of_ten):
+    texts = _comments(random.Random(toxic_of_ten), 600, toxic_of_ten)
+    scores = _labelled(spark, texts, 400)
+    assert all((scores[k] >= 0.5) == bool(texts[k][1]) for k in range(400, 600))
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
 def test_language_held_out(spark):
     sf = "/root/testdata/sf0.01"
