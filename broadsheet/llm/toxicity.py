@@ -4,15 +4,17 @@ Terms are words in lower case and their first four and five letters, so that
 an inflected form meets its stem. A term is kept if it tells the two labels
 apart beyond chance among all rows learned from, whichever of them has it more
 often and at every base rate (chi-squared over twice the log of the number of
-terms tested), the strongest MAX_TERMS of them. Vectors
-are TF-IDF over these terms, the document frequencies counted over the whole
-table. The index holds at most MAX_EXAMPLES labelled rows, those with the
-smallest text hash; equal vectors share an entry with their number of labels.
+terms tested); copies of a text count once for each label they have, so no text
+crowds out the words of others. Vectors are TF-IDF over all these terms, the
+document frequencies counted over the whole table. The index holds at most
+MAX_EXAMPLES distinct labelled texts, those with the smallest hash; equal
+vectors share an entry with their number of labels.
 
 The index is inverted by blocks of BLOCK entries: per term the largest weight
 in each block that has the term. A query's products with these maxima bound
 every block's best cosine; the FIRST blocks of best bound are opened, then all
-whose bound reaches the K-th best cosine found, so the K nearest are exact.
+whose bound reaches the K-th best cosine found, as whole lists if those are
+many, so the K nearest are exact.
 They vote with the cosine to
 the power SHARPNESS; a logistic fit of leave-one-out votes on the examples
 calibrates the score. The nearest entries are the evidence.
@@ -20,7 +22,7 @@ calibrates the score. The nearest entries are the evidence.
 Null and empty texts have no terms: their score, as that of any text without
 terms, is the calibrated share of toxic rows among examples without terms.
 With no labelled rows all scores are 0. Repeated rows are scored each; a
-document labelled twice is learned from twice. Extra columns are ignored.
+document labelled twice votes twice. Extra columns are ignored.
 """
 
 import re
@@ -35,7 +37,7 @@ from broadsheet.functions.sieve import sieve
 from broadsheet.llm.common import map_batches, map_rows
 from broadsheet.session import materialise
 
-MAX_TERMS, MAX_EXAMPLES = 400, 20_000
+MAX_EXAMPLES = 20_000
 K, BLOCK, FIRST, SHARPNESS = 25, 64, 4, 4
 #: Terms a task counts before it hands them on.
 FLUSH = 500_000
@@ -78,7 +80,8 @@ def vector(text: str | None, tables: list[tuple[int | None, dict[str, int]]]) ->
 
 
 def choose_terms(labelled: DataFrame) -> list[str]:
-    """The terms that tell toxic (0 or 1) apart, over all rows of (text, toxic)."""
+    """The terms that tell toxic (0 or 1) apart, over all distinct texts of (hash, text, toxic)."""
+    labelled = labelled.dropDuplicates(["hash", "toxic"])
     totals = labelled.agg(F.count("*").alias("n"), F.sum("toxic").alias("p")).first()
     n, p = totals["n"], totals["p"] or 0
     if not p or p == n:
@@ -115,8 +118,8 @@ def choose_terms(labelled: DataFrame) -> list[str]:
     a, b = F.col("pos"), F.col("df") - F.col("pos")
     c, d = F.lit(p) - a, F.lit(n - p) - b
     chi = F.lit(float(n)) * F.pow(a * d - b * c, F.lit(2.0)) / (F.col("df") * (F.lit(float(n)) - F.col("df")) * F.lit(float(p) * (n - p)))
-    best = tested.where(f"df < {n}").withColumn("chi", chi).where(F.col("chi") > bound).orderBy(F.desc("chi"), "term").limit(MAX_TERMS)
-    return [r["term"] for r in best.select("term").collect()]
+    best = tested.where(f"df < {n}").withColumn("chi", chi).where(F.col("chi") > bound)
+    return best.select("term").orderBy("term").toArrow().column(0).to_pylist()
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -127,14 +130,14 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class Index:
     """Labelled vectors, inverted by blocks."""
 
-    def __init__(self, idf: np.ndarray, examples: list[tuple[list[int], list[int], int, int]]):
-        """examples: (terms, counts, toxic, id)."""
+    def __init__(self, idf: np.ndarray, examples: list[tuple]):
+        """examples: (terms, counts, toxic, id), and the number of labels if it is not one."""
         self.idf = idf
         merged: dict[tuple, list] = {}
-        for terms, counts, toxic, key in examples:
+        for terms, counts, toxic, key, *labels in examples:
             entry = merged.setdefault((tuple(terms), tuple(counts)), [0, 0, key])
-            entry[0] += 1
-            entry[1] += toxic
+            entry[0] += labels[0] if labels else 1
+            entry[1] += toxic * (labels[0] if labels else 1)
             entry[2] = min(entry[2], key)
         empty = merged.pop(((), ()), [0, 0, None])
         self.empty = (empty[0], empty[1])
@@ -156,6 +159,12 @@ class Index:
         self.block = block[self.start]
         self.maximum = np.maximum.reduceat(self.weight, self.start) if len(term) else np.empty(0)
         self.runs = np.searchsorted(term[self.start], np.arange(len(idf) + 1))
+        self.lists = np.searchsorted(term, np.arange(len(idf) + 1))
+        # Terms that a quarter of the entries have are added up faster as whole rows.
+        self.rows = {}
+        for t in np.flatnonzero(np.diff(self.lists) * 4 > len(sizes)):
+            at = slice(self.lists[t], self.lists[t + 1])
+            self.rows[int(t)] = np.bincount(self.entry[at], self.weight[at], len(sizes))
         self.scale = (0.0, 1.0)
         self.rate = 0.0
         self._calibrate()
@@ -169,12 +178,15 @@ class Index:
         """The K nearest entries and their cosines, exact; ties go to the first entry."""
         terms = np.asarray(terms, int)
         lengths = self.runs[terms + 1] - self.runs[terms]
-        runs, w = ranges(self.runs[terms], lengths), np.repeat(self.weights(terms, counts), lengths)
+        weights = self.weights(terms, counts)
+        runs, w = ranges(self.runs[terms], lengths), np.repeat(weights, lengths)
         block = self.block[runs]
         bounds = np.bincount(block, w * self.maximum[runs], self.blocks) + 1e-9
         open_ = bounds >= (np.partition(bounds, -FIRST)[-FIRST] if self.blocks > FIRST else 0)
         found = self._best(*self._scores(runs[open_[block]], w[open_[block]]))
         left = ~open_ & (bounds >= (found[1][-1] if len(found[0]) == K else 0))
+        if left.sum() * 16 > self.blocks:  # many blocks: whole lists are read faster than runs
+            return self._best(*self._all_scores(terms, weights))
         rest = self._scores(runs[left[block]], w[left[block]])
         return self._best(*map(np.concatenate, zip(found, rest)))
 
@@ -185,6 +197,18 @@ class Index:
         found = np.flatnonzero(scores)
         return found, scores[found]
 
+    def _all_scores(self, terms, w) -> tuple[np.ndarray, np.ndarray]:
+        """All entries that share a term, and their cosines."""
+        scores = np.zeros(len(self.vectors))
+        for t, x in zip(terms.tolist(), w.tolist()):
+            if t in self.rows:
+                scores += x * self.rows[t]
+            else:
+                at = slice(self.lists[t], self.lists[t + 1])
+                scores[self.entry[at]] += x * self.weight[at]
+        found = np.flatnonzero(scores)
+        return found, scores[found]
+
     @staticmethod
     def _best(ids, cos) -> tuple[np.ndarray, np.ndarray]:
         if len(ids) > K:
@@ -253,11 +277,11 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     labels: (doc_id, toxic) of the rows to learn from; rows with null labels are left out.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic IN (0, 1)")
     # Of the texts only those with a label are shuffled; labels grow with the texts and are never broadcast.
     labelled = sieve(docs, "doc_id", known.select("doc_id")).join(known.hint("merge"), "doc_id")
-    terms = choose_terms(labelled.select("text", "toxic"))
+    terms = choose_terms(labelled.select("hash", "text", "toxic"))
     shared = spark.sparkContext.broadcast(lookups(terms))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,13 +297,17 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 )
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    hashed = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
-    made = materialise(map_batches(hashed, vectors, f"doc_id {key}, hash long, terms array<int>, counts array<int>"), "vectors")
+    made = materialise(map_batches(docs, vectors, f"doc_id {key}, hash long, terms array<int>, counts array<int>"), "vectors")
     total = made.count()
     df = dict(made.select(F.explode("terms").alias("t")).groupBy("t").count().toPandas().itertuples(index=False))
     idf = np.array([np.log(1 + total / df.get(k, 1)) for k in range(len(terms))])
-    sample = made.join(known, "doc_id").orderBy("hash", "doc_id").limit(MAX_EXAMPLES).select("terms", "counts", "toxic", F.col("doc_id").cast("long").alias("doc_id"))
-    index = Index(idf, [(r["terms"], r["counts"], r["toxic"], r["doc_id"] or 0) for r in sample.toArrow().to_pylist()])
+    # Copies of a text have the same vector: grouped before the sample, and both labels of a text enter together.
+    votes = made.select("doc_id", "hash").join(known, "doc_id").groupBy("hash").agg(
+        F.min(F.col("doc_id").cast("long")).alias("key"), F.count("*").alias("n"), F.sum("toxic").alias("pos")
+    ).orderBy("hash").limit(MAX_EXAMPLES)
+    sample = votes.join(made.select("hash", "terms", "counts"), "hash").dropDuplicates(["hash"]).orderBy("hash").toArrow().to_pylist()
+    sides = [(r, toxic, size) for r in sample for toxic, size in ((1, r["pos"]), (0, r["n"] - r["pos"])) if size]
+    index = Index(idf, [(r["terms"], r["counts"], toxic, r["key"] or 0, size) for r, toxic, size in sides])
     held = spark.sparkContext.broadcast(index)
 
     def judge(rows):

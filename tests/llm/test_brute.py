@@ -256,6 +256,15 @@ def test_toxicity_at_every_base_rate(spark, toxic_of_ten):
     assert all((scores[k] >= 0.5) == bool(texts[k][1]) for k in range(400, 600))
 
 
+def test_copies_of_a_toxic_text_leave_the_terms_of_others(spark):
+    """One toxic text of 1000 own words, labelled 200 times, among comments that are toxic by other words."""
+    draw = random.Random(4)
+    own = " ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(1000))
+    texts = [(own, 1)] * 200 + _comments(draw, 600, 1)
+    scores = _labelled(spark, texts, 600)
+    assert scores[0] >= 0.5 and all((scores[k] >= 0.5) == bool(texts[k][1]) for k in range(600, 800))
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
 def test_language_held_out(spark):
     sf = "/root/testdata/sf0.01"
