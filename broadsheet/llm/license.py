@@ -62,6 +62,8 @@ SENTENCES = [
     ("named-license", r"(?:.{0,60} )?licensed under (?:the )?(?P<arg>.{2,60})"),
 ]
 TRIGGERS = ("licen", "copyright", "reserved", "permission", "liable", "redistribution", "gnu", "warrant", "domain", "proprietary", "unauthorized")
+#: Creative Commons is named without any of them.
+_COMMONS = re.compile(r"creative[\W_]+commons|under[\W_]+(?:(?:the|a)[\W_]+)?cc", re.IGNORECASE)
 
 # Licence rules, ordered sequences of sentence identifiers; `{arg}` and `{version}` come from the first sentence that has them.
 RULES = [
@@ -107,7 +109,7 @@ def _patterns() -> list[tuple[str, re.Pattern]]:
 
 def _telling(text: str) -> bool:
     low = text.lower()
-    return any(t in low for t in TRIGGERS)
+    return any(t in low for t in TRIGGERS) or _COMMONS.search(text) is not None
 
 
 def normalise(sentence: str) -> str:
@@ -126,8 +128,8 @@ def _known(sentence: str) -> tuple[str, str | None, str | None] | None:
 
 def identify(sentence: str) -> tuple[str, str | None, str | None] | None:
     """Identifier, argument and version of a known licence sentence."""
-    if len(sentence) > 2000:  # no known sentence is that long
-        return None
+    if len(sentence) > 2000:  # matched like the others, but not worth a place in memory
+        return _known.__wrapped__(sentence)
     if _known.cache_info().currsize > 100_000:
         _known.cache_clear()
     return _known(sentence)

@@ -179,6 +179,19 @@ def test_license_names(text, want):
     assert [m["licence"] for m in license.scan(text) if m["licence"]] == want
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Released under CC BY 4.0.", "CC-BY-4.0"),
+        ("Available under Creative Commons Attribution 4.0", "CC-4.0"),
+        ("Available under the\tCC BY-SA 4.0", "CC-BY-SA-4.0"),
+        ("word " * 1000 + "is released into the public domain " + "word " * 1000, "Public-Domain"),
+    ],
+)
+def test_license_without_trigger_words_or_in_a_long_run(text, want):
+    assert [m["licence"] for m in license.scan(text)] == [want]
+
+
 def test_license_sequence_takes_the_longest_rule_and_bridges_gaps():
     header = "Copyright (c) 2020 X\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list.\n * hi\n2. Redistributions in binary form must reproduce the above copyright notice.\n"
     assert [m["licence"] for m in license.scan(header)] == [None, "BSD-2-Clause"]
