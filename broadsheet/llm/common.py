@@ -53,3 +53,25 @@ def map_rows(df: DataFrame, work: Callable[[list[dict]], Iterable[dict]], schema
                 yield pa.RecordBatch.from_pylist(out, schema=target)
 
     return map_batches(df, run, schema)
+
+
+class Kept:
+    """A cache of at most two generations of `size` entries; what is used moves on to the newer one."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def get(self, key):
+        found = self.new.get(key)
+        if found is None and key in self.old:
+            found = self.old[key]
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.size:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+    def __contains__(self, key) -> bool:
+        return key in self.new or key in self.old

@@ -5,7 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from broadsheet.llm import (
-    bpe, chat, chosenpath, decontamination, language, license, linededup, oracles, quality, recompression, toxicity,
+    bpe, chat, chosenpath, decontamination, language, license, linededup, oracles, quality, recompression,
+    tokenfiles, toxicity,
 )
 from broadsheet.llm.common import table
 
@@ -93,3 +94,9 @@ def op5_license(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenfiles.write_tokens(table(spark, sf_dir, "documents"), vocabulary())
+    return tokenfiles.id_checksums(tokenfiles.read_tokens(spark, path))
