@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from broadsheet.llm import (
-    bpe, chat, chosenpath, decontamination, language, license, linededup, oracles, quality, recompression,
+    bpe, chat, chosenpath, crosstoken, decontamination, language, license, linededup, oracles, quality, recompression,
     tokenfiles, toxicity, variants,
 )
 from broadsheet.llm.common import table
@@ -106,3 +106,8 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(variants.count_words(table(spark, sf_dir, "documents")))
+
+
+@query
+def op11_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstoken.link_scores(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
