@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from broadsheet.llm.common import Kept, map_batches
+from broadsheet.llm.common import map_batches
 from broadsheet.session import shared_dir
 
 OWN = ["part", "first", "n_tokens", "ids", "start"]
@@ -79,6 +79,10 @@ class Encoder:
 
     #: Python's white space that the library's is not, and the reverse.
     ODD = "\x1c\x1d\x1e\x1f\u180e"
+    #: Runs kept; beyond that only those of the last texts are.
+    KEPT = 600_000
+    #: Punctuation that is cut from a word's end, so that the word is looked for by itself.
+    TAIL = ",.;:!?"
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
@@ -90,7 +94,10 @@ class Encoder:
         steps = (data.get("pre_tokenizer") or {}).get("pretokenizers", [])
         self.drops_space = any(s.get("type") == "Split" and s.get("behavior") == "Removed" and s.get("invert") for s in steps)
         self.whole = [t["content"] for t in data["added_tokens"]] + list(self.ODD)
-        self.words = Kept(400_000)
+        suffix = data["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        self.ends[[i for token, i in data["model"]["vocab"].items() if suffix and token.endswith(suffix)]] = True
+        self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -98,20 +105,44 @@ class Encoder:
         for text in texts:
             whole = text and (not self.drops_space or any(s in text for s in self.whole))
             split.append(None if whole else text.split() if text else [])
-        have = dict.fromkeys({c for chunks in split if chunks for c in chunks})
-        for chunk in have:
-            have[chunk] = self.words.get(chunk)
-        new = [c for c, ids in have.items() if ids is None]
-        for chunk, ids in zip(new, self._library(new)):
-            have[chunk] = ids
-            if len(chunk) <= 64:
-                self.words.put(chunk, ids)
-        return [
-            self._library([text])[0] if chunks is None else b"".join(map(have.__getitem__, chunks))
+        runs = set().union(*filter(None, split))
+        self.learn(runs.difference(self.known))
+        known = self.known
+        out = [
+            self._each([text])[0] if chunks is None else b"".join(map(known.__getitem__, chunks))
             for text, chunks in zip(texts, split)
         ]
-
-    def _library(self, texts: list[str]) -> list[bytes]:
+        if len(known) > self.KEPT:
+            self.known = {run: known[run] for run in runs}
+        return out
+
+    def learn(self, runs: set[str]) -> None:
+        """Find the ids of runs without white space."""
+        known, parts = self.known, {}
+        for run in runs:
+            word = run.rstrip(self.TAIL)
+            if word.isalpha() and word != run:
+                parts[run] = word, run[len(word) :]
+        wanted = {p for pair in parts.values() for p in pair if p not in known}.union(r for r in runs if r not in parts)
+        words = [w for w in wanted if w.isalpha()] if self.ends.any() else []
+        for at in range(0, len(words), 1000):
+            some = words[at : at + 1000]
+            known.update(zip(some, self._words(some)))
+        rest = [w for w in wanted if w not in known]
+        known.update(zip(rest, self._each(rest)))
+        for run, (word, tail) in parts.items():
+            known[run] = known[word] + known[tail]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words, read off one text by the marks of their ends: a word has one at least, so as many marks as words means one each."""
+        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+        if len(ends) != len(words):
+            return self._each(words)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _each(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
 

@@ -796,6 +796,57 @@ def _(t):
     ).drop(*feeds.LANDING_ORDER)
 
 
+def _broken_feeds(t) -> DataFrame:
+    """Each document as a feed that is no well-formed XML, in one of four ways, or whose items have no link element."""
+    doc = t.sql(v.BATCH, spread=True)
+    n = F.col("doc_id")
+    title, url, source = (text.html_escape(c) for c in ("title", "url", "source"))
+    day = F.date_format(F.to_timestamp("published_at", "yyyy-MM-dd HH:mm"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+    def rss(*items):
+        return F.concat(F.lit("<rss><channel><image><title>logo</title></image><title>"), source, F.lit("</title>"), *[F.lit(i) if isinstance(i, str) else i for i in items])
+
+    entities = rss("<item><title>&eacute;&nbsp;", title, "&euro; &#x2013; &unknown;</title><link>", F.col("url"), "?a=1&b=2</link><pubDate>", day, "</pubDate></item></channel></rss>")
+    cut = rss("<item><title>", title, "</title><link>", url, "</link><pubDate>", day, "</pubDate></item><item><title>cut</title><link>", url, "/cut</link><description>in the mid")
+    guids = rss("<item><title>g</title><guid>", url, '</guid></item><item><title>h</title><guid isPermaLink="true">', url, '/h</guid></item><item><title>i</title><guid isPermaLink="false">', url, "/i</guid></item></channel></rss>")
+    mixed = rss("<item><title><![CDATA[x </item> & ", F.col("title"), "]]></title><link>", url, "</link><description>a <b>b<br> c</description><dc:creator>desk</dc:creator><!-- <link>no</link> --></item></channel>")
+    atom = F.concat(
+        F.lit("<feed><title>"), source, F.lit("</title><entry><link rel=self href=https://self.example.com/ ><link rel='alternate' title=\"a > b\" href="), url,
+        F.lit("><title>"), title, F.lit("</title><author><name>desk</name></author><updated>"), day, F.lit("</updated><content type=html>&lt;p&gt;in full</content></entry>"),
+    )
+    body = F.when(n % 5 == 0, entities).when(n % 5 == 1, cut).when(n % 5 == 2, guids).when(n % 5 == 3, mixed).otherwise(atom)
+    return doc.select(F.col("url").alias("feed_url"), n.cast("int").alias("feed_ord"), F.lit(200).alias("status_code"), body.alias("body"))
+
+
+_STRIPPED = r"regexp_replace(title, '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g')"
+_BROKEN = rf"""SELECT * FROM (
+SELECT doc_id, 0 AS pos, published_at AS day, source,
+  CASE doc_id % 5 WHEN 0 THEN concat(url, '?a=1&b=2') ELSE url END AS url,
+  CASE doc_id % 5 WHEN 0 THEN concat('é', chr(160), title, '€ – &unknown;') WHEN 2 THEN 'g' WHEN 3 THEN concat('x </item> & ', regexp_replace(title, '[\s\x{{A0}}]+$', '')) ELSE nullif({_STRIPPED}, '') END AS title,
+  CASE doc_id % 5 WHEN 3 THEN 'a <b>b<br> c' END AS description, CASE doc_id % 5 WHEN 4 THEN '<p>in full' END AS summary,
+  CASE WHEN doc_id % 5 > 2 THEN 'desk' END AS author, doc_id % 5 IN (0, 1, 4) AS dated
+FROM ({v.BATCH}) b
+UNION ALL SELECT doc_id, 1, published_at, source, concat(url, '/cut'), 'cut', NULL, NULL, NULL, FALSE FROM ({v.BATCH}) b WHERE doc_id % 5 = 1
+UNION ALL SELECT doc_id, 1, published_at, source, concat(url, '/h'), 'h', NULL, NULL, NULL, FALSE FROM ({v.BATCH}) b WHERE doc_id % 5 = 2
+UNION ALL SELECT doc_id, 2, published_at, source, NULL, 'i', NULL, NULL, NULL, FALSE FROM ({v.BATCH}) b WHERE doc_id % 5 = 2) x"""
+
+
+@query("read_broken_feeds", f"SELECT doc_id AS feed_ord, pos, source, url, title, description, summary, author FROM ({_BROKEN}) f")
+def _(t):
+    return feeds.read_feed_landing(_broken_feeds(t)).select(
+        F.col("feed_ord").cast("bigint").alias("feed_ord"), "pos", "source", "url", "title", "description", "summary", "author"
+    )
+
+
+@query("broken_feed_articles", f"""
+SELECT url, CASE WHEN dated THEN day ELSE '2024-01-20 12:00' END AS published_at, coalesce(title, 'No title') AS title,
+  coalesce(description, summary, 'No description available.') AS description, source, 'politics' AS category, coalesce(author, 'RSS Feed') AS author
+FROM (SELECT *, row_number() OVER (PARTITION BY lower(url) ORDER BY doc_id, pos) AS nth FROM ({_BROKEN}) g WHERE url IS NOT NULL AND NOT contains(lower(url), '/ab')) f
+WHERE nth = 1""")
+def _(t):
+    return feeds.feed_articles(feeds.read_feed_landing(_broken_feeds(t)), RUN_AT, "/AB,").drop(*feeds.SIGHTING_ORDER)
+
+
 # --- pages and notes -----------------------------------------------------------------------
 
 _TITLE_SQL = (

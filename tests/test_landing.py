@@ -125,3 +125,51 @@ def test_api_wins_over_feed(spark, rows):
     empty = spark.createDataFrame([], ARTICLE)
     fresh = new_articles(empty, batch, spark.createDataFrame([], EXCLUSION), feeds.LANDING_ORDER)
     assert rows(fresh, "url", "title") == [("https://f.org/1", "From API"), ("https://f.org/2", "No title")]
+
+
+BROKEN = [
+    # Entities XML does not know, a bare ampersand, markup in a text, a title that is not the feed's.
+    "<rss><channel><image><title>logo</title></image><title>F&nbsp;x</title><item><title>A &eacute; &#8217;&unknown;</title>"
+    "<link>http://a/1?x=1&y=2</link><description>one <b>two<br> three</description></item><item><title>Z</title><guid>http://a/g</guid></item></channel></rss>",
+    # Cut off in the middle: what is closed counts.
+    "<rss><channel><title>cut</title><item><title>A</title><link>http://a/2</link></item><item><title>open</title><link>http://a/3</link><description>half",
+    # An item that is never closed ends where the next begins.
+    "<rss><channel><title>open</title><item><title>A</title><item><title>B</title><link>http://a/4</link></item></channel>",
+    # Tags as character data, in comments and in quotes.
+    "<feed><title>at</title><entry><title>x<![CDATA[ <entry> & ]]></title><!-- <link href='http://a/no'/> --><link rel=self href=http://a/s />"
+    "<link rel='alternate' title=\"a > b\" href='http://a/5?a=1&amp;b=2'><author><name>N</name></author><content type=\"a>b\">con</content></entry></feed",
+    "<rss><channel><title>never <![CDATA[ closed <item><title>A</title></item>",
+    "no feed", "", None,
+]
+
+
+def test_broken_feeds_are_salvaged(spark, rows):
+    got = feeds.read_feed_landing(landed_feeds(spark, *[(200, b) for b in BROKEN]))
+    assert rows(got, "feed_ord", "pos", "source", "title", "url", "description", "author") == [
+        (0, 0, "F\xa0x", "A é ’&unknown;", "http://a/1?x=1&y=2", "one <b>two<br> three", None),
+        (0, 1, "F\xa0x", "Z", "http://a/g", None, None),
+        (1, 0, "cut", "A", "http://a/2", None, None),
+        (1, 1, "cut", "open", "http://a/3", None, None),
+        (2, 0, "open", "A", None, None, None),
+        (2, 1, "open", "B", "http://a/4", None, None),
+        (3, 0, "at", "x <entry> &", "http://a/5?a=1&b=2", None, "N"),
+    ]
+
+
+def test_permanent_guids_are_links(spark, rows):
+    item_ = "<item><title>{}</title>{}</item>"
+    items = [
+        item_.format("a", "<guid>http://g/1</guid>"), item_.format("b", '<guid isPermaLink="true">http://g/2</guid>'),
+        item_.format("c", '<guid isPermaLink="false">http://g/3</guid>'), item_.format("d", "<guid>http://g/4</guid><link>http://l/4</link>"),
+    ]
+    for end in ("</channel></rss>", "&nbsp;</channel>"):
+        body = "<rss><channel><title>t</title>" + "".join(items) + end
+        got = feeds.read_feed_landing(landed_feeds(spark, (200, body)))
+        assert rows(got, "title", "url") == [("a", "http://g/1"), ("b", "http://g/2"), ("c", None), ("d", "http://l/4")]
+
+
+def test_a_very_long_broken_feed(spark):
+    item_ = "<item><title>t</title><link>http://a/{}</link><description>" + "<p>x &nbsp;" * 400 + "</description></item>"
+    body = "<rss><channel>" + "".join(item_.format(k) for k in range(300))
+    got = feeds.read_feed_landing(landed_feeds(spark, (200, body)))
+    assert got.select("url").distinct().count() == 300
