@@ -22,6 +22,7 @@ a column of the files are refused. Empty tables give empty files.
 """
 
 import json
+import re
 import uuid
 import zlib
 from array import array
@@ -30,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -93,30 +95,47 @@ class Encoder:
         data = json.loads(spec)
         steps = (data.get("pre_tokenizer") or {}).get("pretokenizers", [])
         self.drops_space = any(s.get("type") == "Split" and s.get("behavior") == "Removed" and s.get("invert") for s in steps)
-        self.whole = [t["content"] for t in data["added_tokens"]] + list(self.ODD)
+        self.whole = "|".join([re.escape(t["content"]) for t in data["added_tokens"]] + list(self.ODD))
         suffix = data["model"].get("end_of_word_suffix")
         self.ends = np.zeros(self.library.get_vocab_size(), bool)
         self.ends[[i for token, i in data["model"]["vocab"].items() if suffix and token.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split: list[list[str] | None] = []
-        for text in texts:
-            whole = text and (not self.drops_space or any(s in text for s in self.whole))
-            split.append(None if whole else text.split() if text else [])
-        runs = set().union(*filter(None, split))
-        self.learn(runs.difference(self.known))
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and how many each has; null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        if not self.drops_space:
+            found = self._each(texts.to_pylist())
+            return np.frombuffer(b"".join(found), "<u4"), np.array([len(f) // 4 for f in found], "i8")
+        whole = pc.match_substring_regex(texts, self.whole)
+        alone = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        runs = pc.utf8_split_whitespace(pc.if_else(whole, "", texts) if len(alone) else texts)
+        coded = runs.flatten().dictionary_encode()
+        listed = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         known = self.known
-        out = [
-            self._each([text])[0] if chunks is None else b"".join(map(known.__getitem__, chunks))
-            for text, chunks in zip(texts, split)
-        ]
+        self.learn([run for run in listed if run not in known])
+        ids = list(map(known.__getitem__, listed))
         if len(known) > self.KEPT:
-            self.known = {run: known[run] for run in runs}
-        return out
-
-    def learn(self, runs: set[str]) -> None:
+            self.known = dict(zip(listed, ids))
+        # Each run's ids are copied from where the distinct run has them.
+        sizes = np.array(list(map(len, ids)), "i8") // 4
+        starts, values = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids), "<u4")
+        at = coded.indices.to_numpy()
+        take = sizes[at]
+        ends = np.cumsum(take)
+        out = values[np.repeat(starts[at] - ends + take, take) + np.arange(ends[-1] if len(ends) else 0)]
+        offsets = runs.offsets.to_numpy() - runs.offsets[0].as_py()
+        counts = np.diff(np.concatenate([[0], ends])[offsets])
+        if len(alone):
+            found = self._each(texts.take(pa.array(alone)).to_pylist())
+            pieces = np.split(out, np.cumsum(counts)[:-1])
+            for k, raw in zip(alone.tolist(), found):
+                pieces[k] = np.frombuffer(raw, "<u4")
+                counts[k] = len(pieces[k])
+            out = np.concatenate(pieces)
+        return out, counts
+
+    def learn(self, runs: list[str]) -> None:
         """Find the ids of runs without white space."""
         known, parts = self.known, {}
         for run in runs:
@@ -156,6 +175,21 @@ def _encoder(key: int, spec: str) -> Encoder:
     return _encoders[key]
 
 
+#: Rows and bytes of text encoded at once.
+ROWS, BYTES = 2048, 4 << 20
+
+
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ROWS rows, and of about BYTES in a text column (one row at least)."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy())
+    at = 0
+    while at < batch.num_rows:
+        done = ends[at - 1] if at else 0
+        to = min(max(int(np.searchsorted(ends, done + BYTES, "right")), at + 1), at + ROWS)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def write_tokens(
     docs: DataFrame, vocabulary: str, path: str | None = None, end_id: int = 1,
     keep: tuple[str, ...] = (), layout: Layout = Layout(),
@@ -172,15 +206,15 @@ def write_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, first = _encoder(key, spec.value), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
-                ids = [i + end_id.to_bytes(4, "little") for i in encoder.encode(rows.column(1).to_pylist())]
-                sizes = np.array([len(i) // 4 for i in ids], "i8")
+            for rows in slices(batch, 1):
+                ids, sizes = encoder.encode(rows.column(1))
+                sizes = sizes + 1
                 ends = np.cumsum(sizes)
-                values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), values)
+                values = np.full(int(ends[-1]), end_id, "<u4")
+                values[np.delete(np.arange(len(values)), ends - 1)] = ids
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values.view("<i4")))
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array([part] * len(ids), pa.int32()), pa.array(first + ends - sizes), pa.array(sizes), lists, *rows.columns[2:]],
+                    [rows.column(0), pa.array(np.full(len(sizes), part), pa.int32()), pa.array(first + ends - sizes), pa.array(sizes), lists, *rows.columns[2:]],
                     ["doc_id", "part", "first", "n_tokens", "ids", *keep],
                 )
                 first += int(ends[-1])
