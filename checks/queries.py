@@ -894,6 +894,32 @@ def _(t):
     return found.select("page_id", "description", F.left("published_at", F.lit(10)).alias("day"))
 
 
+# Pages whose metadata stand in attributes with brackets and quotes, in linked data, or where a page's own do not.
+_MARKED = """SELECT page_id, concat(CASE page_id % 5
+  WHEN 0 THEN concat('<meta property="og:title" content="Page ', cast(page_id AS string), ' > all &amp; more"><meta content="by property=''og:title''" name="description">',
+    '<meta property=article:published_time content=2024-03-0', cast(1 + page_id % 9 AS string), 'T10:00>')
+  WHEN 1 THEN concat('<script type="application/ld+json">{"@context": "https://schema.org", "@graph": [{"@type": "Organization", "name": "Press"}, ',
+    '{"@type": ["NewsArticle", "Thing"], "headline": "Story &quot;', cast(page_id AS string), '&quot;", "description": "told > twice", "datePublished": "2024-04-0', cast(1 + page_id % 9 AS string), '"}]}</script>')
+  WHEN 2 THEN concat('<script>{"@type": "NewsArticle", "headline": "no"}</script><SCRIPT data-x="a>b" TYPE=''application/ld+json''>',
+    '[{"@type": "WebPage", "name": "page"}, {"@type": "WebPage", "mainEntity": {"@type": "http://schema.org/Article", "headline": "Inner ', cast(page_id AS string), '", "dateCreated": "2024-05-01T00:00:00Z"}}]</SCRIPT>')
+  WHEN 3 THEN concat('<script type="application/ld+json">{"headline": "cut off</script><!-- <meta property="og:title" content="no"> -->',
+    '<script>var m = ''<meta property="og:title" content="no">'';</script><svg><title>icon</title></svg><time datetime="soon"><time class="x > y" datetime="2024-06-0', cast(1 + page_id % 9 AS string), '">')
+  ELSE concat('<meta name="twitter:title" content=''Second "best" ', cast(page_id AS string), '''><meta name=date content=soon><meta itemprop=datePublished content="2024-07-01">',
+    '<script type="application/ld+json">{"@type": "BreadcrumbList", "name": "crumbs"}</script>') END, html) AS html
+FROM {pages}"""
+
+
+@query("extract_marked_pages", f"""
+SELECT page_id, CASE page_id % 5 WHEN 0 THEN concat('Page ', cast(page_id AS string), ' > all & more') WHEN 1 THEN concat('Story "', cast(page_id AS string), '"')
+    WHEN 2 THEN concat('Inner ', cast(page_id AS string)) WHEN 3 THEN {_TITLE_SQL} ELSE concat('Second "best" ', cast(page_id AS string)) END AS title,
+  CASE page_id % 5 WHEN 0 THEN 'by property=''og:title''' WHEN 1 THEN 'told > twice' END AS description,
+  CASE page_id % 5 WHEN 0 THEN concat('2024-03-0', 1 + page_id % 9) WHEN 1 THEN concat('2024-04-0', 1 + page_id % 9) WHEN 2 THEN '2024-05-01'
+    WHEN 3 THEN concat('2024-06-0', 1 + page_id % 9) ELSE '2024-07-01' END AS published_at
+FROM {{pages}}""")
+def _(t):
+    return pages.extract_page_metadata(t.sql(_MARKED)).select("page_id", "title", "description", "published_at")
+
+
 @query("classify_ingest", f"""
 SELECT page_id, url, status, CASE WHEN status = 'missing_fields' THEN 'description, published_at'
   WHEN status = 'inserted' THEN (SELECT {_TITLE_SQL} FROM {{pages}} q WHERE q.page_id = i.page_id) END AS detail

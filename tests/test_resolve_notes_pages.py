@@ -182,3 +182,43 @@ def test_entities_in_titles(spark):
 
     assert title("It&#8217;s &#x1F600; &mdash; &amp;#39; A&B &#0; &#xD800; &#39;x&#39;") == "It’s \U0001f600 — &#39; A&B &#0; &#xD800; 'x'"
     assert title("plain & simple") == "plain & simple"
+
+
+LD = '<script type="application/ld+json">{}</script>'
+
+
+def metadata(spark, *htmls):
+    frame = spark.createDataFrame(list(enumerate(htmls)), "page_id int, html string")
+    got = pages.extract_page_metadata(frame).collect()
+    return [(r["title"], r["description"], r["published_at"]) for r in sorted(got, key=lambda r: r["page_id"])]
+
+
+def test_attributes_are_read_with_their_quotes(spark):
+    assert metadata(
+        spark,
+        "<meta property='og:title' content=\"a > b &amp; 'c'\"><meta content=\"x property='og:title'\" name=description><meta property=article:published_time content=2024-02-03T10:00>",
+        "<script>var s='<meta property=\"og:title\" content=\"no\">'</script><!-- <title>no</title> --><svg><title>icon</title></svg><title>real &eacute;</title>"
+        "<meta name='date' content='soon'><meta name='dc.date' content='2019-09-09'>",
+        "<title lang='a>b'>own <b class='>'>x</b></title><time datetime='bad'></time><time datetime=2021-01-02>",
+        "<meta property='og:title' content='never closed><title>t</title>", "", None,
+    ) == [
+        ("a > b & 'c'", "x property='og:title'", "2024-02-03"), ("real é", None, "2019-09-09"), ("own x", None, "2021-01-02"),
+        ("t", None, None), (None, None, None), (None, None, None),
+    ]
+
+
+def test_linked_data(spark):
+    graph = '{"@graph": [{"@type": "Organization", "name": "Org"}, {"@type": ["NewsArticle", "X"], "headline": "From &amp; graph", "description": "d", "datePublished": "2024-05-06T01:02:03Z"}]}'
+    nested = '[{"@type": "WebPage", "name": "page"}, {"@type": "WebPage", "mainEntity": {"@type": "Article", "headline": "inner", "dateCreated": "2020-01-01"}}]'
+    assert metadata(
+        spark, LD.format(graph) + "<title>t</title>", LD.format(nested), LD.format("no json") + LD.format('{"@type": "http://schema.org/WebPage", "name": "w"}'),
+        LD.format('{"@type": "BreadcrumbList", "name": "crumbs"}') + "<title>t</title>", LD.format('[1, "x", null, {"@graph": {"headline": "h"}}]'),
+        '<meta property="og:title" content="tag">' + LD.format(graph),
+    ) == [
+        ("From & graph", "d", "2024-05-06"), ("inner", None, "2020-01-01"), ("w", None, None), ("t", None, None), ("h", None, None), ("tag", "d", "2024-05-06"),
+    ]
+
+
+def test_a_very_long_page(spark):
+    body = "<p class='a > b'>x</p><script>if (a < b) { c = '</p>'; }</script>" * 5_000
+    assert metadata(spark, f"<title>t</title>{body}<meta name=description content='last'>") == [("t", "last", None)]
