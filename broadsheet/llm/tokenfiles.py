@@ -81,10 +81,11 @@ class Encoder:
 
     #: Python's white space that the library's is not, and the reverse.
     ODD = "\x1c\x1d\x1e\x1f\u180e"
-    #: Runs kept; beyond that only those of the last texts are.
-    KEPT = 600_000
+    #: Words kept; beyond that only those of the last texts are.
+    KEPT = 800_000
     #: Punctuation that is cut from a word's end, so that the word is looked for by itself.
     TAIL = ",.;:!?"
+    LETTERS = r"^[A-Za-z\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]+$"
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
@@ -96,6 +97,8 @@ class Encoder:
         steps = (data.get("pre_tokenizer") or {}).get("pretokenizers", [])
         self.drops_space = any(s.get("type") == "Split" and s.get("behavior") == "Removed" and s.get("invert") for s in steps)
         self.whole = "|".join([re.escape(t["content"]) for t in data["added_tokens"]] + list(self.ODD))
+        #: Whether letters A-Z count as those in lower case; others follow rules of their own.
+        self.lowers = "Lowercase" in [n.get("type") for n in (data.get("normalizer") or {}).get("normalizers", [])]
         suffix = data["model"].get("end_of_word_suffix")
         self.ends = np.zeros(self.library.get_vocab_size(), bool)
         self.ends[[i for token, i in data["model"]["vocab"].items() if suffix and token.endswith(suffix)]] = True
@@ -111,19 +114,13 @@ class Encoder:
         alone = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
         runs = pc.utf8_split_whitespace(pc.if_else(whole, "", texts) if len(alone) else texts)
         coded = runs.flatten().dictionary_encode()
-        listed = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        known = self.known
-        self.learn([run for run in listed if run not in known])
-        ids = list(map(known.__getitem__, listed))
-        if len(known) > self.KEPT:
-            self.known = dict(zip(listed, ids))
-        # Each run's ids are copied from where the distinct run has them.
-        sizes = np.array(list(map(len, ids)), "i8") // 4
-        starts, values = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids), "<u4")
-        at = coded.indices.to_numpy()
+        values, starts, sizes, parts = self.found(coded.dictionary)
+        # The ids of each run are copied from where its two parts have them.
+        at = parts[coded.indices.to_numpy()].ravel()
         take = sizes[at]
         ends = np.cumsum(take)
         out = values[np.repeat(starts[at] - ends + take, take) + np.arange(ends[-1] if len(ends) else 0)]
+        ends = ends[1::2]
         offsets = runs.offsets.to_numpy() - runs.offsets[0].as_py()
         counts = np.diff(np.concatenate([[0], ends])[offsets])
         if len(alone):
@@ -135,22 +132,35 @@ class Encoder:
             out = np.concatenate(pieces)
         return out, counts
 
-    def learn(self, runs: list[str]) -> None:
-        """Find the ids of runs without white space."""
-        known, parts = self.known, {}
-        for run in runs:
-            word = run.rstrip(self.TAIL)
-            if word.isalpha() and word != run:
-                parts[run] = word, run[len(word) :]
-        wanted = {p for pair in parts.values() for p in pair if p not in known}.union(r for r in runs if r not in parts)
-        words = [w for w in wanted if w.isalpha()] if self.ends.any() else []
+    def found(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct parts of runs without white space, where each part's begin, how many they are, and both parts of each run.
+
+        A word of letters and the punctuation after it are looked for by themselves.
+        """
+        if self.lowers:
+            runs = pc.if_else(pc.string_is_ascii(runs), pc.ascii_lower(runs), runs)
+        words = pc.utf8_rtrim(runs, self.TAIL)
+        cut = pc.and_(pc.match_substring_regex(words, self.LETTERS), pc.less(pc.binary_length(words), pc.binary_length(runs)))
+        heads = pc.if_else(cut, words, runs).dictionary_encode()
+        tails = pc.if_else(cut, pc.replace_substring_regex(runs, f"^.*[^{self.TAIL}]", ""), "").dictionary_encode()
+        listed = [p for part in (heads, tails) for p in part.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        known = self.known
+        self.learn({p for p in listed if p not in known})
+        ids = list(map(known.__getitem__, listed))
+        if len(known) > self.KEPT:
+            self.known = dict(zip(listed, ids))
+        sizes = np.array(list(map(len, ids)), "i8") // 4
+        both = np.stack([heads.indices.to_numpy(), tails.indices.to_numpy() + len(heads.dictionary)], 1)
+        return np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes, sizes, both
+
+    def learn(self, parts: set[str]) -> None:
+        known = self.known
+        words = [p for p in parts if p.isalpha()] if self.ends.any() else []
         for at in range(0, len(words), 1000):
             some = words[at : at + 1000]
             known.update(zip(some, self._words(some)))
-        rest = [w for w in wanted if w not in known]
+        rest = [p for p in parts if p not in known]
         known.update(zip(rest, self._each(rest)))
-        for run, (word, tail) in parts.items():
-            known[run] = known[word] + known[tail]
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of words, read off one text by the marks of their ends: a word has one at least, so as many marks as words means one each."""
@@ -176,7 +186,7 @@ def _encoder(key: int, spec: str) -> Encoder:
 
 
 #: Rows and bytes of text encoded at once.
-ROWS, BYTES = 2048, 4 << 20
+ROWS, BYTES = 4096, 8 << 20
 
 
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
