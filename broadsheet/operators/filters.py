@@ -98,19 +98,19 @@ def apply_feed_defaults(df: DataFrame) -> DataFrame:
     )
 
 
-def _expired(run_at: datetime, hours: float):
+def is_expired(run_at: datetime, hours: float):
     old = (F.col("published_at") < cutoff_text(run_at, hours)) & (F.col("manual_review") == False)  # noqa: E712
     return F.coalesce(old, F.lit(False))
 
 
 def apply_retention(articles: DataFrame, run_at: datetime, hours: float) -> DataFrame:
     """Keep recent, pinned and undated rows; text comparison as stored."""
-    return articles.filter(~_expired(run_at, hours))
+    return articles.filter(~is_expired(run_at, hours))
 
 
 def expired(articles: DataFrame, run_at: datetime, hours: float) -> DataFrame:
     """The rows apply_retention drops."""
-    return articles.filter(_expired(run_at, hours))
+    return articles.filter(is_expired(run_at, hours))
 
 
 def recent(articles: DataFrame, run_at: datetime, hours: float) -> DataFrame:

@@ -47,15 +47,19 @@ def absent_from(batch: DataFrame, store: DataFrame) -> DataFrame:
     return batch.join(present, "url", "left_anti").select(*batch.columns)
 
 
+def first_sightings(batch: DataFrame, exclusions: DataFrame, order: list) -> DataFrame:
+    """The first row of each url of a batch, by store key, where that is not excluded."""
+    keyed = batch.withColumn("url", store_key("url")).filter("url is not null and url <> ''")
+    return not_excluded(dedup_first(keyed, "url", order), exclusions)
+
+
 def new_articles(store: DataFrame, batch: DataFrame, exclusions: DataFrame, order: list) -> DataFrame:
     """The rows an insert would add: first of each url, not excluded, not stored yet.
 
     The reduced batch is written once: it is parsed and deduplicated a single
     time, and its known size decides whether its urls are broadcast.
     """
-    keyed = batch.withColumn("url", store_key("url")).filter("url is not null and url <> ''")
-    first = dedup_first(keyed, "url", order)
-    return absent_from(materialise(not_excluded(first, exclusions), "batch"), store)
+    return absent_from(materialise(first_sightings(batch, exclusions, order), "batch"), store)
 
 
 def insert_absent(store: DataFrame, batch: DataFrame, exclusions: DataFrame, order: list) -> DataFrame:

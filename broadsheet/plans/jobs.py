@@ -8,14 +8,11 @@ from pyspark.sql import DataFrame, Observation, functions as F
 
 from broadsheet.functions.keys import store_key
 from broadsheet.functions.lexicon import DEFAULT_LEXICON, Lexicon
-from broadsheet.operators.filters import expired
 from broadsheet.operators.judge import (
     attach_scores, compare_judges, compare_summary, sentiment_gate,
 )
-from broadsheet.operators.merge import (
-    add_exclusions, drop_exclusions, insert_absent, mark_reviewed, merge_reviewed,
-    new_articles, remove_keys,
-)
+from broadsheet.operators.merge import add_exclusions, drop_exclusions, first_sightings
+from broadsheet.operators.metrics import Counts
 from broadsheet.operators.notes import matching_notes, note_candidates, note_funnel, resolve_notes
 from broadsheet.operators.pages import classify_ingest, ingest_summary, inserted_articles
 from broadsheet.operators.publish import (
@@ -23,13 +20,14 @@ from broadsheet.operators.publish import (
 )
 from broadsheet.operators.relevance import relevance_gate
 from broadsheet.operators.resolve import removal_set, resolve_values
-from broadsheet.plans.curation import rebuilt_filtered, refreshed_store
+from broadsheet.plans.curation import rebuilt_filtered
 from broadsheet.plans.listing import list_articles
 from broadsheet.session import materialise
 from broadsheet.sources.api import api_articles, api_rejects, read_api_landing
 from broadsheet.sources.feeds import LANDING_ORDER, feed_articles, land_all, read_feed_landing
 from broadsheet.sources.lists import subfolders, write_exclusions
-from broadsheet.sources.store import Archive, Store, archive_articles
+from broadsheet.sources.partitioned import PartitionedStore
+from broadsheet.sources.store import Archive, Store, archive_articles, run_name
 
 RAW, FILTERED = "articles", "filtered_articles"
 
@@ -46,6 +44,7 @@ class Settings:
     sentiment_enabled: bool = True
     max_score: float = 0.0
     limit: int = 30
+    categories: list[str] = field(default_factory=lambda: ["politics", "general"])  # those that are counted by name
     lexicon: Lexicon = field(default_factory=lambda: list(DEFAULT_LEXICON))
 
 
@@ -56,64 +55,82 @@ def land(responses: DataFrame, feeds: DataFrame, allowed: DataFrame, run_at: dat
     return land_all(api, rss)
 
 
+def _unscored(batch: DataFrame) -> DataFrame:
+    nothing = F.lit(None).cast("double")
+    return batch.withColumns({"relevance_score": nothing, "sentiment_score": nothing, "manual_review": F.lit(False)})
+
+
 def refresh(
-    raw: Store, responses: DataFrame, feeds: DataFrame, allowed: DataFrame, exclusions: DataFrame,
-    run_at: datetime, cfg: Settings | None = None,
+    raw: Store | PartitionedStore, responses: DataFrame, feeds: DataFrame, allowed: DataFrame, exclusions: DataFrame,
+    run_at: datetime, cfg: Settings | None = None, counts: Counts | None = None,
 ) -> dict:
     """Prune the raw store and insert what landed, with no gate; returns the counts."""
     cfg = cfg or Settings()
-    before = raw.read()
-    removed = expired(before, run_at, cfg.hours).count()
-    batch = land(responses, feeds, allowed, run_at, cfg)
-    raw.write(refreshed_store(before, batch, exclusions, LANDING_ORDER, run_at, cfg.hours))
-    return {"removed": removed, "stored": raw.read().count()}
+    counts = counts or Counts(cfg.categories)
+    batch = _unscored(land(responses, feeds, allowed, run_at, cfg))
+    raw.refresh(first_sightings(batch, exclusions, [F.col(c) for c in LANDING_ORDER]), run_at, cfg.hours, counts)
+    return _totals(counts)
+
+
+def _totals(counts: Counts) -> dict:
+    return {stage: sum(found.values()) for stage, found in counts.by_stage().items()}
 
 
 def curate(
-    raw: Store, filtered: Store, archive: Archive,
+    raw: Store | PartitionedStore, filtered: Store | PartitionedStore, archive: Archive,
     responses: DataFrame, feeds: DataFrame, allowed: DataFrame, exclusions: DataFrame,
     judge: Callable[[DataFrame], DataFrame] | None, run_at: datetime,
     cfg: Settings | None = None, run_id: str = "", site: str | None = None, rejects: str | None = None,
 ) -> dict:
-    """The scheduled run; returns its counts and the published frame.
+    """The scheduled run; returns its facts and the published frame.
 
     `site` is the folder the payload and the digests are published to,
     `rejects` that of the rows that could not become articles, by run.
 
     `judge` takes the relevant articles and gives (url, score). If it raises
     or leaves an article unscored, the filtered store and its archive stay as
-    they are; the raw store is written and archived all the same.
+    they are; the raw store is written and archived all the same. A run whose
+    snapshot exists already is refused before anything is written.
+
+    Facts are counted while rows are written: totals by stage, and by stage
+    and category under "by_category".
     """
     cfg = cfg or Settings()
-    facts = refresh(raw, responses, feeds, allowed, exclusions, run_at, cfg)
+    archive.refuse([RAW, FILTERED], run_at, run_id)
+    counts = Counts(cfg.categories)
+    facts = refresh(raw, responses, feeds, allowed, exclusions, run_at, cfg, counts)
     store = raw.read()
 
     if cfg.filter_enabled:
-        relevant = materialise(relevance_gate(store, cfg.min_score, cfg.lexicon), "relevant")
-        facts["relevant"] = relevant.count()
+        gated = counts.watch(relevance_gate(store, cfg.min_score, cfg.lexicon), {"relevant": F.lit(True)})
+        relevant = materialise(gated, "relevant")
         kept = None
-        if not cfg.sentiment_enabled or not facts["relevant"]:
+        if not cfg.sentiment_enabled or not _totals(counts)["relevant"]:
             kept = sentiment_gate(relevant, enabled=False)
+            facts["negative"] = _totals(counts)["relevant"]
         else:
             try:
-                judged = materialise(attach_scores(relevant, judge(relevant)), "judged")
-                if judged.filter("sentiment_score is null").isEmpty():
+                score, unscored = F.col("sentiment_score"), Counts([])
+                scored = unscored.watch(attach_scores(relevant, judge(relevant)), {"unscored": score.isNull()})
+                judged = materialise(counts.watch(scored, {"negative": F.coalesce(score <= cfg.max_score, F.lit(False))}), "judged")
+                if not _totals(unscored)["unscored"]:
                     kept = sentiment_gate(judged, cfg.max_score)
                 else:
                     facts["judge_error"] = "some articles have no score"
             except Exception as e:  # the judge is user code: its failure is an outcome
                 facts["judge_error"] = str(e)
         if kept is not None:
-            facts["negative"] = kept.count()
-            filtered.write(rebuilt_filtered(store, kept, exclusions))
+            rebuilt = counts.watch(rebuilt_filtered(store, kept, exclusions), {"filtered": F.lit(True), "pinned": F.col("manual_review")})
+            filtered.write(materialise(rebuilt, "filtered"))
             archive.snapshot(filtered.read(), FILTERED, run_at, run_id)
     archive.snapshot(store, RAW, run_at, run_id)
+    seen = counts.by_stage() if "judge_error" not in facts else {k: v for k, v in counts.by_stage().items() if k != "negative"}
+    facts = {stage: sum(found.values()) for stage, found in seen.items()} | facts | {"by_category": seen}
     facts["published"] = publish_payload(published_articles(filtered.read(), cfg.limit))
     if rejects:
         counted = Observation()
         bad = api_rejects(read_api_landing(responses)).observe(counted, F.count("*").alias("n"))
-        run = run_at.strftime("%Y-%m-%dT%H%M") + (f"-{run_id}" if run_id else "")
-        bad.write.mode("overwrite").parquet(f"{rejects.rstrip('/')}/run={run}")
+        bad.write.mode("overwrite").parquet(f"{rejects.rstrip('/')}/run={run_name(run_at, run_id)}")
         facts["rejected"] = counted.get["n"]
     if site:
         facts["site_written"] = publish(filtered, archive, site, cfg.limit)
@@ -171,12 +188,14 @@ def remove_articles(
     urls = removal_set(resolved)
     if urls.isEmpty():
         return exclusions, resolved
-    for store, name in ((raw, RAW), (filtered, FILTERED)):
-        store.write(remove_keys(store.read(), urls))
-        archive.snapshot(store.read(), name, run_at, run_id)
-    blocked = add_exclusions(exclusions, urls, run_at, reason)
+    archive.refuse([RAW, FILTERED], run_at, run_id)
+    # Blocked before removed: a job that dies in between leaves nothing the next run could land again.
+    blocked = materialise(add_exclusions(exclusions, urls, run_at, reason), "blocked")
     if exclusion_file:
         write_exclusions(blocked, exclusion_file)
+    for store, name in ((raw, RAW), (filtered, FILTERED)):
+        store.remove(urls)
+        archive.snapshot(store.read(), name, run_at, run_id)
     if site:
         publish(filtered, archive, site)
     return blocked, resolved
@@ -205,7 +224,7 @@ def import_notes(
 
 def _ingest(pages: DataFrame, store: Store, exclusions: DataFrame, order: str) -> DataFrame:
     outcomes = materialise(classify_ingest(pages, store.read(), exclusions, order), "ingest")
-    store.write(store.read().unionByName(inserted_articles(outcomes)))
+    store.insert(inserted_articles(outcomes))
     return outcomes
 
 
@@ -218,10 +237,11 @@ def merge_reviewed_staging(
     added: dict[str, int] = {}
     if reviewed.isEmpty():
         return added
+    archive.refuse([RAW, FILTERED], run_at, run_id)
+    order = [F.col("published_at").desc_nulls_last(), F.col("source").asc_nulls_last()]
     for store, name in ((raw, RAW), (filtered, FILTERED)):
-        before = store.read()
-        added[name] = new_articles(before, reviewed, exclusions, [F.col("url")]).count()
-        store.write(merge_reviewed(before, reviewed, exclusions))
+        added[name] = store.insert(first_sightings(reviewed, exclusions, order))
+        store.pin(reviewed)
         archive.snapshot(store.read(), name, run_at, run_id)
     if site:
         publish(filtered, archive, site)
@@ -242,8 +262,8 @@ def add_pages(
     urls = outcomes.filter("status in ('inserted', 'duplicate')").select(store_key("url").alias("url")).distinct()
     added = materialise(raw.read().join(urls, "url", "left_semi"), "added")
     if not added.isEmpty():
-        before = filtered.read()
-        filtered.write(mark_reviewed(insert_absent(before, added, allowed, [F.col("url")]), added))
+        filtered.insert(first_sightings(added, allowed, [F.col("url")]))
+        filtered.pin(added)
     if exclusion_file:
         write_exclusions(allowed, exclusion_file)
     return allowed, outcomes, ingest_summary(outcomes)
@@ -254,13 +274,4 @@ def append_batch(store: Store, batch: DataFrame, exclusions: DataFrame, order: l
 
     A batch delivered again finds its rows stored and adds nothing.
     """
-    rows = batch.select("*", F.lit(None).cast("double").alias("relevance_score"),
-                        F.lit(None).cast("double").alias("sentiment_score"),
-                        F.lit(False).alias("manual_review"))
-    added = materialise(
-        new_articles(store.read(), rows, exclusions, [F.col(c) for c in order]), "batch"
-    )
-    count = added.count()
-    if count:
-        store.append(added)
-    return count
+    return store.insert(first_sightings(_unscored(batch), exclusions, [F.col(c) for c in order]))

@@ -66,3 +66,9 @@ def subfolders(spark: SparkSession, path: str, prefix: str) -> list[str]:
         return []
     names = [s.getPath().getName() for s in fs.listStatus(hadoop) if s.isDirectory()]
     return sorted(n for n in names if n.startswith(prefix))
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder and what is in it; an absent one is no error."""
+    fs, hadoop = _locate(spark, path)
+    fs.delete(hadoop, True)

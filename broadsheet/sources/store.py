@@ -6,7 +6,11 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from broadsheet.functions.times import timestamp_of
+from broadsheet.operators.filters import apply_retention, is_expired
+from broadsheet.operators.merge import absent_from, mark_reviewed, remove_keys
+from broadsheet.operators.metrics import Counts
 from broadsheet.schemas import ARTICLE, ARTICLE_COLUMNS, as_articles
+from broadsheet.session import materialise
 from broadsheet.sources.lists import path_exists, subfolders
 
 
@@ -59,6 +63,30 @@ class Store:
         folder = self._folder(self.version())
         as_articles(articles).write.parquet(f"{folder}/add-{uuid.uuid4().hex}")
 
+    def insert(self, articles: DataFrame) -> int:
+        """Add the rows whose url is not stored, one per url, as a segment; returns their number."""
+        batch = materialise(as_articles(articles), "batch")
+        counted = Observation()
+        added = materialise(absent_from(batch, self.read()).observe(counted, F.count("*").alias("n")), "added")
+        if counted.get["n"]:
+            self.append(added)
+        return counted.get["n"]
+
+    def refresh(self, articles: DataFrame, run_at: datetime, hours: float, counts: Counts) -> None:
+        """Drop what is too old, then add the rows whose url is not stored, one per url, in one new version."""
+        before = self.read()
+        batch = materialise(as_articles(articles), "batch")
+        added = absent_from(batch, apply_retention(before, run_at, hours))
+        rows = before.withColumn("_old", is_expired(run_at, hours)).unionByName(added.withColumn("_old", F.lit(False)))
+        rows = counts.watch(rows, {"removed": F.col("_old"), "stored": ~F.col("_old")})
+        self.write(rows.filter(~F.col("_old")))
+
+    def remove(self, urls: DataFrame) -> None:
+        self.write(remove_keys(self.read(), urls))
+
+    def pin(self, urls: DataFrame) -> None:
+        self.write(mark_reviewed(self.read(), urls))
+
     def clear(self) -> int:
         """Empty the store; returns the number of rows it had."""
         removed = self.read().count()
@@ -66,6 +94,10 @@ class Store:
         return removed
 
 
+def run_name(run_at: datetime, run_id: str = "") -> str:
+    return run_at.strftime("%Y-%m-%dT%H%M") + (f"-{run_id}" if run_id else "")
+
+
 RUNS = "store string, snapshot_date date, run string, articles bigint"
 
 
@@ -82,6 +114,13 @@ class Archive:
             return self.spark.createDataFrame([], RUNS)
         return self.spark.read.schema(RUNS).parquet(self.ledger)
 
+    def refuse(self, stores: list[str], run_at: datetime, run_id: str = "") -> None:
+        """Raise if one of the stores has this run's snapshot already; jobs ask before their first write."""
+        run = run_name(run_at, run_id)
+        taken = self.runs().filter(F.col("store").isin(stores) & (F.col("run") == run))
+        if not taken.isEmpty():
+            raise ValueError(f"{' or '.join(stores)} already has snapshot {run}")
+
     def snapshot(self, articles: DataFrame, store: str, run_at: datetime, run_id: str = "") -> None:
         """Add the rows of a store as of run_at.
 
@@ -89,10 +128,8 @@ class Archive:
         run id differs. A run owns its folder and enters the ledger last, so a
         repeated attempt replaces its own rows only.
         """
-        run = run_at.strftime("%Y-%m-%dT%H%M") + (f"-{run_id}" if run_id else "")
-        same = self.runs().filter((F.col("store") == store) & (F.col("run") == run))
-        if not same.isEmpty():
-            raise ValueError(f"{store} already has snapshot {run}")
+        self.refuse([store], run_at, run_id)
+        run = run_name(run_at, run_id)
         folder = f"{self.rows}/store={store}/snapshot_date={run_at:%Y-%m-%d}/run={run}"
         counted = Observation()
         rows = stamped(articles, store, run_at).drop("store", "snapshot_date")
