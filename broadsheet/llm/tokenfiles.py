@@ -85,6 +85,7 @@ class Encoder:
     KEPT = 800_000
     #: Punctuation that is cut from a word's end, so that the word is looked for by itself.
     TAIL = ",.;:!?"
+    AZ = staticmethod(re.compile("[a-z]+").fullmatch)
     LETTERS = r"^[A-Za-z\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]+$"
 
     def __init__(self, spec: str):
@@ -103,6 +104,12 @@ class Encoder:
         self.ends = np.zeros(self.library.get_vocab_size(), bool)
         self.ends[[i for token, i in data["model"]["vocab"].items() if suffix and token.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
+        # Words of a-z alone pass the file's normaliser and splitter as they are, where these treat a sample so.
+        bare = data | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.bare = Tokenizer.from_str(json.dumps(bare)) if self.drops_space else self.library
+        sample = [w for w in (t.removesuffix(suffix or "") for t in data["model"]["vocab"]) if self.AZ(w)][::50]
+        if self._ids(self.bare, sample) != self._ids(self.library, sample):
+            self.bare = self.library
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has; null counts as empty."""
@@ -155,16 +162,22 @@ class Encoder:
 
     def learn(self, parts: set[str]) -> None:
         known = self.known
-        words = [p for p in parts if p.isalpha()] if self.ends.any() else []
-        for at in range(0, len(words), 1000):
-            some = words[at : at + 1000]
-            known.update(zip(some, self._words(some)))
+        plain = [p for p in parts if self.AZ(p)] if self.ends.any() else []
+        other = [p for p in parts if p.isalpha() and not self.AZ(p)] if self.ends.any() else []
+        for library, words in ((self.bare, plain), (self.library, other)):
+            for at in range(0, len(words), 1000):
+                some = words[at : at + 1000]
+                known.update(zip(some, self._words(library, some)))
         rest = [p for p in parts if p not in known]
         known.update(zip(rest, self._each(rest)))
 
-    def _words(self, words: list[str]) -> list[bytes]:
+    @staticmethod
+    def _ids(library, words: list[str]) -> list[int]:
+        return library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
+
+    def _words(self, library, words: list[str]) -> list[bytes]:
         """Ids of words, read off one text by the marks of their ends: a word has one at least, so as many marks as words means one each."""
-        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(self._ids(library, words), "<u4")
         ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
         if len(ends) != len(words):
             return self._each(words)
