@@ -17,8 +17,9 @@ components. Pairs inside one component add nothing and are not made, so a
 group of copies costs in proportion to its size. A node that stays large at
 the last level (a group of near copies of any size) is compared with leaders
 drawn per tree, which links almost all of it at linear cost; the members that
-remain outside its largest component are compared with all members of other
-components, block by block.
+remain outside its largest component meet all members of other components in
+an exact join on their rarest shingles (prefix and size filter, over an order
+of shingles by sketched frequency).
 
 Homes are salted: at most SHARE partners to a task group. Components are
 found by rounds of large-star and small-star over links, written to the
@@ -169,6 +170,9 @@ def _nodes(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
         # One of the leaves that hold the same classes is enough.
         small = met.where(F.col("m") <= LEAF).groupBy("m", "who").agg(F.min("node").alias("node")).select("node", F.lit(False).alias("large"))
         marks = small.unionByName(met.where(F.col("m") > LEAF).select("node", F.lit(True).alias("large")))
+        if depth == DEPTH - 1:  # nobody branches further: nodes that hold the same classes are one
+            large = met.where(F.col("m") > LEAF).groupBy("m", "who").agg(F.min("node").alias("node"))
+            marks = small.unionByName(large.select("node", F.lit(True).alias("large")))
         marked = materialise(rows.join(marks, "node").select("rep", "node", "large"), "marked")
         leaf, large = marked.where("NOT large").select("rep", "node"), marked.where("large").select("rep", "node")
         levels = leaf if levels is None else levels.unionByName(leaf)
@@ -236,52 +240,65 @@ def _crowd_pairs(crowds: DataFrame, sketches: DataFrame, percent: int, seed: int
     return pairs.select(F.col("leader.rep").alias("a"), F.col("rep").alias("b")).distinct()
 
 
-def _crowd_blocks(crowds: DataFrame, comps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links of the members outside their node's largest component with all members of other components.
+#: Counters of a sketch of shingle frequencies: 16 MB, whatever the number of shingles.
+COUNTERS = 1 << 22
 
-    Both sides are dealt into blocks of about SHARE, and every pair of blocks
-    is a task group of its own, whatever the size of the node.
+
+def _count_shingles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """counter, n: how many sets of this task hold a shingle of each counter."""
+    counts = np.zeros(COUNTERS, np.int32)
+    for batch in batches:
+        for _, _, values, offsets in _slices(batch, "words"):
+            sets, _ = shingle_sets(values, offsets, width)
+            counts += np.bincount((sets % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.int32)
+    used = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], ["counter", "n"])
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], width: int, percent: int, counts) -> Iterator[pa.RecordBatch]:
+    """shingle, rep: the rarest shingles of each set, as many as two similar sets must share one of.
+
+    Sets of sizes x and y that are similar enough share at least percent of x;
+    under one order of all shingles they then share one of the first
+    x - ceil(percent * x) + 1 of x, and of as many of y. The order is by the
+    sketched frequency: what a whole group has in common comes last.
     """
-    rows = materialise(crowds.join(comps, "rep"), "crowd")
-    sizes = rows.groupBy("node", "comp").agg(F.count("*").alias("m"))
-    nodes = sizes.groupBy("node").agg(F.max(F.struct("m", F.col("comp"))).alias("top"), F.sum("m").alias("m"), F.count("*").alias("k")).where("k > 1")
-    blocks = lambda m: F.ceil(m / SHARE)
-    nodes = nodes.select("node", F.col("top.comp").alias("main"), blocks(F.col("m")).alias("ms"), blocks(F.col("m") - F.col("top.m")).alias("us"))
-    rows = rows.join(nodes, "node")
-    own = lambda parts: F.pmod(F.xxhash64("rep"), F.col(parts))
-    each = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
-    apart = rows.where("comp <> main").select("node", own("us").alias("u"), each("ms").alias("v"), F.lit(False).alias("member"), "rep", "comp")
-    members = rows.select("node", each("us").alias("u"), own("ms").alias("v"), F.lit(True).alias("member"), "rep", "comp")
-    spread = apart.unionByName(members).join(texts, "rep").repartition("node", "u", "v").sortWithinPartitions("node", "u", "v", "member")
-    hashed = spread.select("node", "u", "v", "member", "rep", "comp", word_hashes(F.col("text")).alias("words"))
-    return map_batches(hashed, partial(_meet, width=width, percent=percent), "a long, b long").distinct()
-
-
-def _meet(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Within a pair of blocks, one link per row apart and component it is linked with."""
-    group, apart, met = None, [], set()
     for batch in batches:
-        keys = list(zip(*(batch.column(c).to_pylist() for c in range(3))))
-        member, rep, comp = (batch.column(c).to_pylist() for c in range(3, 6))
-        left, right = [], []
+        reps = batch.column(0).to_numpy()
         for row, end, values, offsets in _slices(batch, "words"):
             sets, at = shingle_sets(values, offsets, width)
-            for k in range(row, end):
-                mine = sets[at[k - row] : at[k - row + 1]]
-                if keys[k] != group:
-                    group, apart, met = keys[k], [], set()
-                if not member[k]:
-                    apart.append((rep[k], comp[k], mine.copy()))
-                    continue
-                for other, its, own in apart:
-                    if its == comp[k] or (other, comp[k]) in met or 100 * min(len(own), len(mine)) < percent * max(len(own), len(mine)):
-                        continue
-                    both = len(np.intersect1d(own, mine, assume_unique=True))
-                    if 100 * both >= percent * (len(own) + len(mine) - both):
-                        met.add((other, comp[k]))
-                        left.append(other)
-                        right.append(rep[k])
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+            sizes = np.diff(at)
+            own = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((sets, counts.value[(sets % np.uint64(COUNTERS)).astype(np.int64)], own))
+            take = np.where(sizes > 0, sizes - (percent * sizes + 99) // 100 + 1, 0)
+            first = np.repeat(at[:-1], take) + np.arange(int(take.sum())) - np.repeat(np.cumsum(take) - take, take)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(sets[order[first]].view(np.int64)), pa.array(np.repeat(reps[row:end], take), pa.int64())], ["shingle", "rep"]
+            )
+
+
+def _apart_pairs(crowds: DataFrame, comps: DataFrame, sketches: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs that may be similar, of the members outside their node's largest component with members of other components.
+
+    A row apart is one row here, however many nodes it is in, and meets the
+    others by an exact join on the rarest shingles of both.
+    """
+    rows = materialise(crowds.join(comps, "rep"), "crowd")
+    sizes = rows.groupBy("node", "comp").agg(F.count("*").alias("m"))
+    mains = sizes.groupBy("node").agg(F.max(F.struct("m", F.col("comp"))).alias("top"), F.count("*").alias("k")).where("k > 1")
+    members = rows.join(mains.select("node", F.col("top.comp").alias("main")), "node")
+    members = materialise(members.groupBy("rep", "comp").agg(F.max(F.col("comp") != F.col("main")).alias("apart")), "members")
+    words = texts.join(members.select("rep"), "rep", "left_semi").select("rep", word_hashes(F.col("text")).alias("words"))
+    counted = map_batches(words, partial(_count_shingles, width=width), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    found = counted.toArrow()  # at most COUNTERS rows
+    counts = np.zeros(COUNTERS, np.int32)
+    counts[found.column("counter").to_numpy()] = np.minimum(found.column("n").to_numpy(), np.iinfo(np.int32).max)
+    shared = crowds.sparkSession.sparkContext.broadcast(counts)
+    prefixes = map_batches(words, partial(_prefixes, width=width, percent=percent, counts=shared), "shingle long, rep long")
+    rows = materialise(prefixes.join(members.join(sketches.select("rep", "n"), "rep"), "rep"), "prefixes")
+    left = rows.where("apart").select("shingle", F.col("rep").alias("x"), F.col("comp").alias("p"), F.col("n").alias("m"))
+    fits = f"p <> comp AND 100 * least(n, m) >= {percent} * greatest(n, m)"
+    return left.join(rows, "shingle").where(fits).select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -377,7 +394,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     second = second.distinct().join(first, ["a", "b"], "left_anti")
     links = links.unionByName(materialise(_confirmed(second, texts, width, percent), "confirmed"))
     if not crowds.isEmpty():
-        links = links.unionByName(materialise(_crowd_blocks(crowds, labels(links), texts, width, percent), "met"))
+        third = _apart_pairs(crowds, labels(links), sketches, texts, width, percent)
+        links = links.unionByName(materialise(_confirmed(third, texts, width, percent), "confirmed"))
     found = materialise(components(links), "components")
 
     ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
