@@ -1,12 +1,15 @@
 """Toxicity by the nearest labelled examples.
 
 Terms are words in lower case and their first four and five letters, so that
-an inflected form meets its stem. A term is kept if it tells the two labels
-apart beyond chance among all rows learned from, whichever of them has it more
-often and at every base rate (chi-squared over twice the log of the number of
-terms tested); copies of a text count once for each label they have, so no text
-crowds out the words of others. Vectors are TF-IDF over all these terms, the
-document frequencies counted over the whole table. The index holds at most
+an inflected form meets its stem. A term is kept if its tie to the label is
+strong enough (phi squared of term and label over EFFECT, at every size of the
+table) and beyond chance (chi-squared over twice the log of the number of terms
+tested, in three texts at least), whichever label has it more often and at
+every base rate; copies of a text count once for each label they have, so no
+text crowds out the words of others. A strength does not grow with the table
+as a test's power does: words of one group of edited copies pass only while
+that group is a fair share of all, so the terms settle. Vectors are TF-IDF over
+all these terms, the document frequencies counted over the whole table. The index holds at most
 MAX_EXAMPLES distinct labelled texts, those with the smallest hash; equal
 vectors share an entry with their number of labels.
 
@@ -39,6 +42,8 @@ from broadsheet.session import materialise
 
 MAX_EXAMPLES = 20_000
 K, BLOCK, FIRST, SHARPNESS = 25, 64, 4, 4
+#: Least phi squared of a term and the label: the share of the label's variance that the term tells.
+EFFECT = 0.01
 #: Terms a task counts before it hands them on.
 FLUSH = 500_000
 STEMS = (4, 5)
@@ -118,7 +123,7 @@ def choose_terms(labelled: DataFrame) -> list[str]:
     a, b = F.col("pos"), F.col("df") - F.col("pos")
     c, d = F.lit(p) - a, F.lit(n - p) - b
     chi = F.lit(float(n)) * F.pow(a * d - b * c, F.lit(2.0)) / (F.col("df") * (F.lit(float(n)) - F.col("df")) * F.lit(float(p) * (n - p)))
-    best = tested.where(f"df < {n}").withColumn("chi", chi).where(F.col("chi") > bound)
+    best = tested.where(f"df < {n}").withColumn("chi", chi).where((F.col("chi") > bound) & (F.col("chi") > EFFECT * n))
     return best.select("term").orderBy("term").toArrow().column(0).to_pylist()
 
 
@@ -166,8 +171,8 @@ class Index:
             at = slice(self.lists[t], self.lists[t + 1])
             self.rows[int(t)] = np.bincount(self.entry[at], self.weight[at], len(sizes))
         self.scale = (0.0, 1.0)
-        self.rate = 0.0
-        self._calibrate()
+        total, pos = self.empty
+        self.rate = (pos + 0.5) / (total + 2) if total else 0.0
 
     def weights(self, terms, counts) -> np.ndarray:
         w = (1 + np.log(np.asarray(counts, float))) * self.idf[np.asarray(terms, int)]
@@ -222,18 +227,18 @@ class Index:
         prior = (self.pos.sum() + self.empty[1] + 1) / (self.n.sum() + self.empty[0] + 2)
         return float((w @ pos + prior) / (w @ n + 1))
 
-    def _calibrate(self) -> None:
-        total, pos = self.empty
-        self.rate = (pos + 0.5) / (total + 2) if total else 0.0
-        votes, labels, sizes = [], [], []
-        for k, (terms, counts) in enumerate(self.vectors):
-            ids, cos = self.nearest(terms, counts)
-            own = ids == k
-            for label, size in ((1, self.pos[k]), (0, self.n[k] - self.pos[k])):
-                if size:
-                    votes.append(self.vote(ids, cos, self.n[ids] - own, self.pos[ids] - own * label))
-                    labels.append(label)
-                    sizes.append(size)
+    def left_out(self, k: int) -> list[tuple[float, float, float]]:
+        """(vote, label, number) of entry k's labels, each voted on by all labels but one of its kind."""
+        ids, cos = self.nearest(*self.vectors[k])
+        own = ids == k
+        return [
+            (self.vote(ids, cos, self.n[ids] - own, self.pos[ids] - own * label), label, float(size))
+            for label, size in ((1, self.pos[k]), (0, self.n[k] - self.pos[k])) if size
+        ]
+
+    def calibrate(self, votes: list[tuple[float, float, float]]) -> None:
+        """Fit the scale to left-out votes."""
+        votes, labels, sizes = [list(c) for c in zip(*votes)] or [[], [], []]
         if len(set(labels)) < 2:
             return
         x, y, s = self._logit(np.array(votes)), np.array(labels, float), np.array(sizes)
@@ -298,9 +303,19 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     key = docs.schema["doc_id"].dataType.simpleString()
     made = materialise(map_batches(docs, vectors, f"doc_id {key}, hash long, terms array<int>, counts array<int>"), "vectors")
-    total = made.count()
-    df = dict(made.select(F.explode("terms").alias("t")).groupBy("t").count().toPandas().itertuples(index=False))
-    idf = np.array([np.log(1 + total / df.get(k, 1)) for k in range(len(terms))])
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # One row per term and task; the last one counts documents.
+        counts = np.zeros(len(terms) + 1, np.int64)
+        for batch in batches:
+            counts[:-1] += np.bincount(batch.column(0).flatten().to_numpy(), minlength=len(terms))
+            counts[-1] += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(counts))), pa.array(counts)], ["term", "n"])
+
+    counted = map_batches(made.select("terms"), frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    df = dict(zip(*(c.to_pylist() for c in counted.toArrow().columns)))  # one row per kept term
+    total = df.get(len(terms), 0)
+    idf = np.array([np.log(1 + total / max(df.get(k, 0), 1)) for k in range(len(terms))])
     # Copies of a text have the same vector: grouped before the sample, and both labels of a text enter together.
     votes = made.select("doc_id", "hash").join(known, "doc_id").groupBy("hash").agg(
         F.min(F.col("doc_id").cast("long")).alias("key"), F.count("*").alias("n"), F.sum("toxic").alias("pos")
@@ -310,13 +325,28 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     index = Index(idf, [(r["terms"], r["counts"], toxic, r["key"] or 0, size) for r, toxic, size in sides])
     held = spark.sparkContext.broadcast(index)
 
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            votes = [v for k in batch.column(0).to_pylist() for v in held.value.left_out(k)]
+            yield pa.RecordBatch.from_pylist([dict(zip(("vote", "label", "size"), v)) for v in votes], pa.schema([(c, pa.float64()) for c in ("vote", "label", "size")]))
+
+    if index.vectors:  # at most two rows per entry of the index come back
+        entries = spark.range(0, len(index.vectors), 1, max(len(index.vectors) // 250, 1))
+        votes = map_batches(entries, left_out, "vote double, label double, size double").toArrow()
+        index.calibrate(sorted(zip(*(c.to_pylist() for c in votes.columns))))
+    scale, rate = index.scale, index.rate
+
     def judge(rows):
-        known: dict[tuple, tuple] = {}
+        index = held.value
+        index.scale = scale
         for row in rows:
-            vector = (tuple(row["terms"]), tuple(row["counts"]))
-            if vector not in known:
-                known[vector] = held.value.score(*vector)
-            p, near = known[vector]
-            yield {"doc_id": row["doc_id"], "score": p, "predicted": int(p >= 0.5), "evidence": near}
-
-    return map_rows(made.select("doc_id", "terms", "counts"), judge, f"doc_id {key}, score double, predicted int, evidence {EVIDENCE}", 8192)
+            p, near = index.score(row["terms"], row["counts"])
+            yield {"terms": row["terms"], "counts": row["counts"], "score": p, "evidence": near}
+
+    # Each distinct vector is scored once, over all tasks; a frequent one is one row on its side of the join.
+    full = made.where("size(terms) > 0").select("doc_id", "terms", "counts")
+    scored = map_rows(full.select("terms", "counts").distinct(), judge, f"terms array<int>, counts array<int>, score double, evidence {EVIDENCE}")
+    found = full.join(scored.hint("merge"), ["terms", "counts"]).select("doc_id", "score", "evidence")
+    bare = made.where("size(terms) = 0").select("doc_id", F.lit(rate).alias("score"), F.array().cast(EVIDENCE).alias("evidence"))
+    out = found.unionByName(bare)
+    return out.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
