@@ -338,6 +338,44 @@ def test_edited_copies_are_found(spark):
     assert sorted((r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, given).collect()) == [(k, k) for k in range(5)]
 
 
+def _similarity(item, text):
+    """Smith-Waterman over words, cell by cell."""
+    above, best = [0.0] * (len(text) + 1), 0.0
+    for word in item:
+        row = [0.0]
+        for j, other in enumerate(text):
+            row.append(max(0.0, above[j] + (1.0 if word == other else -0.5), above[j + 1] - 0.5, row[j] - 0.5))
+        best, above = max(best, *row), row
+    return best / len(item)
+
+
+def test_edited_copies_are_found_as_plain_alignment_finds_them(spark):
+    draw = random.Random(11)
+    words = [f"w{k}" for k in range(2000)]
+    items = [[draw.choice(words) for _ in range(draw.randint(20, 50))] for _ in range(12)]
+    rows = []
+    for k, item in enumerate(items):
+        for percent in (0, 10, 20, 30, 40, 50):
+            edited = []
+            for w in item:
+                u = draw.random() * 300
+                edited += [w] if u >= 3 * percent else [[], [draw.choice(words)], [w, draw.choice(words)]][int(u // percent)]
+            rows.append((len(rows), [draw.choice(words) for _ in range(30)] + edited + [draw.choice(words) for _ in range(30)]))
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in rows], "doc_id long, text string")
+    given = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, given).collect()}
+    want = {(d, k) for d, t in rows for k, i in enumerate(items) if _similarity(i, t) >= decontamination.THRESHOLD}
+    assert got == want and {(6 * k + j, k) for k in range(12) for j in range(4)} <= got  # all up to 30 per cent
+    assert not any(k != d // 6 for d, k in got)
+
+
+def test_short_common_items_are_found_whole(spark):
+    rows = [(1, "the cat of the in a hat"), (2, "of the in"), (3, "the of in a")] + [(k, "the of in a and to") for k in range(10, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    given = spark.createDataFrame([(1, "of the in a"), (2, "a in the of the"), (3, "of the in a")], "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"], r["similarity"]) for r in decontamination.contaminated(docs, given).collect()) == [(1, 1, 1.0), (1, 3, 1.0)]
+
+
 # 9: window by window, over texts made to repeat
 
 
