@@ -10,8 +10,9 @@ per byte the same product gives the shared-group links.
 
 Neither tokenizer joins anything across a white space that follows another
 character, so a text is cut there into units, and each distinct unit is
-tokenized and multiplied once per worker (a bounded cache). Where a vocabulary
-or a text does not allow that cut, the whole text is one unit.
+tokenized and multiplied once per worker (a bounded cache); punctuation after a
+word is a unit of its own where no piece of B joins the two. Where a vocabulary
+or a text does not allow these cuts, the whole text is one unit.
 
 Corpus-wide counts of linked id pairs are taken without a row per document and
 pair: documents are gathered into blocks of bounded size, a block lists its
@@ -157,39 +158,44 @@ class PieceBpe:
         long = [p for i, p in enumerate(pieces) if len(p) > 1 and not m.is_byte(i)]
         #: White space that some piece joins to other characters: texts are not cut before it.
         self.joined = {c for p in long for c in p if c.isspace()}
-        self.cuts = all(self.SPACE not in p.lstrip(self.SPACE) for p in long)
+        #: A line feed stands alone, so that what follows it is tokenized as inside a text.
+        self.lead = m.encode("\n")
+        self.cuts = all(self.SPACE not in p.lstrip(self.SPACE) for p in long) and "\n" not in self.joined and self.lead[:1] == [self.space]
+        #: Punctuation that no piece joins to a letter before it.
+        after = {b for p in long for a, b in zip(p, p[1:]) if a.isalpha()}
+        self.apart = "".join(c for c in ",.;:!?" if c not in after)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of texts as they stand: those with a space in front without it, since the model puts one there."""
+        """Ids of texts as they stand: those with a space in front without it, since the model puts one there, others behind a line feed."""
         spaced = [t[:1] == " " for t in texts]
-        found = self.model.encode([t[1:] if s else t for t, s in zip(texts, spaced)], num_threads=1) if texts else []
+        found = self.model.encode([t[1:] if s else "\n" + t for t, s in zip(texts, spaced)], num_threads=1) if texts else []
         for k, (text, s) in enumerate(zip(texts, spaced)):
             if s and len(text) == 1:
                 found[k] = [self.space]
-            elif not s:  # the space the model put there stands alone before white space it never joins
-                found[k] = found[k][1:] if found[k][:1] == [self.space] else [self.model.unk_id()]
+            elif not s:
+                found[k] = found[k][len(self.lead) :]
         return found
 
 
-class Unit:
-    """What the tokens of a piece of text add to its document."""
-
-    __slots__ = ("a", "b", "groups", "shared", "codes", "text")
-
-    def __init__(self, a, b, groups, shared, codes, text):
-        self.a, self.b, self.groups, self.shared, self.codes, self.text = a, b, groups, shared, codes, text
+#: What the tokens of a piece of text add to its document: tokens of A and B, groups, shared-group links, links as id pairs, groups as text.
+Unit = tuple[int, int, int, int, bytes, str]
+WRONG: Unit = (-1, -1, 0, 0, b"", "")
 
 
 class Aligner:
     """Both tokenizers, and the units already aligned."""
 
+    #: Letters both libraries and Python agree on.
+    LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+
     def __init__(self, a: bytes, b: bytes):
         self.a, self.b = ByteBpe(a), PieceBpe(b)
         self.size = [np.array([len(t) for t in side.bytes], "i8") for side in (self.a, self.b)]
         self.wide = len(self.b.bytes)
         kept = "".join(sorted(self.b.joined))
         more = f"(?:[{re.escape(kept)}]\\s*\\S+)*" if kept else ""
-        self.cut = re.compile(rf"\s*\S+{more}") if self.a.cuts and self.b.cuts else None
+        word = rf"\s*[{self.LETTERS}]+(?=[{self.b.apart}]+(?:[ \n]|\Z))|(?<=[{self.LETTERS}])[{self.b.apart}]+(?=[ \n]|\Z)|" if self.b.apart and " " not in kept else ""
+        self.cut = re.compile(rf"{word}\s*\S+{more}") if self.a.cuts and self.b.cuts else None
         # Python's white space that the pattern of the public split does not take for such, and the reverse.
         self.odd = re.compile("[\x1c-\x1f᠎]")
         # Strings of ids with the mark that may follow, in the order of both vocabularies: inside a run, at its end.
@@ -224,40 +230,43 @@ class Aligner:
                 have[unit] = made
                 if len(unit) <= 64:
                     self.units.put(unit, made)
+        wrong = {unit for unit, made in have.items() if made[0] < 0}
         out = []
         for text, units in zip(texts, cut):
-            found = [have[u] for u in units]
-            if any(u.a < 0 for u in found):  # not the same bytes: the text as a whole decides
-                whole = self.aligned([" " + text])[0] if len(units) > 1 else found[0]
-                found = [whole] if whole.a >= 0 else []
+            found = list(map(have.__getitem__, units))
+            if wrong and not wrong.isdisjoint(units):  # not the same bytes: the text as a whole decides
+                whole = self.aligned([" " + text])[0] if len(units) > 1 else WRONG
+                found = [] if whole is WRONG else [whole]
             out.append(found)
         return out
 
     def aligned(self, units: list[str]) -> list[Unit]:
         """The units, all in one product: no token reaches into the next unit."""
-        a, b = self.a.encode(units), self.b.encode(units)
-        right = [
-            b"".join(map(self.a.bytes.__getitem__, x)) == raw and b"".join(map(self.b.bytes.__getitem__, y)) == raw
-            for x, y, raw in zip(a, b, (u.encode("utf-8", "surrogatepass") for u in units))
-        ]
-        ok = [k for k, r in enumerate(right) if r]
-        made = [Unit(-1, -1, 0, 0, b"", "")] * len(units)
-        if not ok:
-            return made
-        ids = [np.array([i for k in ok for i in side[k]], "i8") for side in (a, b)]
-        first = [np.concatenate([[0], np.cumsum([len(side[k]) for k in ok])]) for side in (a, b)]
+        tokens = [self.a.encode(units), self.b.encode(units)]
+        raw = [u.encode() for u in units]
+        ends = np.cumsum([len(r) for r in raw])
+        if not all(self.spells(side, of, b"".join(raw), ends) for side, of in zip((self.a, self.b), tokens)):
+            if len(units) == 1:
+                return [WRONG]
+            # Some unit is not spelt by its tokens: the others are aligned without it.
+            right = [all(b"".join(map(side.bytes.__getitem__, of[k])) == raw[k] for side, of in zip((self.a, self.b), tokens)) for k in range(len(units))]
+            rest = iter(self.aligned([u for u, r in zip(units, right) if r]) if any(right) else [])
+            return [next(rest) if r else WRONG for r in right]
+        first = [np.concatenate([[0], np.cumsum([len(x) for x in of])]).tolist() for of in tokens]
+        ids = [np.array([i for x in of for i in x], "i8") for of in tokens]
         m = [Csr.runs(size[i]) for size, i in zip(self.size, ids)]
         cuts = np.intersect1d(m[0].starts[1:], m[1].starts[1:], assume_unique=True)
         group = [np.searchsorted(cuts, x.starts[1:]) for x in m]
         shared = Csr.single(group[0], len(cuts)).reach(Csr.single(group[1], len(cuts)).transposed())
+        shared = np.concatenate([[0], np.cumsum(shared)])[first[0]]
         bt = m[1].transposed()
         codes, per = [], np.zeros(len(ids[0]), "i8")
         for at, part in product_slices(m[0], bt):
             n = np.diff(part.starts)
             per[at : at + len(n)] = n
             codes.append(np.repeat(ids[0][at : at + len(n)], n) * self.wide + ids[1][part.columns])
-        codes = np.concatenate(codes) if codes else per[:0]
-        ends = np.concatenate([[0], np.cumsum(per)])
+        codes = np.concatenate([per[:0], *codes]).tobytes()
+        linked = (8 * np.concatenate([[0], np.cumsum(per)])[first[0]]).tolist()
         # Groups in order, A's tokens before B's: a token's place is its own number and that of the other side's before it.
         last = [np.append(g[1:] != g[:-1], True) for g in group]
         place = [np.arange(len(ids[0])) + np.searchsorted(group[1], group[0]), np.arange(len(ids[1])) + np.searchsorted(group[0], group[1], "right")]
@@ -265,13 +274,20 @@ class Aligner:
         for side, shift in ((0, 0), (1, len(self.a.bytes))):
             show[place[side]] = ids[side] + shift + last[side] * (len(self.shown) // 2)
         shown = list(map(self.shown.__getitem__, show.tolist()))
-        for j, k in enumerate(ok):
-            (a0, a1), (b0, b1) = first[0][j : j + 2], first[1][j : j + 2]
-            groups = int(group[0][a1 - 1] - group[0][a0] + 1) if a1 > a0 else 0
-            made[k] = Unit(
-                int(a1 - a0), int(b1 - b0), groups, int(shared[a0:a1].sum()), codes[ends[a0] : ends[a1]].tobytes(), "".join(shown[a0 + b0 : a1 + b1])
-            )
-        return made
+        groups = np.diff(np.concatenate([[0], np.cumsum(last[0])])[first[0]]).tolist()
+        return [
+            (a1 - a0, b1 - b0, g, n, codes[x:y], "".join(shown[a0 + b0 : a1 + b1]))
+            for a0, a1, b0, b1, g, n, x, y in zip(first[0], first[0][1:], first[1], first[1][1:], groups, np.diff(shared).tolist(), linked, linked[1:])
+        ]
+
+    @staticmethod
+    def spells(side, tokens: list[list[int]], raw: bytes, ends: np.ndarray) -> bool:
+        """Whether the bytes of all tokens join to raw, and no token reaches over an end."""
+        if b"".join([side.bytes[i] for x in tokens for i in x]) != raw:
+            return False
+        sizes = np.array([len(side.bytes[i]) for x in tokens for i in x], "i8")
+        mine = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([len(x) for x in tokens])]
+        return bool((mine == ends).all())
 
 
 _aligners: dict[tuple, Aligner] = {}
@@ -315,7 +331,7 @@ def links(docs: DataFrame, a_path: str, b_path: str, shared: bool = False) -> Da
             align = files.aligner()
             for doc, text in zip(rows.column(0), rows.column(1).to_pylist()):
                 raw = " " + text if text else ""
-                if not raw or not any(u.a >= 0 for u in align.documents([text])[0]):
+                if not align.documents([text])[0]:
                     continue
                 ids = [np.array([i for u in pieces for i in u], "i8") for pieces in (align.a.encode([raw]), align.b.encode([raw]))]
                 a, b = (Csr.runs(size[i]) for size, i in zip(align.size, ids))
@@ -378,10 +394,11 @@ def align(docs: DataFrame, a_path: str, b_path: str, block: int = BLOCK) -> Data
         for rows in _slices(batches):
             id_type = rows.column(0).type
             for doc, units in zip(rows.column(0).to_pylist(), files.aligner().documents(rows.column(1).to_pylist())):
-                linked = np.frombuffer(b"".join([u.codes for u in units]), "i8")
+                a, b, groups, shared, linked, shown = zip(*units) if units else ((),) * 6
+                linked = np.frombuffer(b"".join(linked), "i8")
                 pairs, times = np.unique(linked, return_counts=True)
-                sha = hashlib.sha256("".join([u.text for u in units])[:-1].encode()).hexdigest() if units else ""
-                facts = [sum(u.a for u in units), sum(u.b for u in units), sum(u.groups for u in units), len(linked), sum(u.shared for u in units), sha]
+                sha = hashlib.sha256("".join(shown)[:-1].encode()).hexdigest() if units else ""
+                facts = [sum(a), sum(b), sum(groups), len(linked), sum(shared), sha]
                 held.append((doc, _packed(times.astype("<u4")), *facts))
                 codes.append(pairs)
                 total += len(pairs) + 1
