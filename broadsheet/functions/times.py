@@ -43,19 +43,55 @@ ISO_SHAPES = (
 )
 
 
+# Week and day of the year, dashed or compact; the clock follows after anything but a digit.
+_LATER_CLOCK = _CLOCK.replace("(?:.(", "(?:[^0-9](", 1)
+WEEK_SHAPES = (r"^(\d{4})-W(\d{2})(?:-(\d))?" + _LATER_CLOCK + "$", r"^(\d{4})W(\d{2})(\d)?" + _LATER_CLOCK + "$")
+ORDINAL_SHAPES = (r"^(\d{4})-(\d{3})()" + _LATER_CLOCK + "$", r"^(\d{4})(\d{3})()" + _LATER_CLOCK + "$")
+
+
+def _number(c: Column, empty: int) -> Column:
+    return F.coalesce(F.nullif(c, F.lit("")).cast("int"), F.lit(empty))
+
+
+def _week_day(year: Column, week: Column, day: Column) -> Column:
+    """The date of an ISO week's day; a week 53 that the year lacks runs on into the next."""
+    fourth = F.make_date(year, F.lit(1), F.lit(4))  # always in week 1
+    date = F.date_add(fourth, (week - 1) * 7 + day - 1 - F.weekday(fourth))
+    return F.when(week.between(1, 53) & day.between(1, 7), date)
+
+
+def _year_day(year: Column, day: Column) -> Column:
+    date = F.date_add(F.make_date(year, F.lit(1), F.lit(1)), day - 1)
+    return F.when((day >= 1) & (F.year(date) == year), date)
+
+
 def iso_minute(c) -> Column:
     """ISO 8601 text to minute text. The offset is dropped, not applied.
 
-    Dashed and compact dates, with a clock time down to the hour or none, years
-    and dashed months are read whole; what is left over, or is no calendar
-    date, makes the text null.
+    Dashed and compact dates, years and dashed months, weeks with or without a
+    day, and days of the year are read whole, with a clock time down to the
+    hour or none; what is left over, or is no calendar date, makes the text null.
     """
     text = _col(c)
     minute = F.lit(None).cast("string")
+
+    def parts(shape: str) -> list[Column]:
+        return [F.regexp_extract(text, shape, i) for i in range(1, 6)]
+
+    def clock(hour: Column, minutes: Column) -> Column:
+        return F.concat(F.lit(" "), F.coalesce(F.nullif(hour, F.lit("")), F.lit("00")), F.lit(":"), F.coalesce(F.nullif(minutes, F.lit("")), F.lit("00")))
+
+    for shapes, date in (
+        (WEEK_SHAPES, lambda year, week, day: _week_day(_number(year, 1), _number(week, 0), _number(day, 1))),
+        (ORDINAL_SHAPES, lambda year, day, _: _year_day(_number(year, 1), _number(day, 0))),
+    ):
+        for shape in shapes:
+            part = parts(shape)
+            minute = F.when(text.rlike(shape), F.concat(date(*part[:3]).cast("string"), clock(*part[3:]))).otherwise(minute)
     for shape in reversed(ISO_SHAPES):
-        part = [F.regexp_extract(text, shape, i) for i in range(1, 6)]
-        filled = [part[0], *[F.coalesce(F.nullif(p, F.lit("")), F.lit(empty)) for p, empty in zip(part[1:], ("01", "01", "00", "00"))]]
-        spelled = F.concat(filled[0], F.lit("-"), filled[1], F.lit("-"), filled[2], F.lit(" "), filled[3], F.lit(":"), filled[4])
+        part = parts(shape)
+        filled = [part[0], *[F.coalesce(F.nullif(p, F.lit("")), F.lit("01")) for p in part[1:3]]]
+        spelled = F.concat(filled[0], F.lit("-"), filled[1], F.lit("-"), filled[2], clock(*part[3:]))
         minute = F.when(text.rlike(shape), spelled).otherwise(minute)
     return F.when(F.try_to_timestamp(minute, F.lit(MINUTE)).isNotNull(), minute)
 

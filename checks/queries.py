@@ -15,6 +15,7 @@ from broadsheet.plans import curation, jobs, listing
 from broadsheet.schemas import ARTICLE, ARTICLE_COLUMNS
 from broadsheet.session import materialise, shared_dir
 from broadsheet.sources import api, feeds, lists, store as stores
+from broadsheet.sources.partitioned import PartitionedStore
 from broadsheet.streaming.landing import stream_feeds, stream_landing
 from checks import views as v
 from checks.views import Tables, duck
@@ -129,6 +130,23 @@ def _(t):
     return stamps.select("event_id", times.iso_minute(written).alias("minute"))
 
 
+@query("iso_minute_weeks", """
+SELECT event_id, CASE WHEN event_id % 9 = 8 THEN NULL WHEN event_id % 9 IN (2, 7) THEN strftime(ts, '%Y-%m-%d 00:00')
+  WHEN event_id % 9 = 3 THEN strftime(date_trunc('week', ts), '%Y-%m-%d 00:00') ELSE strftime(ts, '%Y-%m-%d %H:%M') END AS minute
+FROM {events}""")
+def _(t):
+    """Stamps written as days of a week or of a year, dashed, compact, without a clock, and as none of these."""
+    n, week, day = F.col("event_id"), F.lpad(F.weekofyear("ts").cast("string"), 2, "0"), (F.weekday("ts") + 1).cast("string")
+    year, ordinal = F.expr("cast(extract(YEAROFWEEK FROM ts) AS string)"), F.concat(F.year("ts").cast("string"), F.lit("-"), F.lpad(F.dayofyear("ts").cast("string"), 3, "0"))
+    dashed, compact, clock = F.concat(year, F.lit("-W"), week, F.lit("-"), day), F.concat(year, F.lit("W"), week, day), F.date_format("ts", "'T'HH:mm:ss")
+    shapes = [
+        F.concat(dashed, clock), F.concat(compact, clock, F.lit("+02:00")), dashed, F.concat(year, F.lit("-W"), week), F.concat(ordinal, clock),
+        F.concat(F.replace(ordinal, F.lit("-"), F.lit("")), F.date_format("ts", "' 'HHmm")), F.concat(dashed, clock, F.lit("Z")), ordinal, F.concat(year, F.lit("-W54-1")),
+    ]
+    written = F.get(F.array(*shapes), (n % 9).cast("int"))
+    return t["events"].select("event_id", times.iso_minute(written).alias("minute"))
+
+
 @query("feed_minute", """
 SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '2024-01-20 12:00'
   WHEN event_id % 4 = 1 THEN strftime(ts - INTERVAL 2 HOUR, '%Y-%m-%d %H:%M')
@@ -1232,3 +1250,98 @@ def _(t):
         t.spark, landing, raw, nothing, _fresh(t, "checkpoint"), RUN_AT, jobs.Settings(exclude_urls="/AB,")
     ).awaitTermination()
     return raw.read().select("url", "published_at", "title", "description", "source", "category", "author")
+
+
+# --- stores laid out by day and url bucket ---------------------------------------------------
+
+
+def _laid_out(t, articles: DataFrame) -> PartitionedStore:
+    made = PartitionedStore(t.spark, _fresh(t, "laid-out"), buckets=4)
+    made.write(articles)
+    return made
+
+
+@query("partitioned_recent", ORACLES["recent"])
+def _(t):
+    return _laid_out(t, t.sql(v.ARTICLES)).recent(RUN_AT, HOURS).select("url", "published_at")
+
+
+@query("partitioned_retention", ORACLES["apply_retention"])
+def _(t):
+    made = _laid_out(t, t.sql(v.ARTICLES))
+    made.expire(RUN_AT, HOURS)
+    return made.read()
+
+
+@query("partitioned_insert", ORACLES["insert_absent"])
+def _(t):
+    made = _laid_out(t, t.sql(v.STORE))
+    made.insert(merge.first_sightings(t.sql(v.BATCH), t.sql(v.EXCLUSIONS), [F.col("doc_id")]))
+    return made.read()
+
+
+@query("partitioned_remove", ORACLES["remove_keys"])
+def _(t):
+    made = _laid_out(t, t.sql(v.ARTICLES))
+    made.remove(t.sql(v.ARTICLE_EXCLUSIONS).select(keys.removal_key("url").alias("url")))
+    return made.read()
+
+
+@query("partitioned_pin", ORACLES["mark_reviewed"])
+def _(t):
+    made = _laid_out(t, t.sql(v.ARTICLES))
+    made.pin(t.sql(v.ARTICLE_EXCLUSIONS).select(keys.removal_key("url").alias("url")))
+    return made.read().select("url", "manual_review")
+
+
+_COUNTED = ["en", "de", "fr"]
+_NAMED = "CASE WHEN category IN ('en', 'de', 'fr') THEN category ELSE 'other' END"
+_FACTS_SQL = f"""
+WITH kept AS ({ORACLES["apply_retention"]}),
+stored AS (
+  SELECT title, description, source, author, manual_review, {_NAMED} AS category FROM kept
+  UNION ALL SELECT title, description, source, author, false, {_NAMED} FROM ({_API_SQL}) a),
+scored AS (SELECT *, {_score_sql(v.LEXICON)} >= 1 AS relevant, coalesce(length(source), 0) <= 5 AS negative FROM (SELECT *, {TOPIC_TEXT} AS txt FROM stored) s)
+SELECT 'removed' AS stage, {_NAMED} AS category, count(*) AS articles FROM ({v.ARTICLES}) a
+  WHERE coalesce(published_at < '{CUTOFF}' AND NOT manual_review, false) GROUP BY 2
+UNION ALL SELECT 'stored', category, count(*) FROM scored GROUP BY 2
+UNION ALL SELECT 'relevant', category, count(*) FROM scored WHERE relevant GROUP BY 2
+UNION ALL SELECT 'negative', category, count(*) FROM scored WHERE relevant AND negative GROUP BY 2
+UNION ALL SELECT 'filtered', category, count(*) FROM scored WHERE relevant AND negative OR manual_review GROUP BY 2
+UNION ALL SELECT 'pinned', category, count(*) FROM scored WHERE manual_review GROUP BY 2"""
+
+
+def _facts(t, raw, filtered) -> DataFrame:
+    """The counts of a run over stored articles, as it reports them."""
+    cfg = jobs.Settings(hours=HOURS, exclude_urls="nowhere.com", exclude_domains="src11", lexicon=v.LEXICON, categories=_COUNTED)
+    facts = jobs.curate(
+        raw, filtered, stores.Archive(t.spark, _fresh(t, "archive")), _responses(t), _feed_documents(t).filter("status_code = 0"), _allowed(t),
+        t.spark.createDataFrame([], "url string, reason string, excluded_at string"),
+        lambda rows: rows.select("url", (F.coalesce(F.length("source"), F.lit(0)) - 5).cast("double").alias("score")), RUN_AT, cfg,
+    )
+    rows = [(stage, category, n) for stage, found in facts["by_category"].items() for category, n in found.items() if n]
+    return t.spark.createDataFrame(rows, "stage string, category string, articles bigint")
+
+
+@query("job_facts", _FACTS_SQL)
+def _(t):
+    return _facts(t, _store(t, "raw", t.sql(v.ARTICLES)), stores.Store(t.spark, _fresh(t, "filtered")))
+
+
+@query("job_facts_partitioned", _FACTS_SQL)
+def _(t):
+    return _facts(t, _laid_out(t, t.sql(v.ARTICLES)), PartitionedStore(t.spark, _fresh(t, "filtered"), buckets=2))
+
+
+@query("stream_repeats", _API_SQL)
+def _(t):
+    """The same responses delivered in several files, some before a restart and some after."""
+    landing, checkpoint = _fresh(t, "landing"), _fresh(t, "checkpoint")
+    raw = PartitionedStore(t.spark, _fresh(t, "raw"), buckets=4)
+    nothing = t.spark.createDataFrame([], "url string")
+    cfg = jobs.Settings(exclude_urls="nowhere.com", exclude_domains="src11")
+    for deliveries in (2, 1):
+        for _ in range(deliveries):
+            _responses(t).coalesce(1).write.mode("append").json(landing)
+        stream_landing(t.spark, landing, raw, _allowed(t), nothing, checkpoint, cfg, files_per_batch=1).awaitTermination()
+    return raw.read().select("url", "published_at", "title", "description", "source", "category", "author")

@@ -86,6 +86,19 @@ def test_iso_minute_keeps_wall_clock(spark):
         "2026-0701": None,
         "202607": None,
         "2026-13-01T00:00:00Z": None,
+        "2024-W05-3": "2024-01-31 00:00",
+        "2024W053T10:05": "2024-01-31 10:05",
+        "2024-W05": "2024-01-29 00:00",
+        "2020-W53-7 23:59": "2021-01-03 23:59",
+        "2024-366T10Z": "2024-12-31 10:00",
+        "2024031": "2024-01-31 00:00",
+        "2023-366": None,
+        "2024-000": None,
+        "2024-W54-1": None,
+        "2024-W05-8": None,
+        "2024W05-3": None,
+        "20240311": "2024-03-11 00:00",
+        "2024031112": None,
         "soon": None,
         None: None,
     }.items():

@@ -263,3 +263,39 @@ def test_unfinished_run_is_not_archived(world, articles, tmp_path):
     world.archive.snapshot(articles({"url": "a"}), "articles", RUN_AT)
     articles({"url": "b"}).write.parquet(f"{tmp_path}/archive/rows/store=articles/snapshot_date=2026-07-02/run=2026-07-02T1200")
     assert [r.url for r in world.archive.read("articles").collect()] == ["a"]
+
+
+def test_a_removal_that_dies_leaves_the_url_blocked(spark, world, articles, exclusions, tmp_path, monkeypatch):
+    from broadsheet.sources.lists import read_exclusions
+
+    world.raw.write(articles({"url": "https://a.org/1", "title": "river flood"}))
+    values = spark.createDataFrame([("https://a.org/1",)], VALUE)
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(Store, "remove", dies)  # the first write to a store
+    with pytest.raises(RuntimeError):
+        jobs.remove_articles(values, world.raw, world.filtered, world.archive, exclusions(), "site.org", RUN_AT, exclusion_file=str(tmp_path / "listed"))
+    listed = read_exclusions(spark, str(tmp_path / "listed"))
+    assert [r["url"] for r in listed.collect()] == ["https://a.org/1"]
+    world.raw.clear()
+    world.run(by_title, listed, items=ITEMS[:1], hours=1e6)
+    assert world.raw.read().count() == 0
+
+
+def test_a_repeated_run_is_refused_before_it_writes(world, exclusions):
+    world.run(by_title, exclusions(), items=ITEMS, hours=1e6)
+    version = world.raw.version()
+    with pytest.raises(ValueError):
+        world.run(by_title, exclusions(), items=ITEMS, hours=1e6)
+    assert world.raw.version() == version
+
+
+def test_facts_by_category(world, articles, exclusions):
+    world.raw.write(articles({"url": "https://b.org/1", "title": "river flood", "published_at": "2020-01-01 00:00", "category": "old"}))
+    facts = world.run(by_title, exclusions(), items=ITEMS, hours=48, categories=["general"])
+    assert facts["by_category"]["removed"] == {"general": 0, "other": 1}
+    assert {s: facts["by_category"][s]["general"] for s in ("stored", "relevant", "negative", "filtered", "pinned")} == {
+        s: facts[s] for s in ("stored", "relevant", "negative", "filtered", "pinned")
+    }
