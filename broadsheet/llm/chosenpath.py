@@ -16,10 +16,11 @@ then, with components known, every candidate pair that still lies in two
 components. Pairs inside one component add nothing and are not made, so a
 group of copies costs in proportion to its size. A node that stays large at
 the last level (a group of near copies of any size) is compared with leaders
-drawn per tree, which links almost all of it at linear cost; the members that
-remain outside its largest component meet all members of other components in
-an exact join on their rarest shingles (prefix and size filter, over an order
-of shingles by sketched frequency).
+drawn per tree, which links almost all of it at linear cost. What remains outside the
+largest component is compared with all members of other components, in whole:
+nodes that have members in common are one family, blocks of a family meet in
+tasks, and there an exact join on the rarest shingles (prefix and size filter,
+over an order of shingles by sketched frequency) finds what to compare.
 
 Homes are salted: at most SHARE partners to a task group. Components are
 found by rounds of large-star and small-star over links, written to the
@@ -255,50 +256,112 @@ def _count_shingles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[p
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], ["counter", "n"])
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], width: int, percent: int, counts) -> Iterator[pa.RecordBatch]:
-    """shingle, rep: the rarest shingles of each set, as many as two similar sets must share one of.
+class _Inverted:
+    """Which of several sets hold a shingle."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = len(sets)
+        hashes = np.concatenate(sets)
+        order = np.argsort(hashes, kind="stable")
+        self.owner = np.repeat(np.arange(self.n), [len(x) for x in sets])[order]
+        self.hashes, self.start = np.unique(hashes[order], return_index=True)
+        self.length = np.diff(self.start, append=len(hashes))
+
+    def shared(self, mine: np.ndarray) -> np.ndarray:
+        """How many of the given shingles each set holds."""
+        at = np.searchsorted(self.hashes, mine)
+        at = at[(at < len(self.hashes)) & (self.hashes[np.minimum(at, len(self.hashes) - 1)] == mine)]
+        take = self.length[at]
+        places = np.repeat(self.start[at] - np.cumsum(take) + take, take) + np.arange(int(take.sum()))
+        return np.bincount(self.owner[places], minlength=self.n)
+
+
+def rarest(mine: np.ndarray, percent: int, counts: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set, as many as two similar sets must share one of.
 
     Sets of sizes x and y that are similar enough share at least percent of x;
     under one order of all shingles they then share one of the first
     x - ceil(percent * x) + 1 of x, and of as many of y. The order is by the
     sketched frequency: what a whole group has in common comes last.
     """
+    order = np.lexsort((mine, counts[(mine % np.uint64(COUNTERS)).astype(np.int64)]))
+    return mine[order[: len(mine) - (percent * len(mine) + 99) // 100 + 1]]
+
+
+def _meet(batches: Iterator[pa.RecordBatch], width: int, percent: int, counts) -> Iterator[pa.RecordBatch]:
+    """Per pair of blocks, one link of each row apart with each component it is linked with. Rows apart come first."""
+    group, apart, met, index, firsts = None, [], None, None, None
     for batch in batches:
-        reps = batch.column(0).to_numpy()
+        keys = list(zip(*(batch.column(c).to_pylist() for c in range(3))))
+        member, rep, comp = (batch.column(c).to_pylist() for c in range(3, 6))
+        left, right = [], []
         for row, end, values, offsets in _slices(batch, "words"):
             sets, at = shingle_sets(values, offsets, width)
-            sizes = np.diff(at)
-            own = np.repeat(np.arange(len(sizes)), sizes)
-            order = np.lexsort((sets, counts.value[(sets % np.uint64(COUNTERS)).astype(np.int64)], own))
-            take = np.where(sizes > 0, sizes - (percent * sizes + 99) // 100 + 1, 0)
-            first = np.repeat(at[:-1], take) + np.arange(int(take.sum())) - np.repeat(np.cumsum(take) - take, take)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(sets[order[first]].view(np.int64)), pa.array(np.repeat(reps[row:end], take), pa.int64())], ["shingle", "rep"]
-            )
+            for k in range(row, end):
+                mine = sets[at[k - row] : at[k - row + 1]]
+                if keys[k] != group:
+                    group, apart, met, index = keys[k], [], set(), None
+                if not member[k]:
+                    apart.append((rep[k], comp[k], mine.copy()))
+                    continue
+                if not apart:
+                    continue
+                if index is None:
+                    index, firsts = _Inverted([x for _, _, x in apart]), _Inverted([rarest(x, percent, counts.value) for _, _, x in apart])
+                    sizes, comps = np.array([len(x) for _, _, x in apart]), np.array([c for _, c, _ in apart])
+                    reps = np.array([r for r, _, _ in apart])
+                near = np.flatnonzero(
+                    (firsts.shared(rarest(mine, percent, counts.value)) > 0) & (comps != comp[k])
+                    & (100 * np.minimum(sizes, len(mine)) >= percent * np.maximum(sizes, len(mine)))
+                )
+                if len(near) < 32:
+                    both = np.array([len(np.intersect1d(apart[j][2], mine, assume_unique=True)) for j in near], np.int64)
+                else:
+                    both = index.shared(mine)[near]
+                for j in near[100 * both >= percent * (sizes[near] + len(mine) - both)].tolist():
+                    if (j, comp[k]) not in met:
+                        met.add((j, comp[k]))
+                        left.append(int(reps[j]))
+                        right.append(rep[k])
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
 
-def _apart_pairs(crowds: DataFrame, comps: DataFrame, sketches: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs that may be similar, of the members outside their node's largest component with members of other components.
+#: Shingles of the rows of a block.
+BLOCK = 4_000_000
 
-    A row apart is one row here, however many nodes it is in, and meets the
-    others by an exact join on the rarest shingles of both.
+
+def _apart_links(crowds: DataFrame, comps: DataFrame, sketches: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links of the members outside their family's largest component with members of other components.
+
+    A family is what nodes too large to compare have in common, through any
+    tree; a document is in one family, once. Its rows apart and its members are
+    dealt into blocks of about BLOCK shingles, and blocks meet in pairs, where
+    an exact join on the rarest shingles of both finds what to compare.
     """
-    rows = materialise(crowds.join(comps, "rep"), "crowd")
-    sizes = rows.groupBy("node", "comp").agg(F.count("*").alias("m"))
-    mains = sizes.groupBy("node").agg(F.max(F.struct("m", F.col("comp"))).alias("top"), F.count("*").alias("k")).where("k > 1")
-    members = rows.join(mains.select("node", F.col("top.comp").alias("main")), "node")
-    members = materialise(members.groupBy("rep", "comp").agg(F.max(F.col("comp") != F.col("main")).alias("apart")), "members")
-    words = texts.join(members.select("rep"), "rep", "left_semi").select("rep", word_hashes(F.col("text")).alias("words"))
+    least = crowds.groupBy("node").agg(F.min("rep").alias("a"))
+    family = components(crowds.join(least, "node").select("a", F.col("rep").alias("b")))
+    own = F.coalesce("component", "rep").alias("family")
+    members = crowds.select("rep").distinct().join(family.withColumnRenamed("node", "rep"), "rep", "left").select("rep", own)
+    members = materialise(members.join(comps, "rep").join(sketches.select("rep", "n"), "rep"), "members")
+    sizes = members.groupBy("family", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    families = sizes.groupBy("family").agg(F.max(F.struct("m", "comp", "n")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
+    blocks = lambda n: F.ceil(n / BLOCK)
+    families = families.select("family", F.col("top.comp").alias("main"), blocks(F.col("n")).alias("ms"), blocks(F.col("n") - F.col("top.n")).alias("us"))
+    rows = materialise(members.join(families, "family"), "families")
+    words = texts.join(rows.select("rep"), "rep", "left_semi").select(word_hashes(F.col("text")).alias("words"))
     counted = map_batches(words, partial(_count_shingles, width=width), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
     found = counted.toArrow()  # at most COUNTERS rows
     counts = np.zeros(COUNTERS, np.int32)
     counts[found.column("counter").to_numpy()] = np.minimum(found.column("n").to_numpy(), np.iinfo(np.int32).max)
     shared = crowds.sparkSession.sparkContext.broadcast(counts)
-    prefixes = map_batches(words, partial(_prefixes, width=width, percent=percent, counts=shared), "shingle long, rep long")
-    rows = materialise(prefixes.join(members.join(sketches.select("rep", "n"), "rep"), "rep"), "prefixes")
-    left = rows.where("apart").select("shingle", F.col("rep").alias("x"), F.col("comp").alias("p"), F.col("n").alias("m"))
-    fits = f"p <> comp AND 100 * least(n, m) >= {percent} * greatest(n, m)"
-    return left.join(rows, "shingle").where(fits).select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
+
+    part = lambda parts: F.pmod(F.xxhash64("rep"), F.col(parts))
+    each = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
+    apart = rows.where("comp <> main").select("family", part("us").alias("u"), each("ms").alias("v"), F.lit(False).alias("member"), "rep", "comp")
+    others = rows.select("family", each("us").alias("u"), part("ms").alias("v"), F.lit(True).alias("member"), "rep", "comp")
+    spread = apart.unionByName(others).join(texts, "rep").repartition("family", "u", "v").sortWithinPartitions("family", "u", "v", "member")
+    hashed = spread.select("family", "u", "v", "member", "rep", "comp", word_hashes(F.col("text")).alias("words"))
+    return map_batches(hashed, partial(_meet, width=width, percent=percent, counts=shared), "a long, b long").distinct()
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -394,8 +457,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     second = second.distinct().join(first, ["a", "b"], "left_anti")
     links = links.unionByName(materialise(_confirmed(second, texts, width, percent), "confirmed"))
     if not crowds.isEmpty():
-        third = _apart_pairs(crowds, labels(links), sketches, texts, width, percent)
-        links = links.unionByName(materialise(_confirmed(third, texts, width, percent), "confirmed"))
+        links = links.unionByName(materialise(_apart_links(crowds, labels(links), sketches, texts, width, percent), "met"))
     found = materialise(components(links), "components")
 
     ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))

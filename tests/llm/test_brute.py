@@ -503,3 +503,20 @@ def test_vectors_hold_the_counts_of_kept_terms():
     terms = sorted(counts)[::2] + ["absent", "abse*"]
     assert dict(toxicity.vector(text, toxicity.lookups(terms))) == {k: counts[t] for k, t in enumerate(terms) if t in counts}
     assert toxicity.vector(None, toxicity.lookups(terms)) == [] == toxicity.vector(text, toxicity.lookups([]))
+
+
+@pytest.mark.parametrize("block", [chosenpath.BLOCK, 3000])
+def test_rows_apart_of_a_large_group(spark, monkeypatch, block):
+    """Copies with 0 to 8 of 60 words changed: most are linked through leaders, some only with few others; one block, and many."""
+    monkeypatch.setattr(chosenpath, "LEAF", 20)
+    monkeypatch.setattr(chosenpath, "BLOCK", block)
+    draw = random.Random(5)
+    base, texts = [f"b{k}" for k in range(60)], {}
+    for d in range(250):
+        w = list(base)
+        for _ in range(draw.randint(0, 8)):
+            w[draw.randrange(60)] = f"n{draw.randrange(10_000)}"
+        texts[d] = " ".join(w)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in chosenpath.near_duplicates(docs, 3, 85).collect()}
+    assert got == _near_brute(texts, 3, 85)
