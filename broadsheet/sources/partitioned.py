@@ -50,8 +50,9 @@ class PartitionedStore:
         return F.pmod(F.xxhash64(url), F.lit(self.buckets)).cast("int")
 
     def _placed(self, articles: DataFrame) -> DataFrame:
-        undated = F.col("published_at").isNull() | (F.col("published_at") == "")
-        day = F.when(F.col("manual_review"), PINNED).when(~undated, F.left("published_at", F.lit(10)))
+        # An empty text sorts before all dates and cannot name a folder; "0" does both.
+        date = F.when(F.col("published_at") == "", "0").otherwise(F.left("published_at", F.lit(10)))
+        day = F.when(F.col("manual_review"), PINNED).otherwise(date)
         return as_articles(articles).withColumns({"day": day, "bucket": self.bucket()})
 
     def _folders(self) -> list[tuple[str, str]]:
