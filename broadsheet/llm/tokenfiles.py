@@ -82,7 +82,7 @@ class Encoder:
     #: Python's white space that the library's is not, and the reverse.
     ODD = "\x1c\x1d\x1e\x1f\u180e"
     #: Words kept; beyond that only those of the last texts are.
-    KEPT = 800_000
+    KEPT = 650_000
     #: Punctuation that is cut from a word's end, so that the word is looked for by itself.
     TAIL = ",.;:!?"
     AZ = staticmethod(re.compile("[a-z]+").fullmatch)
@@ -199,7 +199,7 @@ def _encoder(key: int, spec: str) -> Encoder:
 
 
 #: Rows and bytes of text encoded at once.
-ROWS, BYTES = 4096, 8 << 20
+ROWS, BYTES = 4096, 6 << 20
 
 
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
