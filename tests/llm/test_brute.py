@@ -109,14 +109,29 @@ def _line_brute(texts):
             seen[x] += 1
             yield x, seen[x]
 
-    first = {}
+    def rare(line):
+        return len(line.split()) >= linededup.RARE_WORDS
+
+    names_of = {d: list(named(xs)) for d, xs in lines.items()}
+    holders = defaultdict(set)
+    for d, names in names_of.items():
+        for n in names:
+            holders[n].add(d)
+    first, heads = {}, {}
     out = {}
     for d in sorted(lines):
+        names = names_of[d]
+        shared = [k for k, n in enumerate(names) if len(holders[n]) > 1]
+        run = tuple(names[: len(shared)])
+        if shared == list(range(len(shared))) and any(rare(x) for x, _ in run):
+            if run in heads:  # all it shares, in order, is all that an earlier document shares
+                out[d] = set(shared)
+            heads.setdefault(run, d)
         by_other = defaultdict(list)
-        names = list(named(lines[d]))
-        for k, n in enumerate(names):
-            if n in first:
-                by_other[first[n][0]].append((k, first[n][1]))
+        if d not in out:  # aligned in whole with the first holder of each rare line
+            for o in {first[n][0] for n in names if n in first and rare(n[0])}:
+                there = {n: k for k, n in enumerate(names_of[o])}
+                by_other[o] = [(k, there[n]) for k, n in enumerate(names) if n in there]
         gone = set()
         for pairs in by_other.values():
             # longest ascending sequence by the plain recurrence
@@ -152,6 +167,36 @@ def test_line_dedup_query(spark, given):
         assert [x for line in text.split("\n") if (x := line.strip())] == [x for k, x in enumerate(lines[d]) if k not in gone.get(d, ())]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_lines_of_documents_made_to_overlap(spark, seed):
+    """Copies, reordered copies and mixtures; no line of an exact copy stays, short lines included."""
+    draw = random.Random(seed)
+    pool = [f"line {k} of five words" for k in range(30)] + ["ok", "a b", "--"]
+    texts = {}
+    for d in range(60):
+        kind = draw.random()
+        old = texts[draw.choice(list(texts))].split("\n") if texts else []
+        if kind < 0.3 and old:
+            xs = list(old)
+        elif kind < 0.5 and old:
+            xs = old[len(old) // 2 :] + old[: len(old) // 2]
+        elif kind < 0.7 and old:
+            xs = [*old, f"only {d} has this line"]
+        else:
+            xs = [draw.choice(pool) for _ in range(draw.randint(0, 8))]
+        texts[d] = "\n".join(xs)
+    lines, gone = _line_brute(texts)
+    docs = spark.createDataFrame([(d, t, 0) for d, t in texts.items()], "doc_id long, text string, `lines lost` int").repartition(3)
+    got = {r["doc_id"]: r for r in linededup.deduplicate(docs, "removed lines").collect()}
+    for d, r in got.items():
+        assert [x for line in r["text"].split("\n") if (x := line.strip())] == [x for k, x in enumerate(lines[d]) if k not in gone.get(d, ())]
+    first = {}
+    for d in sorted(texts):
+        if texts[d] in first and any(len(x.split()) >= linededup.RARE_WORDS for x in lines[d]):
+            assert not got[d]["text"].strip()
+        first.setdefault(texts[d], d)
+
+
 def test_moved_block_is_aligned_once():
     one = ["first line of the text here", "second line of the text here", "third line of the text here"]
     texts = {1: "\n".join(one), 2: "\n".join([one[2], "own words stand between them here", one[0], one[1]]), 3: "ok\n" + one[0] + "\nok"}
