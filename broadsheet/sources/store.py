@@ -5,6 +5,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
+from broadsheet.functions.sieve import sieve
 from broadsheet.functions.times import timestamp_of
 from broadsheet.operators.filters import apply_retention, is_expired
 from broadsheet.operators.merge import absent_from, mark_reviewed, remove_keys
@@ -168,10 +169,21 @@ def stamped(articles: DataFrame, store: str, run_at: datetime) -> DataFrame:
 
 
 def archive_articles(archive: DataFrame) -> DataFrame:
-    """Distinct published fields per date; an edited title is a second row."""
-    return archive.select(
-        "snapshot_date", "url", "title", "description", "source", "published_at"
-    ).distinct()
+    """Distinct published fields per date; an edited title is a second row.
+
+    Rows are told apart by 128 bits of their fields. Prints alone are shuffled
+    to find the first snapshot of each; the texts that follow are those of the
+    rows found, since the sieve holds back the copies of later snapshots.
+    """
+    fields = ["snapshot_date", "url", "title", "description", "source", "published_at"]
+    # Nulls are skipped by the hash, so each field says whether it is one.
+    given = [F.struct(F.col(c).isNull(), F.col(c)) for c in fields]
+    prints = {"_p": F.xxhash64(*given), "_q": F.xxhash64(F.lit(1), *reversed(given))}
+    rows = archive.select(*fields, "run_at").withColumns(prints)
+    rows = rows.withColumn("_row", F.xxhash64("_p", "_q", "run_at"))
+    first = rows.groupBy("_p", "_q").agg(F.min("run_at").alias("run_at"))
+    found = sieve(rows, "_row", first.select(F.xxhash64("_p", "_q", "run_at").alias("_row")))
+    return found.dropDuplicates(["_p", "_q"]).select(*fields)
 
 
 def archive_dates(runs: DataFrame) -> DataFrame:
