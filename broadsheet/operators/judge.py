@@ -1,6 +1,6 @@
 """Batches for an external judge, its replies, and the gates on its scores."""
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -144,11 +144,21 @@ def score_with(batches: DataFrame, scorer: Callable[[pd.DataFrame], Sequence[flo
     If it raises or leaves a row out, the rows of that batch carry the error
     and no score, so the coverage check fails the run.
     """
+    return score_opened(batches, lambda: scorer)
 
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values("idx")
+
+def score_opened(batches: DataFrame, open_scorer: Callable[[], Callable[[pd.DataFrame], Sequence[float]]]) -> DataFrame:
+    """score_with for a scorer that is costly to set up: it is opened once per task, before the first batch.
+
+    Rows come in Arrow batches, which bound the memory with the batch that is
+    being filled. If opening raises, all rows of the task carry the error.
+    """
+
+    def scored(batch: pd.DataFrame, scorer, failure: str | None) -> pd.DataFrame:
         out = batch[["batch_id", "idx", "url"]].copy()
         try:
+            if failure:
+                return out.assign(score=None, error=failure)
             scores = [float(s) for s in scorer(batch)]
             if len(scores) != len(batch):
                 raise ValueError(f"{len(scores)} scores for {len(batch)} articles")
@@ -156,9 +166,25 @@ def score_with(batches: DataFrame, scorer: Callable[[pd.DataFrame], Sequence[flo
         except Exception as e:  # the judge is user code: any failure is its result
             return out.assign(score=None, error=str(e))
 
-    return batches.select("batch_id", "idx", "url", "title", "description").groupBy(
-        "batch_id"
-    ).applyInPandas(run, SCORED_BATCH)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer, failure, held = None, None, None
+        for frame in frames:
+            if scorer is None and failure is None and len(frame):
+                try:
+                    scorer = open_scorer()
+                except Exception as e:  # so is setting it up
+                    failure = str(e) or type(e).__name__
+            rows = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            last = rows["batch_id"].iloc[-1] if len(rows) else None
+            for number, batch in rows.groupby("batch_id", sort=True):
+                if number != last:
+                    yield scored(batch.reset_index(drop=True), scorer, failure)
+            held = rows[rows["batch_id"] == last].reset_index(drop=True) if len(rows) else None
+        if held is not None and len(held):
+            yield scored(held, scorer, failure)
+
+    rows = batches.select("batch_id", "idx", "url", "title", "description")
+    return rows.repartition("batch_id").sortWithinPartitions("batch_id", "idx").mapInPandas(run, SCORED_BATCH)
 
 
 def attach_scores(articles: DataFrame, scores: DataFrame) -> DataFrame:

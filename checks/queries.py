@@ -510,6 +510,16 @@ _STATUS_SQL = """SELECT batch_id, CASE WHEN shape <= 3 THEN 'ok' WHEN shape = 4
 FROM (SELECT doc_id AS batch_id, doc_id % 8 AS shape FROM {labels}) r"""
 
 
+@query("score_opened", ORACLES["score_with"])
+def _(t):
+    def open_scorer():
+        import pandas as pd
+
+        return lambda batch: pd.Series(batch["title"]).str.len() % 5 - 2
+
+    return judge.score_opened(_batches(t), open_scorer)
+
+
 @query("judge_batch_status", _STATUS_SQL)
 def _(t):
     return judge.judge_batch_status(t.sql(v.REPLIES)).select("batch_id", "status", "missing")

@@ -122,3 +122,35 @@ def test_repeated_scores_never_multiply_articles(spark, articles):
         (F.col("id") / 3000).alias("score"),
     )
     assert judge.attach_scores(df, scores).count() == 2
+
+
+def test_a_scorer_is_opened_once_per_task(spark, articles, tmp_path):
+    """Batches larger than an Arrow batch arrive whole and in order; set-up runs once per task with rows."""
+    import os
+    import uuid
+
+    relevant = articles(*[{"url": f"u{k:03}", "title": "t", "relevance_score": float(100 - k // 7)} for k in range(100)])
+    batches = judge.judge_batches(relevant, 9)
+    folder = str(tmp_path)
+
+    def open_scorer():
+        open(os.path.join(folder, uuid.uuid4().hex), "w").close()
+        return lambda b: [len(b) * 1000 + i for i in b["idx"]]
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        got = judge.score_opened(batches, open_scorer)
+        rows = got.collect()
+        tasks = got.rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(rows) == 100 and all(r["error"] is None for r in rows)
+    assert all(r["score"] == (1000 if r["batch_id"] == 11 else 9000) + r["idx"] for r in rows)
+    assert 1 <= len(os.listdir(folder)) <= max(tasks, 8)
+
+    def broken():
+        raise ValueError("no model")
+
+    assert {r["error"] for r in judge.score_opened(batches, broken).collect()} == {"no model"}
+    none = articles().transform(lambda a: judge.judge_batches(a.withColumn("relevance_score", a["relevance_score"]), 4))
+    assert judge.score_opened(none, broken).collect() == []

@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver'
 # These run Spark jobs over stores; tests/test_jobs.py covers them.
 JOBS = {n for n in QUERIES if n.startswith(("job_", "stream_"))}
 # The user's own Python is the point of these.
-PYTHON = {"score_with"}
+PYTHON = {"score_with", "score_opened"}
 
 
 @pytest.fixture(scope="module")
