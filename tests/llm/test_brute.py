@@ -537,9 +537,39 @@ def test_pipeline(spark, given):
     assert len(ids) == len(out) and ids <= set(given)
     toxic = {r["doc_id"] for r in QUERIES["op6_toxicity"](spark, SF).where("predicted = 1").collect()}
     assert not ids & toxic
-    _, gone = _line_brute({d: t for d, t in given.items() if d not in toxic})
-    lines = {d: [x for line in t.split("\n") if (x := line.strip())] for d, t in given.items()}
-    assert all(len(gone.get(d, ())) < len(lines[d]) or not lines[d] for d in ids)
+
+    # Every later stage by its brute-force version, one after the other, over whole texts.
+    texts = {d: t for d, t in given.items() if d not in toxic}
+    _, gone = _line_brute(texts)
+    for d in list(texts):
+        if gone.get(d):
+            left, k = [], -1
+            for line in texts[d].split("\n"):
+                k += bool(line.strip())
+                if not line.strip() or k not in gone[d]:
+                    left.append(line)
+            texts[d] = "\n".join(left)
+            if not texts[d].strip():
+                del texts[d]
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    near = _near_brute({d: t.translate(lower) for d, t in texts.items()}, 5, 80)
+    texts = {d: t for d, t in texts.items() if near[d][2]}
+    items = [decontamination.words_of_text(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    vocabulary = {w: k for k, w in enumerate(sorted({w for item in items for w in item}))}
+    items = [np.array([vocabulary[w] for w in item]) for item in items if len(item) >= decontamination.LEAST]
+
+    def leaks(text):
+        ids = np.array([vocabulary.get(w, -1) for w in decontamination.words_of_text(text)])
+        return any(decontamination._best(item, ids)[0] / len(item) >= decontamination.THRESHOLD for item in items)
+
+    texts = {d: t for d, t in texts.items() if not leaks(t)}
+    assert len(toxic) and len(texts) < len(given) - len(toxic)
+    reference, want = Reference.from_file(PATH), {}
+    for d, text in texts.items():
+        tokens = reference.encode(text, add_special_tokens=False).ids
+        decoded = reference.decode(tokens, skip_special_tokens=False)
+        want[d] = (len(tokens), hashlib.sha256(np.array(tokens, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in out} == want
 
 
 def test_vectors_hold_the_counts_of_kept_terms():
