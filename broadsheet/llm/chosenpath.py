@@ -27,7 +27,8 @@ found by rounds of large-star and small-star over links, written to the
 shared folder in between; nothing is gathered on the driver.
 
 A text with fewer words than a shingle has one, its whole sequence; without
-words (or null) the set is empty, linked with nothing. Rows without doc_id
+words (or null) the set is empty, linked with nothing. doc_id is a number (a text
+that is none fails the job). Rows without doc_id
 are their own: component null, kept. Rows that repeat a doc_id must repeat
 its text. Extra columns are ignored. Ties go to the smallest doc_id.
 """

@@ -23,7 +23,7 @@ are never paired with each other, and texts are read from the second pass on
 only for documents with a repeat.
 
 Null and empty texts have no words; a text shorter than a window loses none.
-Rows without doc_id are kept whole and precede no other. doc_id names a
+doc_id is a number (a text that is none fails the job). Rows without doc_id are kept whole and precede no other. doc_id names a
 document: rows that repeat it repeat its text, and do not count as its
 predecessors. Extra columns are ignored by `removed_words` and kept by `deduplicate`.
 """
@@ -35,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from broadsheet.llm.common import map_batches, words_of
 from broadsheet.session import materialise
@@ -300,7 +301,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     found = shared_anchors(rows).groupBy("doc_id").agg(F.collect_list(F.struct("core", "at", "lo", "hi", "whole")).alias("anchors"))
     joined = rows.join(found, "doc_id", "left")
     changed = _spans(materialise(joined.where("anchors IS NOT NULL"), "repeats"))
-    schema = f"text string, row {rows.schema['row'].dataType.simpleString()}"
+    schema = StructType([StructField("text", StringType()), StructField("row", rows.schema["row"].dataType)])
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

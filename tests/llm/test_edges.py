@@ -8,8 +8,8 @@ import pytest
 from broadsheet.llm import bpe, chat, chosenpath, decontamination, language, license, linededup, quality, recompression, stages, toxicity
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-CLASH = ["ids", "words", "anchors", "lines", "row", "rep", "node", "w", "l", "dense", "spans", "lost", "hash", "terms", "score"]
-SCHEMA = "doc_id long, text string, lang string, " + ", ".join(f"{c} string" for c in CLASH)
+CLASH = ["lines lost", "ids", "words", "anchors", "lines", "row", "rep", "node", "w", "l", "dense", "spans", "lost", "hash", "terms", "score"]
+SCHEMA = "doc_id long, text string, lang string, " + ", ".join(f"`{c}` string" for c in CLASH)
 
 
 def frame(spark, rows):
