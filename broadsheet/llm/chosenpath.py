@@ -19,8 +19,8 @@ the last level (a group of near copies of any size) is compared with leaders
 drawn per tree, which links almost all of it at linear cost. What remains outside the
 largest component is compared with all members of other components, in whole:
 nodes that have members in common are one family, blocks of a family meet in
-tasks, and there an exact join on the rarest shingles (prefix and size filter,
-over an order of shingles by sketched frequency) finds what to compare.
+tasks, and there an exact join on the rarest shingles (prefix and size filter)
+finds what to compare.
 
 Homes are salted: at most SHARE partners to a task group. Components are
 found by rounds of large-star and small-star over links, written to the
@@ -242,21 +242,6 @@ def _crowd_pairs(crowds: DataFrame, sketches: DataFrame, percent: int, seed: int
     return pairs.select(F.col("leader.rep").alias("a"), F.col("rep").alias("b")).distinct()
 
 
-#: Counters of a sketch of shingle frequencies: 16 MB, whatever the number of shingles.
-COUNTERS = 1 << 22
-
-
-def _count_shingles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """counter, n: how many sets of this task hold a shingle of each counter."""
-    counts = np.zeros(COUNTERS, np.int32)
-    for batch in batches:
-        for _, _, values, offsets in _slices(batch, "words"):
-            sets, _ = shingle_sets(values, offsets, width)
-            counts += np.bincount((sets % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.int32)
-    used = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], ["counter", "n"])
-
-
 class _Inverted:
     """Which of several sets hold a shingle."""
 
@@ -268,28 +253,34 @@ class _Inverted:
         self.hashes, self.start = np.unique(hashes[order], return_index=True)
         self.length = np.diff(self.start, append=len(hashes))
 
+    def held(self, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the index has the given shingles, and which of them it has."""
+        at = np.minimum(np.searchsorted(self.hashes, mine), len(self.hashes) - 1)
+        return at, self.hashes[at] == mine
+
     def shared(self, mine: np.ndarray) -> np.ndarray:
         """How many of the given shingles each set holds."""
-        at = np.searchsorted(self.hashes, mine)
-        at = at[(at < len(self.hashes)) & (self.hashes[np.minimum(at, len(self.hashes) - 1)] == mine)]
+        at, has = self.held(mine)
+        at = at[has]
         take = self.length[at]
         places = np.repeat(self.start[at] - np.cumsum(take) + take, take) + np.arange(int(take.sum()))
         return np.bincount(self.owner[places], minlength=self.n)
 
 
-def rarest(mine: np.ndarray, percent: int, counts: np.ndarray) -> np.ndarray:
+def rarest(mine: np.ndarray, percent: int, index: _Inverted) -> np.ndarray:
     """The rarest shingles of a set, as many as two similar sets must share one of.
 
     Sets of sizes x and y that are similar enough share at least percent of x;
     under one order of all shingles they then share one of the first
     x - ceil(percent * x) + 1 of x, and of as many of y. The order is by the
-    sketched frequency: what a whole group has in common comes last.
+    number of sets in the index: what a whole group has in common comes last.
     """
-    order = np.lexsort((mine, counts[(mine % np.uint64(COUNTERS)).astype(np.int64)]))
+    at, has = index.held(mine)
+    order = np.lexsort((mine, index.length[at] * has))
     return mine[order[: len(mine) - (percent * len(mine) + 99) // 100 + 1]]
 
 
-def _meet(batches: Iterator[pa.RecordBatch], width: int, percent: int, counts) -> Iterator[pa.RecordBatch]:
+def _meet(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Per pair of blocks, one link of each row apart with each component it is linked with. Rows apart come first."""
     group, apart, met, index, firsts = None, [], None, None, None
     for batch in batches:
@@ -308,11 +299,12 @@ def _meet(batches: Iterator[pa.RecordBatch], width: int, percent: int, counts) -
                 if not apart:
                     continue
                 if index is None:
-                    index, firsts = _Inverted([x for _, _, x in apart]), _Inverted([rarest(x, percent, counts.value) for _, _, x in apart])
+                    index = _Inverted([x for _, _, x in apart])
+                    firsts = _Inverted([rarest(x, percent, index) for _, _, x in apart])
                     sizes, comps = np.array([len(x) for _, _, x in apart]), np.array([c for _, c, _ in apart])
                     reps = np.array([r for r, _, _ in apart])
                 near = np.flatnonzero(
-                    (firsts.shared(rarest(mine, percent, counts.value)) > 0) & (comps != comp[k])
+                    (firsts.shared(rarest(mine, percent, index)) > 0) & (comps != comp[k])
                     & (100 * np.minimum(sizes, len(mine)) >= percent * np.maximum(sizes, len(mine)))
                 )
                 if len(near) < 32:
@@ -349,20 +341,13 @@ def _apart_links(crowds: DataFrame, comps: DataFrame, sketches: DataFrame, texts
     blocks = lambda n: F.ceil(n / BLOCK)
     families = families.select("family", F.col("top.comp").alias("main"), blocks(F.col("n")).alias("ms"), blocks(F.col("n") - F.col("top.n")).alias("us"))
     rows = materialise(members.join(families, "family"), "families")
-    words = texts.join(rows.select("rep"), "rep", "left_semi").select(word_hashes(F.col("text")).alias("words"))
-    counted = map_batches(words, partial(_count_shingles, width=width), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
-    found = counted.toArrow()  # at most COUNTERS rows
-    counts = np.zeros(COUNTERS, np.int32)
-    counts[found.column("counter").to_numpy()] = np.minimum(found.column("n").to_numpy(), np.iinfo(np.int32).max)
-    shared = crowds.sparkSession.sparkContext.broadcast(counts)
-
     part = lambda parts: F.pmod(F.xxhash64("rep"), F.col(parts))
     each = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
     apart = rows.where("comp <> main").select("family", part("us").alias("u"), each("ms").alias("v"), F.lit(False).alias("member"), "rep", "comp")
     others = rows.select("family", each("us").alias("u"), part("ms").alias("v"), F.lit(True).alias("member"), "rep", "comp")
     spread = apart.unionByName(others).join(texts, "rep").repartition("family", "u", "v").sortWithinPartitions("family", "u", "v", "member")
     hashed = spread.select("family", "u", "v", "member", "rep", "comp", word_hashes(F.col("text")).alias("words"))
-    return map_batches(hashed, partial(_meet, width=width, percent=percent, counts=shared), "a long, b long").distinct()
+    return map_batches(hashed, partial(_meet, width=width, percent=percent), "a long, b long").distinct()
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
