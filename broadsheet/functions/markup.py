@@ -28,7 +28,8 @@ def named_entities() -> dict[str, str]:
 
 def decode_entities(c) -> Column:
     """Named and numbered entities as their characters, each once; what names no character stays as it is."""
-    table = F.create_map(*[F.lit(x) for pair in named_entities().items() for x in pair])
+    # One literal that the optimizer turns into a map, where a map of literals would be hundreds of nodes per use.
+    table = F.str_to_map(F.lit("\x02".join(f"{name}\x01{char}" for name, char in named_entities().items())), F.lit("\x02"), F.lit("\x01"))
 
     def one(piece: Column) -> Column:
         base16 = F.regexp_extract(piece, "^&#[xX]([0-9A-Fa-f]{1,6});$", 1)

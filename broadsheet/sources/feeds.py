@@ -81,7 +81,8 @@ _INNER = r"(?is)<(image|textinput|source)(?=[\s/>])" + markup.INSIDE + r"(?<!/)>
 
 def _text(c: Column, *names: str) -> Column:
     """Text of the first element that has one of the names, in the order of the names."""
-    return F.coalesce(*[F.nullif(strip_ws(markup.decode_entities(markup.element(c, n))), F.lit("")) for n in names])
+    found = F.coalesce(*[F.nullif(strip_ws(markup.element(c, n)), F.lit("")) for n in names])
+    return F.nullif(strip_ws(markup.decode_entities(found)), F.lit(""))
 
 
 def _salvaged(body: Column) -> Column:
