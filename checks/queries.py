@@ -923,7 +923,7 @@ def _(t):
 
 
 # Pages whose metadata stand in attributes with brackets and quotes, in linked data, or where a page's own do not.
-_MARKED = """SELECT page_id, concat(CASE page_id % 5
+_MARKED_PAGES = """SELECT page_id, concat(CASE page_id % 5
   WHEN 0 THEN concat('<meta property="og:title" content="Page ', cast(page_id AS string), ' > all &amp; more"><meta content="by property=''og:title''" name="description">',
     '<meta property=article:published_time content=2024-03-0', cast(1 + page_id % 9 AS string), 'T10:00>')
   WHEN 1 THEN concat('<script type="application/ld+json">{"@context": "https://schema.org", "@graph": [{"@type": "Organization", "name": "Press"}, ',
@@ -945,7 +945,7 @@ SELECT page_id, CASE page_id % 5 WHEN 0 THEN concat('Page ', cast(page_id AS str
     WHEN 3 THEN concat('2024-06-0', 1 + page_id % 9) ELSE '2024-07-01' END AS published_at
 FROM {{pages}}""")
 def _(t):
-    return pages.extract_page_metadata(t.sql(_MARKED)).select("page_id", "title", "description", "published_at")
+    return pages.extract_page_metadata(t.sql(_MARKED_PAGES)).select("page_id", "title", "description", "published_at")
 
 
 @query("classify_ingest", f"""

@@ -1,6 +1,8 @@
 """The registered queries against their SQL, and what their plans must not hold."""
 
+import ast
 import os
+import sys
 
 import duckdb
 import pytest
@@ -48,3 +50,11 @@ def test_scan_reads_only_what_is_used(spark, plan):
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,fr)]" in text
     assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string,source:string>" in text
     assert Tables(spark, SF)["labels"].columns == ["doc_id", "quality", "toxic"]
+
+
+def test_no_name_of_the_module_is_given_twice():
+    """Queries are built after the module has run: a name given again would reach the earlier query too."""
+    with open(sys.modules[QUERIES["by_url"].__module__].__file__, encoding="utf-8") as file:
+        body = ast.parse(file.read()).body
+    names = [target.id for node in body if isinstance(node, ast.Assign) for target in node.targets if isinstance(target, ast.Name)]
+    assert sorted(names) == sorted(set(names))
