@@ -1305,14 +1305,14 @@ def _(t):
 
 
 _COUNTED = ["en", "de", "fr"]
-_NAMED = "CASE WHEN category IN ('en', 'de', 'fr') THEN category ELSE 'other' END"
+_COUNTED_AS = "CASE WHEN category IN ('en', 'de', 'fr') THEN category ELSE 'other' END"
 _FACTS_SQL = f"""
 WITH kept AS ({ORACLES["apply_retention"]}),
 stored AS (
-  SELECT title, description, source, author, manual_review, {_NAMED} AS category FROM kept
-  UNION ALL SELECT title, description, source, author, false, {_NAMED} FROM ({_API_SQL}) a),
+  SELECT title, description, source, author, manual_review, {_COUNTED_AS} AS category FROM kept
+  UNION ALL SELECT title, description, source, author, false, {_COUNTED_AS} FROM ({_API_SQL}) a),
 scored AS (SELECT *, {_score_sql(v.LEXICON)} >= 1 AS relevant, coalesce(length(source), 0) <= 5 AS negative FROM (SELECT *, {TOPIC_TEXT} AS txt FROM stored) s)
-SELECT 'removed' AS stage, {_NAMED} AS category, count(*) AS articles FROM ({v.ARTICLES}) a
+SELECT 'removed' AS stage, {_COUNTED_AS} AS category, count(*) AS articles FROM ({v.ARTICLES}) a
   WHERE coalesce(published_at < '{CUTOFF}' AND NOT manual_review, false) GROUP BY 2
 UNION ALL SELECT 'stored', category, count(*) FROM scored GROUP BY 2
 UNION ALL SELECT 'relevant', category, count(*) FROM scored WHERE relevant GROUP BY 2
