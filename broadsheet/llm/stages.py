@@ -23,8 +23,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Aligned common blocks of lines go from the later document; a document that loses all its lines goes with them."""
-    kept = linededup.deduplicate(docs, "lines lost")
-    lost = F.col("lines lost") > 0
+    name, taken = "lines lost", {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    kept = linededup.deduplicate(docs, name)
+    lost = F.col(name) > 0
     kept = kept.where(~lost | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

@@ -119,3 +119,9 @@ def test_sieve_loses_no_key(spark):
     assert rows.join(keys, rows["doc_id"] == keys["k"]).count() == kept.join(keys, kept["doc_id"] == keys["k"]).count() > 0
     assert kept.count() < 0.01 * rows.count()
     assert without_keys(rows, "doc_id", keys).count() == rows.join(keys, rows["doc_id"] == keys["k"], "left_anti").count()
+
+
+def test_texts_meet_their_deletions_in_one_join(spark, plan):
+    """The texts are shuffled once: not for the ones that change and again for those that might not."""
+    text = plan(linededup.deduplicate(frame(spark, ODD)))
+    assert text.count("SortMergeJoin") == 1 and "LeftAnti" not in text
