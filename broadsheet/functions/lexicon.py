@@ -7,6 +7,7 @@ operators.relevance.score_by_table, with the same result.
 """
 
 import re
+import unicodedata
 from collections.abc import Iterable
 
 from pyspark.sql import Column, functions as F
@@ -66,24 +67,51 @@ def topic_text() -> Column:
     return F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in fields]))
 
 
-def matched_keywords(text: Column, keywords: Iterable[str]) -> Column:
-    """Distinct keywords present in lowercased text.
+def listed(keywords: Iterable[str]) -> list[str]:
+    """Lowercased keywords that can be in a text, each once."""
+    return list(dict.fromkeys(k.lower() for k in keywords if has_word(k)))
 
-    One-word keywords: the text is cut into words once and intersected with
-    the list, so the cost does not grow with the lexicon. Phrases and
-    hyphenated keywords: a plain substring test guards the regular expression.
+
+def guard(keyword: str) -> str | None:
+    """The longest word of a keyword: a text that has the keyword as a whole has this word.
+
+    None where no character is plainly a letter, a number or an underscore.
+    """
+    marked = "".join(c if c == "_" or unicodedata.category(c)[0] in "LN" else " " for c in keyword)
+    return max(marked.split(), key=len, default=None)
+
+
+def listed_words(text: Column, keywords: list[str]) -> Column:
+    """Those words of a lowercased text that are keywords or guards of one.
+
+    The text is cut into words once and intersected with the list, so the cost
+    does not grow with the lexicon.
+    """
+    wanted = dict.fromkeys(k if is_single_word(k) else guard(k) for k in keywords)
+    wanted.pop(None, None)
+    if not wanted:
+        return F.array().cast("array<string>")
+    return F.array_intersect(F.split(text, f"[^{WORD}]+"), F.array(*[F.lit(w) for w in wanted]))
+
+
+def matched_keywords(text: Column, words: Column, keywords: list[str]) -> Column:
+    """Distinct keywords present in a lowercased text, whose listed words are given.
+
+    Phrases and hyphenated keywords: the text is searched only if it has the
+    guard, by a plain substring test before the regular expression.
     """
-    keywords = list(dict.fromkeys(k.lower() for k in keywords if has_word(k)))
     single = [k for k in keywords if is_single_word(k)]
     other = [k for k in keywords if not is_single_word(k)]
     found = F.array().cast("array<string>")
     if single:
-        words = F.split(text, f"[^{WORD}]+")
         found = F.array_intersect(words, F.array(*[F.lit(k) for k in single]))
     if other:
-        hits = [
-            F.when(text.contains(k) & text.rlike(keyword_pattern(k)), F.lit(k)) for k in other
-        ]
+        def present(keyword: str) -> Column:
+            inside = text.contains(keyword) & text.rlike(keyword_pattern(keyword))
+            word = guard(keyword)
+            return inside if word is None else F.array_contains(words, word) & inside
+
+        hits = [F.when(present(k), F.lit(k)) for k in other]
         found = F.concat(found, F.array_compact(F.array(*hits)))
     return found
 

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from broadsheet.functions.lexicon import (
-    DEFAULT_LEXICON, WORD, Lexicon, matched_keywords, topic_text, weight_sum,
+    DEFAULT_LEXICON, WORD, Lexicon, listed, listed_words, matched_keywords, topic_text, weight_sum,
 )
 from broadsheet.functions.sieve import sieve
 from broadsheet.functions.text import once
@@ -12,11 +12,15 @@ from broadsheet.functions.text import once
 def with_keywords(articles: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
     """Add the distinct keywords present in each article.
 
-    The one-element explode keeps the optimizer from copying the matching
-    into every later filter and projection: a text is cut into words once.
+    The one-element explodes keep the optimizer from copying the text and its
+    words into every keyword's test, and the matching into every later filter
+    and projection: a text is cut into words once.
     """
-    found = matched_keywords(topic_text(), [entry[0] for entry in lexicon])
-    return articles.select("*", F.explode(F.array(found)).alias("keywords"))
+    keywords = listed(entry[0] for entry in lexicon)
+    words = F.explode(F.array(listed_words(topic_text(), keywords))).alias("__words")
+    text = F.explode(F.array(topic_text())).alias("__text")
+    found = F.explode(F.array(matched_keywords(F.col("__text"), F.col("__words"), keywords))).alias("keywords")
+    return articles.select("*", words).select("*", text).select(*articles.columns, found)
 
 
 def relevance_score(articles: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:

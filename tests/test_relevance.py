@@ -66,3 +66,14 @@ def test_matching_is_planned_once(articles, plan):
     text = plan(df)
     assert text.count("split(lower") == 1
     assert "Python" not in text
+
+
+def test_a_text_is_put_together_no_more_often_for_a_larger_lexicon(articles, plan):
+    lexicon = [*LEX, *((f"the flood{i}", 1.0) for i in range(30))]
+    assert plan(relevance_score(articles({"url": "a"}), lexicon)).count("concat_ws(") == 2
+
+
+def test_guards_hide_no_phrase(articles, rows):
+    df = articles({"url": "a", "title": "x -ray! été-là é_2 b", "description": "c++ ok"}, {"url": "b", "title": "x-ray été là é_ 2", "description": "c ++"})
+    lexicon = [("-ray!", 1.0), ("été-là", 2.0), ("é_2 b", 4.0), ("c++", 8.0), ("x -ray", 16.0), ("-", 32.0), ("a b", 64.0)]
+    assert rows(relevance_score(df, lexicon), "url", "relevance_score") == [("a", 31.0), ("b", 0.0)]
