@@ -12,7 +12,7 @@ from broadsheet.operators import (
     dedup, filters, judge, merge, metrics, notes, ordering, pages, publish, relevance, resolve,
 )
 from broadsheet.plans import curation, jobs, listing
-from broadsheet.schemas import ARTICLE, ARTICLE_COLUMNS
+from broadsheet.schemas import API_RESPONSE, ARTICLE, ARTICLE_COLUMNS
 from broadsheet.session import materialise, shared_dir
 from broadsheet.sources import api, feeds, lists, store as stores
 from broadsheet.sources.partitioned import PartitionedStore
@@ -1345,13 +1345,16 @@ def _(t):
 
 @query("stream_repeats", _API_SQL)
 def _(t):
-    """The same responses delivered in several files, some before a restart and some after."""
+    """The same responses delivered several times, each a batch of its own, some before a restart and some after."""
     landing, checkpoint = _fresh(t, "landing"), _fresh(t, "checkpoint")
     raw = PartitionedStore(t.spark, _fresh(t, "raw"), buckets=4)
     nothing = t.spark.createDataFrame([], "url string")
     cfg = jobs.Settings(exclude_urls="nowhere.com", exclude_domains="src11")
+    delivered = 0
     for deliveries in (2, 1):
         for _ in range(deliveries):
-            _responses(t).coalesce(1).write.mode("append").json(landing)
-        stream_landing(t.spark, landing, raw, _allowed(t), nothing, checkpoint, cfg, files_per_batch=1).awaitTermination()
+            _responses(t).write.mode("append").json(landing)
+        delivered += deliveries
+        files = len(t.spark.read.schema(API_RESPONSE).json(landing).inputFiles()) // delivered
+        stream_landing(t.spark, landing, raw, _allowed(t), nothing, checkpoint, cfg, files_per_batch=files).awaitTermination()
     return raw.read().select("url", "published_at", "title", "description", "source", "category", "author")

@@ -1,12 +1,14 @@
 """The registered queries against their SQL, and what their plans must not hold."""
 
 import ast
+import glob
 import os
 import sys
 
 import duckdb
 import pytest
 
+from broadsheet.session import shared_dir
 from checks.queries import ORACLES, QUERIES
 from checks.views import TABLES, Tables
 from verify import normal
@@ -58,3 +60,15 @@ def test_no_name_of_the_module_is_given_twice():
         body = ast.parse(file.read()).body
     names = [target.id for node in body if isinstance(node, ast.Assign) for target in node.targets if isinstance(target, ast.Name)]
     assert sorted(names) == sorted(set(names))
+
+
+def test_repeated_deliveries_are_written_by_all_tasks(spark, con, tmp_path):
+    """One task that wrote a whole delivery read the whole table."""
+    spark.read.parquet(f"{SF}/documents.parquet").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    before = set(glob.glob(f"{shared_dir(spark)}/landing-*"))
+    got = QUERIES["stream_repeats"](spark, str(tmp_path))
+    result = con.execute(ORACLES["stream_repeats"])
+    columns = [d[0] for d in result.description]
+    assert normal(got.select(*columns).collect(), columns) == normal(result.fetchall(), columns)
+    (landing,) = set(glob.glob(f"{shared_dir(spark)}/landing-*")) - before
+    assert len(glob.glob(f"{landing}/part-*")) > 3
