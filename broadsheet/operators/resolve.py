@@ -90,8 +90,9 @@ def _contained(needles: DataFrame, articles: DataFrame, text: Column) -> DataFra
     lengths = sorted(r.n for r in keyed.select("n").distinct().collect())
     if not lengths:
         return texts.select("url", F.col("url").alias("value")).limit(0)
-    grams = F.concat(*[F.array_distinct(_grams(F.col("text"), n)) for n in lengths])
-    met = sieve(texts.select("url", F.explode(grams).alias("gram")), "gram", keyed.select("gram"))
+    grams = F.concat(*[_grams(F.col("text"), n) for n in lengths])
+    # Few grams pass the sieve, so repeats of one are cheaper to drop behind it.
+    met = sieve(texts.select("url", F.explode(grams).alias("gram")), "gram", keyed.select("gram")).distinct()
     # A gram's length is that of its needle's class, so the gram alone is the key.
     candidates = met.join(keyed.select("value", "needle", "gram"), "gram").join(texts, "url")
     return candidates.filter(F.contains(F.col("text"), F.col("needle"))).select("url", "value")
