@@ -47,6 +47,9 @@ def byte_symbols() -> list[str]:
 class Automaton:
     """The compiled merges: one gadget per merge, in order of priority."""
 
+    #: Arcs kept once read.
+    MOST = 300_000
+
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], mark: str = "</w>"):
         def name(token: str) -> str:
             return token[: -len(mark)] + END if mark and token.endswith(mark) else token
@@ -78,7 +81,7 @@ class Automaton:
         found = self.arcs.get(key)
         if found is None:
             found = self._read(x, t)
-            if len(self.arcs) > 1_000_000:
+            if len(self.arcs) >= self.MOST:
                 self.arcs.clear()
             self.arcs[key] = found
         return found
@@ -129,7 +132,7 @@ class Tokenizer:
     """Pre-splitting, cached words and the automaton of one vocabulary file."""
 
     #: Words kept per generation of the cache; frequent ones move on to the next.
-    KEPT = 500_000
+    KEPT = 150_000
 
     def __init__(self, spec: str):
         data = json.loads(spec)

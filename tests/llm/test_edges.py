@@ -125,3 +125,11 @@ def test_texts_meet_their_deletions_in_one_join(spark, plan):
     """The texts are shuffled once: not for the ones that change and again for those that might not."""
     text = plan(linededup.deduplicate(frame(spark, ODD)))
     assert text.count("SortMergeJoin") == 1 and "LeftAnti" not in text
+
+
+def test_word_cache_stays_small():
+    with open(PATH, encoding="utf-8") as file:
+        tokenizer = bpe.Tokenizer(file.read())
+    for k in range(350_000):
+        tokenizer.encode(f"{k:x}")
+    assert len(tokenizer.new) + len(tokenizer.old) <= 300_000 and len(tokenizer.automaton.arcs) <= 300_000
