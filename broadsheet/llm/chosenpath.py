@@ -12,9 +12,11 @@ meets in a leaf of depth d in at least t**d of the trees.
 
 Candidates are confirmed on the full sets: texts go once to the home of their
 pair. First each node's strongest candidates that connect it are confirmed;
-then, with components known, every candidate pair that still lies in two
-components. Pairs inside one component add nothing and are not made, so a
-group of copies costs in proportion to its size. A node that stays large at
+then, with components known, texts go to the leaves that still hold two, once
+per member with a candidate there, and all pairs of two components meet in the
+task. Pairs inside one component add nothing and pairs are never rows, so a
+group of copies, or of texts just below the threshold, costs in proportion to
+its size. A node that stays large at
 the last level (a group of near copies of any size) is compared with leaders
 drawn per tree, which links almost all of it at linear cost. What remains outside the
 largest component is compared with all members of other components, in whole:
@@ -185,60 +187,149 @@ def _nodes(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     return levels, large
 
 
-def _compare(batches: Iterator[pa.RecordBatch], percent: int, connect: bool) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of each leaf: all that pass size and sketch, or the strongest that connect them."""
+def _alike(members: list[dict], percent: int) -> tuple[list[int], list[tuple[float, int, int]]]:
+    """Sorted documents of a leaf, and its pairs of two components that pass size and sketch: (-likeness, place, place)."""
     share = percent / 100
     need = share - 4 * (share * (1 - share) / SIZE) ** 0.5  # four standard deviations below
+    members.sort(key=lambda x: x["rep"])
+    rep = [x["rep"] for x in members]
+    n = np.array([x["n"] for x in members], np.int64)
+    comp = np.array([x["comp"] for x in members], np.int64)
+    sketch = np.frombuffer(b"".join(x["sketch"] for x in members), np.uint8).reshape(len(rep), SIZE)
+    found = []
+    for k in range(len(rep) - 1):
+        rest = slice(k + 1, None)
+        fits = (100 * np.minimum(n[k], n[rest]) >= percent * np.maximum(n[k], n[rest])) & (comp[k] != comp[rest])
+        if fits.any():
+            alike = (sketch[k] == sketch[rest]).mean(1)
+            found += [(-alike[j], k, k + 1 + int(j)) for j in np.flatnonzero(fits & (alike >= need))]
+    return rep, found
+
+
+def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """(node, members) of some leaves at a time."""
     for batch in batches:
-        left, right = [], []
         for at in range(0, batch.num_rows, 256):
-            for members in batch.slice(at, 256).column(0).to_pylist():
-                members.sort(key=lambda x: x["rep"])
-                rep = [x["rep"] for x in members]
-                n = np.array([x["n"] for x in members], np.int64)
-                comp = np.array([x["comp"] for x in members], np.int64)
-                sketch = np.frombuffer(b"".join(x["sketch"] for x in members), np.uint8).reshape(len(rep), SIZE)
-                found = []
-                for k in range(len(rep) - 1):
-                    rest = slice(k + 1, None)
-                    fits = (100 * np.minimum(n[k], n[rest]) >= percent * np.maximum(n[k], n[rest])) & (comp[k] != comp[rest])
-                    if fits.any():
-                        alike = (sketch[k] == sketch[rest]).mean(1)
-                        for j in np.flatnonzero(fits & (alike >= need)):
-                            found.append((-alike[j], k, k + 1 + int(j)))
-                if connect:
-                    found.sort()
-                    group = list(range(len(rep)))
-
-                    def root(x):
-                        while group[x] != x:
-                            group[x] = group[group[x]]
-                            x = group[x]
-                        return x
-
-                    kept = []
-                    for pair in found:
-                        a, b = root(pair[1]), root(pair[2])
-                        if a != b:
-                            group[max(a, b)] = min(a, b)
-                            kept.append(pair)
-                    found = kept
-                left += [rep[a] for _, a, _ in found]
-                right += [rep[b] for _, _, b in found]
+            part = batch.slice(at, 256)
+            yield list(zip(part.column(0).to_pylist(), part.column(1).to_pylist()))
+
+
+def _connect(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The strongest candidate pairs that connect each leaf: fewer than it has members."""
+    for leaves in _leaves(batches):
+        left, right = [], []
+        for _, members in leaves:
+            rep, found = _alike(members, percent)
+            group = list(range(len(rep)))
+
+            def root(x):
+                while group[x] != x:
+                    group[x] = group[group[x]]
+                    x = group[x]
+                return x
+
+            for _, k, j in sorted(found):
+                a, b = root(k), root(j)
+                if a != b:
+                    group[max(a, b)] = min(a, b)
+                    left.append(rep[k])
+                    right.append(rep[j])
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
 
-def _leaf_pairs(leaves: DataFrame, sketches: DataFrame, percent: int, connect: bool) -> DataFrame:
-    """sketches: rep, n, sketch, comp. A leaf holds at most LEAF rows, so gathering it is bounded."""
-    groups = leaves.join(sketches, "rep").groupBy("node").agg(F.collect_list(F.struct("rep", "n", "sketch", "comp")).alias("members"))
-    return map_batches(groups.select("members"), partial(_compare, percent=percent, connect=connect), "a long, b long").distinct()
+def _doubtful(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The members of each leaf that are in a candidate pair, and into how many blocks of shingles these are cut."""
+    for leaves in _leaves(batches):
+        out = [[], [], [], []]
+        for node, members in leaves:
+            _, found = _alike(members, percent)
+            some = sorted({k for pair in found for k in pair[1:]})
+            parts = -(-sum(members[k]["n"] for k in some) // BLOCK)
+            for k in some:
+                for column, value in zip(out, (node, members[k]["rep"], members[k]["comp"], parts)):
+                    column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(column, pa.int64()) for column in out], ["node", "rep", "comp", "parts"])
+
+
+def _leaf_groups(leaves: DataFrame) -> DataFrame:
+    """leaves: node, rep, n, sketch, comp. A leaf holds at most LEAF rows, so gathering it is bounded."""
+    return leaves.groupBy("node").agg(F.collect_list(F.struct("rep", "n", "sketch", "comp")).alias("members"))
+
+
+def _shared(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of a leaf's sets; the incidence is multiplied `width` shingles at a time."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = times > 1
+    place, owner = (np.cumsum(often) - 1)[place[often[place]]], owner[often[place]]
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    for low in range(0, int(often.sum()), width):
+        here = slice(*np.searchsorted(place, [low, low + width]))
+        holds = np.zeros((len(sets), width), np.float32)
+        holds[owner[here], place[here] - low] = 1
+        out += (holds @ holds.T).astype(np.int64)
+    return out
+
+
+def _within(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Links of each pair of blocks of a leaf, between two components. Rows come pair by pair."""
+
+    def links(held):
+        shared = _shared([x for *_, x in held])
+        part, rep, comp = (np.array([x[c] for x in held], np.int64) for c in range(3))
+        sizes = np.array([len(x) for *_, x in held])
+        across = len(set(part.tolist())) > 1  # pairs of one block meet where it meets itself
+        for k, (*_, mine) in enumerate(held):
+            both = shared[k]
+            near = (100 * both >= percent * (sizes + len(mine) - both)) & (rep > rep[k]) & (comp != comp[k])
+            yield from ((int(rep[k]), int(rep[j])) for j in np.flatnonzero(near & (part != part[k]) if across else near))
+
+    group, held, schema = None, [], pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in range(3))))
+        rows = list(zip(*(batch.column(c).to_pylist() for c in range(3, 6))))
+        found = []
+        for row, end, values, offsets in _slices(batch, "words"):
+            sets, at = shingle_sets(values, offsets, width)
+            for k in range(row, end):
+                if keys[k] != group:
+                    found += links(held) if held else []
+                    group, held = keys[k], []
+                held.append((*rows[k], sets[at[k - row] : at[k - row + 1]].copy()))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)] or [pa.array([], pa.int64())] * 2, schema=schema)
+    if held:
+        found = list(links(held))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)] or [pa.array([], pa.int64())] * 2, schema=schema)
+
+
+def _leaf_links(leaves: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between the components of each leaf.
+
+    Texts go to the leaf, once per member that has a candidate there, and
+    meet in the task: what is shuffled grows with the members, not with their
+    pairs. Long texts are dealt into blocks of about BLOCK shingles, and blocks
+    meet in pairs, each also itself.
+    """
+    some = map_batches(_leaf_groups(leaves), partial(_doubtful, percent=percent), "node long, rep long, comp long, parts long")
+    part, other = F.pmod(F.xxhash64("rep"), F.col("parts")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    dealt = some.select("node", "rep", "comp", part.alias("part"), other.alias("other"))
+    met = dealt.select("node", F.least("part", "other").alias("u"), F.greatest("part", "other").alias("v"), "part", "rep", "comp")
+    spread = met.join(texts, "rep").repartition("node", "u", "v").sortWithinPartitions("node", "u", "v")
+    hashed = spread.select("node", "u", "v", "part", "rep", "comp", word_hashes(F.col("text")).alias("words"))
+    return map_batches(hashed, partial(_within, width=width, percent=percent), "a long, b long").distinct()
 
 
-def _crowd_pairs(crowds: DataFrame, sketches: DataFrame, percent: int, seed: int) -> DataFrame:
-    """Members of a node with its leader, drawn anew for each seed, where they lie in two components and sizes allow."""
-    rows = crowds.join(sketches.select("rep", "n", "comp"), "rep")
-    leaders = rows.groupBy("node").agg(F.min_by(F.struct("rep", "n", "comp"), F.xxhash64("rep", "node", F.lit(seed))).alias("leader"))
-    pairs = rows.join(leaders, "node").where("comp <> leader.comp AND 100 * least(n, leader.n) >= " + str(percent) + " * greatest(n, leader.n)")
+def _crowd_pairs(rows: DataFrame, percent: int, seeds: range) -> DataFrame:
+    """Members of a node with its leaders, one drawn for each seed, where they lie in two components and sizes allow.
+
+    rows: node, rep, n, comp.
+    """
+    draw = lambda seed: F.min_by(F.struct("rep", "n", "comp"), F.xxhash64("rep", "node", F.lit(seed)))
+    leaders = rows.groupBy("node").agg(F.array(*[draw(seed) for seed in seeds]).alias("leaders"))
+    led = F.filter("leaders", lambda x: (F.col("comp") != x.comp) & (100 * F.least("n", x.n) >= percent * F.greatest("n", x.n)))
+    pairs = rows.join(leaders, "node").select("rep", F.explode(led).alias("leader"))
     return pairs.select(F.col("leader.rep").alias("a"), F.col("rep").alias("b")).distinct()
 
 
@@ -420,9 +511,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sets = materialise(known.groupBy("f1", "f2").agg(least).select("f1", "f2", "least.*"), "classes")
     leaves, crowds = _nodes(sets, percent / 100)
 
-    sketches = sets.select("rep", "n", "sketch", F.col("rep").alias("comp"))
-    first = _leaf_pairs(leaves, sketches, percent, True).unionByName(_crowd_pairs(crowds, sketches, percent, 0)).distinct()
-    first = materialise(first, "first")
+    sketches = sets.select("rep", "n", "sketch")
+    alone = F.col("rep").alias("comp")
+    crowded = materialise(crowds.join(sketches.select("rep", "n"), "rep").select("node", "rep", "n"), "crowded")
+    groups = _leaf_groups(leaves.join(sketches, "rep").select("node", "rep", "n", "sketch", alone))
+    first = map_batches(groups, partial(_connect, percent=percent), "a long, b long")
+    first = materialise(first.unionByName(_crowd_pairs(crowded.select("node", "rep", "n", alone), percent, range(1))).distinct(), "first")
     # Texts are read once more, only of documents with a candidate.
     active = materialise(first.select(F.explode(F.array("a", "b")).alias("rep")).union(crowds.select("rep")).distinct(), "active")
     some = sieve(docs, "doc_id", active)
@@ -435,13 +529,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     # What still lies in two components is compared in whole: leaves of one component are done.
     comps = labels(links)
-    mixed = leaves.join(comps, "rep").groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("node")
-    known = sketches.drop("comp").join(comps, "rep")
-    second = _leaf_pairs(leaves.join(mixed, "node").select("rep", "node"), known, percent, False)
-    for seed in range(1, 4):
-        second = second.unionByName(_crowd_pairs(crowds, known, percent, seed))
-    second = second.distinct().join(first, ["a", "b"], "left_anti")
-    links = links.unionByName(materialise(_confirmed(second, texts, width, percent), "confirmed"))
+    placed = materialise(leaves.join(comps, "rep").select("node", "rep", "comp"), "placed")
+    mixed = placed.groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("node")
+    mixed = placed.join(mixed, "node").join(sketches, "rep").select("node", "rep", "n", "sketch", "comp")
+    more = materialise(_leaf_links(mixed, texts, width, percent), "confirmed")
+    again = materialise(crowded.join(comps, "rep").select("node", "rep", "n", "comp"), "crowded")
+    second = _crowd_pairs(again, percent, range(1, 4)).join(first, ["a", "b"], "left_anti")
+    led = materialise(_confirmed(second, texts, width, percent), "confirmed")
+    links = materialise(links.unionByName(more).unionByName(led).distinct(), "confirmed")
     if not crowds.isEmpty():
         links = links.unionByName(materialise(_apart_links(crowds, labels(links), sketches, texts, width, percent), "met"))
     found = materialise(components(links), "components")

@@ -595,3 +595,34 @@ def test_rows_apart_of_a_large_group(spark, monkeypatch, block):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in chosenpath.near_duplicates(docs, 3, 85).collect()}
     assert got == _near_brute(texts, 3, 85)
+
+
+def test_rows_of_a_group_below_the_threshold(spark, monkeypatch):
+    """Texts that are all candidates of each other and few of them linked: pairs that go to the shuffle grow with texts, not with their square."""
+    draw, texts, sent = random.Random(3), {}, []
+    base = [f"b{k}" for k in range(240)]
+    for d in range(190):
+        w = list(base)
+        for at in draw.sample(range(240), 6):
+            w[at] = f"n{draw.randrange(100_000)}"
+        texts[d] = " ".join(w)
+    texts |= {190 + d: texts[d].replace("b0 ", "", 1) for d in range(0, 190, 10)}
+    kept = chosenpath.materialise
+
+    def counted(df, label):
+        out = kept(df, label)
+        if label == "pairs":
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(chosenpath, "materialise", counted)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in chosenpath.near_duplicates(docs, 3, 85).collect()}
+    assert got == _near_brute(texts, 3, 85)
+    assert max(sent) <= 20 * len(texts), sent
+
+
+def test_long_texts_of_a_leaf_meet_in_blocks(spark, monkeypatch):
+    """The same with leaves whose shingles pass a block."""
+    monkeypatch.setattr(chosenpath, "BLOCK", 4000)
+    test_rows_of_a_group_below_the_threshold(spark, monkeypatch)
