@@ -2,6 +2,8 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from broadsheet.functions.sieve import split_by_keys
+
 
 def dedup_first(df: DataFrame, key: Column | str, order: list) -> DataFrame:
     """Keep the first row of each key in the given order.
@@ -13,3 +15,10 @@ def dedup_first(df: DataFrame, key: Column | str, order: list) -> DataFrame:
     key = F.col(key) if isinstance(key, str) else key
     window = Window.partitionBy(key).orderBy(*order)
     return df.withColumn("_nth", F.row_number().over(window)).filter("_nth = 1").drop("_nth")
+
+
+def dedup_stored(df: DataFrame, key: str, order: list) -> DataFrame:
+    """The same for a table that is cheap to read several times: only rows whose key may repeat are shuffled; keys are not null."""
+    repeated = df.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(key)
+    clear, unsure = split_by_keys(df, key, repeated)
+    return clear.unionByName(dedup_first(unsure, key, order))

@@ -10,6 +10,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, functions as F
 
 from broadsheet.functions.keys import exclusion_key, store_key
+from broadsheet.functions.sieve import with_matches, without_keys
 from broadsheet.functions.times import exclusion_stamp
 from broadsheet.operators.dedup import dedup_first
 from broadsheet.session import materialise
@@ -29,6 +30,12 @@ def not_excluded(articles: DataFrame, exclusions: DataFrame) -> DataFrame:
     )
 
 
+def cleared(articles: DataFrame, exclusions: DataFrame) -> DataFrame:
+    """not_excluded for stored articles, which are cheap to read twice: only rows a sieve cannot clear are shuffled."""
+    keyed = articles.withColumn("_key", exclusion_key("url"))
+    return without_keys(keyed, "_key", _keys(exclusions, exclusion_key("url"))).drop("_key")
+
+
 def allowed_only(articles: DataFrame, allowed: DataFrame) -> DataFrame:
     """Keep articles of a listed source, spelled exactly; an empty list passes nothing."""
     names = allowed.select(F.col("name").alias("source")).distinct()
@@ -40,11 +47,12 @@ def absent_from(batch: DataFrame, store: DataFrame) -> DataFrame:
 
     The store is first cut down to the urls of the batch: with a small batch
     that is a filter over the store's url column, and no store row is shuffled.
-    The batch is looked at twice, so hand in a materialised one if it is costly.
+    The batch is looked at several times, so hand in a materialised one if it is
+    costly; its rows are shuffled only where the urls found may hold theirs.
     """
     urls = batch.select("url").distinct()
-    present = store.select("url").join(urls, "url", "left_semi")
-    return batch.join(present, "url", "left_anti").select(*batch.columns)
+    present = materialise(store.select("url").join(urls, "url", "left_semi"), "present")
+    return without_keys(batch, "url", present)
 
 
 def first_sightings(batch: DataFrame, exclusions: DataFrame, order: list) -> DataFrame:
@@ -85,13 +93,12 @@ def removed_by_keys(store: DataFrame, urls: DataFrame) -> DataFrame:
 
 
 def mark_reviewed(store: DataFrame, urls: DataFrame) -> DataFrame:
-    """Pin the listed urls; nothing else changes."""
+    """Pin the listed urls; nothing else changes. Rows that are pinned, or that a sieve of the urls clears, are not shuffled."""
     marks = _keys(urls, store_key("url")).select(F.col("_key").alias("url"), F.lit(True).alias("_mark"))
-    return (
-        store.join(marks, "url", "left")
-        .withColumn("manual_review", F.coalesce("_mark", "manual_review"))
-        .select(*store.columns)
-    )
+    pinned = F.coalesce("manual_review", F.lit(False))
+    marked = with_matches(store.filter(~pinned), "url", marks)
+    todo = marked.withColumn("manual_review", F.coalesce("_mark", "manual_review")).select(*store.columns)
+    return store.filter(pinned).unionByName(todo)
 
 
 def merge_reviewed(store: DataFrame, staging: DataFrame, exclusions: DataFrame) -> DataFrame:

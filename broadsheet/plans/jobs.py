@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, Observation, functions as F
 
 from broadsheet.functions.keys import store_key
 from broadsheet.functions.lexicon import DEFAULT_LEXICON, Lexicon
+from broadsheet.operators.dedup import dedup_stored
 from broadsheet.operators.judge import (
     attach_scores, compare_judges, compare_summary, sentiment_gate,
 )
-from broadsheet.operators.merge import add_exclusions, drop_exclusions, first_sightings
+from broadsheet.operators.merge import add_exclusions, cleared, drop_exclusions, first_sightings
 from broadsheet.operators.metrics import Counts
 from broadsheet.operators.notes import matching_notes, note_candidates, note_funnel, resolve_notes
 from broadsheet.operators.pages import classify_ingest, ingest_summary, inserted_articles
@@ -239,9 +240,12 @@ def merge_reviewed_staging(
         return added
     archive.refuse([RAW, FILTERED], run_at, run_id)
     order = [F.col("published_at").desc_nulls_last(), F.col("source").asc_nulls_last()]
+    keyed = dedup_stored(reviewed.withColumn("url", store_key("url")).filter("url <> ''"), "url", order)
+    # Every staged url gets pinned, so new rows come pinned and only what was stored before is written anew.
+    batch = materialise(cleared(keyed, exclusions).withColumn("manual_review", F.lit(True)), "batch")
     for store, name in ((raw, RAW), (filtered, FILTERED)):
-        added[name] = store.insert(first_sightings(reviewed, exclusions, order))
         store.pin(reviewed)
+        added[name] = store.insert(batch, ready=True)
         archive.snapshot(store.read(), name, run_at, run_id)
     if site:
         publish(filtered, archive, site)

@@ -135,10 +135,11 @@ class PartitionedStore:
     def pin(self, urls: DataFrame) -> None:
         """mark_reviewed; what gets pinned moves to the folder of pinned rows as new files."""
         hit = self._holding(urls).where(F.coalesce(F.col("day") != PINNED, F.lit(True)))
-        moved = materialise(mark_reviewed(removed_by_keys(hit, urls).select(*ARTICLE_COLUMNS), urls), "pinned")
-        if moved.isEmpty():
+        found = materialise(removed_by_keys(hit, urls).select(*ARTICLE_COLUMNS), "pinned")
+        if found.isEmpty():
             return
-        buckets = [r[0] for r in moved.select(self.bucket()).distinct().collect()]
+        moved = mark_reviewed(found, urls)
+        buckets = [r[0] for r in found.select(self.bucket()).distinct().collect()]
         pinned = self.placed().where((F.col("day") == PINNED) & F.col("bucket").isin(buckets))
         self._replace(hit.unionByName(pinned), remove_keys(hit, urls).unionByName(pinned).select(*ARTICLE_COLUMNS).unionByName(moved))
 

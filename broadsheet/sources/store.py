@@ -64,14 +64,18 @@ class Store:
         folder = self._folder(self.version())
         as_articles(articles).write.parquet(f"{folder}/add-{uuid.uuid4().hex}")
 
-    def insert(self, articles: DataFrame) -> int:
-        """Add the rows whose url is not stored, one per url, as a segment; returns their number."""
-        batch = materialise(as_articles(articles), "batch")
-        counted = Observation()
-        added = materialise(absent_from(batch, self.read()).observe(counted, F.count("*").alias("n")), "added")
-        if counted.get["n"]:
+    def insert(self, articles: DataFrame, ready: bool = False) -> int:
+        """Add the rows whose url is not stored, one per url, as a segment; returns their number.
+
+        Urls alone tell what is new; the rows are written once, where they belong.
+        `ready`: the articles are a materialised table already.
+        """
+        batch = as_articles(articles) if ready else materialise(as_articles(articles), "batch")
+        added = absent_from(batch, self.read())
+        number = added.select("url").count()
+        if number:
             self.append(added)
-        return counted.get["n"]
+        return number
 
     def refresh(self, articles: DataFrame, run_at: datetime, hours: float, counts: Counts) -> None:
         """Drop what is too old, then add the rows whose url is not stored, one per url, in one new version."""

@@ -299,3 +299,33 @@ def test_facts_by_category(world, articles, exclusions):
     assert {s: facts["by_category"][s]["general"] for s in ("stored", "relevant", "negative", "filtered", "pinned")} == {
         s: facts[s] for s in ("stored", "relevant", "negative", "filtered", "pinned")
     }
+
+
+def _folders(spark, path, label):
+    """Names of the tables a job has left below the shared folder, by their label."""
+    from broadsheet.sources.lists import subfolders
+
+    return set(subfolders(spark, path, f"{label}-"))
+
+
+def test_merge_reviewed_staging_writes_a_batch_once(world, spark, articles, exclusions, rows):
+    """One batch for both stores; a repeated url, a barred one, one that is stored already, and rows no one staged."""
+    from broadsheet.session import shared_dir
+
+    staging = Store(spark, world.raw.path + "-staging")
+    staging.write(articles(
+        {"url": "https://a.org/1", "title": "older", "published_at": "2026-06-01 09:00"},
+        {"url": "https://A.org/1", "title": "newer", "published_at": "2026-06-02 09:00"},
+        {"url": "https://a.org/2", "title": "barred"}, {"url": "https://a.org/3", "title": "again"}, {"url": "", "title": "blank"},
+    ))
+    for store in (world.raw, world.filtered):
+        store.write(articles({"url": "https://a.org/3", "title": "stored"}, {"url": "https://a.org/4", "title": "not staged"}))
+    before = {label: _folders(spark, shared_dir(spark), label) for label in ("batch", "added")}
+    added = jobs.merge_reviewed_staging(staging, world.raw, world.filtered, world.archive, exclusions("https://A.org/2/"), RUN_AT)
+    assert added == {"articles": 1, "filtered_articles": 1}
+    want = [("https://a.org/1", "newer", True), ("https://a.org/3", "stored", True), ("https://a.org/4", "not staged", False)]
+    for store in (world.raw, world.filtered):
+        assert rows(store.read(), "url", "title", "manual_review") == want
+    assert rows(world.archive.read("articles"), "url", "title", "manual_review") == want
+    assert len(_folders(spark, shared_dir(spark), "batch") - before["batch"]) == 1
+    assert _folders(spark, shared_dir(spark), "added") == before["added"]
