@@ -329,3 +329,15 @@ def test_merge_reviewed_staging_writes_a_batch_once(world, spark, articles, excl
     assert rows(world.archive.read("articles"), "url", "title", "manual_review") == want
     assert len(_folders(spark, shared_dir(spark), "batch") - before["batch"]) == 1
     assert _folders(spark, shared_dir(spark), "added") == before["added"]
+
+
+def test_curate_writes_texts_of_the_filtered_store_once(world, spark, articles, exclusions, rows):
+    from broadsheet.session import shared_dir
+
+    before = {label: _folders(spark, shared_dir(spark), label) for label in ("filtered", "judged")}
+    facts = world.run(by_title, exclusions("https://a.org/5"), items=ITEMS)
+    assert facts["relevant"] == 2 and facts["negative"] == 1 and facts["filtered"] == 1
+    assert rows(world.filtered.read(), "url", "sentiment_score") == [("https://a.org/1", -0.5)]
+    assert _folders(spark, shared_dir(spark), "filtered") == before["filtered"]
+    judged, = _folders(spark, shared_dir(spark), "judged") - before["judged"]
+    assert spark.read.parquet(f"{shared_dir(spark)}/{judged}").columns == ["url", "category", "sentiment_score"]
