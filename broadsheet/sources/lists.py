@@ -72,3 +72,8 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder and what is in it; an absent one is no error."""
     fs, hadoop = _locate(spark, path)
     fs.delete(hadoop, True)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, hadoop = _locate(spark, path)
+    fs.mkdirs(hadoop)

@@ -13,7 +13,9 @@ does not concern it neither reads nor writes:
 
 New content is first written beside the folders it is for. Once it is whole
 it counts: an operation that dies later is finished by the next one, one that
-dies before has changed nothing. One writer at a time.
+dies before has changed nothing. The first content of an empty store is written
+straight to its place under a mark: until the mark is gone the store is empty.
+One writer at a time.
 """
 
 from datetime import datetime
@@ -27,7 +29,7 @@ from broadsheet.operators.merge import absent_from, mark_reviewed, remove_keys,
 from broadsheet.operators.metrics import Counts
 from broadsheet.schemas import ARTICLE, ARTICLE_COLUMNS, as_articles
 from broadsheet.session import materialise
-from broadsheet.sources.lists import path_exists, remove_folder, subfolders
+from broadsheet.sources.lists import make_folder, path_exists, remove_folder, subfolders
 
 PINNED = "pinned"
 NO_DAY = "__HIVE_DEFAULT_PARTITION__"  # Spark's folder name for null
@@ -43,6 +45,7 @@ class PartitionedStore:
         self.path = path.rstrip("/")
         self.buckets = buckets
         self._pending = f"{self.path}/_pending"
+        self._first = f"{self.path}/_first"
 
     # Where a row lies
 
@@ -67,7 +70,7 @@ class PartitionedStore:
     def placed(self) -> DataFrame:
         """All rows with the columns their folders stand for; filters on these skip folders."""
         self._finish()
-        if not subfolders(self.spark, self.path, "day="):
+        if not subfolders(self.spark, self.path, "day=") or path_exists(self.spark, self._first):
             return self.spark.createDataFrame([], LAYOUT)
         return self.spark.read.schema(LAYOUT).parquet(self.path)
 
@@ -95,9 +98,10 @@ class PartitionedStore:
 
         The articles have one row per url. A batch delivered again adds nothing.
         """
+        self._undo()
         batch = materialise(as_articles(articles), "batch")
-        fresh = materialise(self.absent(batch), "fresh")
-        added = fresh.count()
+        fresh = self.absent(batch)
+        added = fresh.select("url").count()
         if added:
             self._write(self._placed(fresh), "append")
         return added
@@ -112,6 +116,7 @@ class PartitionedStore:
 
     def expire(self, run_at: datetime, hours: float) -> int:
         """filters.apply_retention: older days go as folders, unread; returns the number of rows dropped."""
+        self._undo()
         cutoff = cutoff_text(run_at, hours)
         rows = self.placed()
         old = [d for d in subfolders(self.spark, self.path, "day=") if d != f"day={NO_DAY}" and unquote(d[4:]) < cutoff[:10]]
@@ -145,10 +150,18 @@ class PartitionedStore:
 
     def write(self, articles: DataFrame) -> None:
         """Replace the whole content."""
-        self._replace(self.placed(), articles)
+        self._undo()
+        old = self.placed()
+        if subfolders(self.spark, self.path, "day="):
+            self._replace(old, articles)
+            return
+        make_folder(self.spark, self._first)
+        self._write(self._placed(articles), "append")
+        remove_folder(self.spark, self._first)
 
     def append(self, articles: DataFrame) -> None:
         """Add rows that are not stored; the caller has left out stored urls."""
+        self._undo()
         self._write(self._placed(articles), "append")
 
     def clear(self) -> int:
@@ -181,6 +194,13 @@ class PartitionedStore:
         old.select("day", "bucket").distinct().write.mode("overwrite").parquet(f"{self._pending}/folders")
         self._finish()
 
+    def _undo(self) -> None:
+        """Remove what a first write that died has left."""
+        if path_exists(self.spark, self._first):
+            for day in subfolders(self.spark, self.path, "day="):
+                remove_folder(self.spark, f"{self.path}/{day}")
+            remove_folder(self.spark, self._first)
+
     def _finish(self) -> None:
         """Carry out a change whose new content is whole."""
         if not path_exists(self.spark, f"{self._pending}/folders/_SUCCESS"):
